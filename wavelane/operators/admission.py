@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wavelane.functions.joins import lookup_join
 from wavelane.functions.scalars import epoch_hour, epoch_minute
-from wavelane.functions.scans import clamped_balance
+from wavelane.functions.scans import clamped_balance, running_sums
 from wavelane.schemas import IN_FLIGHT_STATES
 from wavelane.session import cut_lineage
 
@@ -93,12 +93,16 @@ def hourly_rate(events: DataFrame, minutes: int = RATE_MINUTES) -> DataFrame:
 
 
 def hourly_rate_arrival(
-    events: DataFrame, minutes: int = RATE_MINUTES, slice_events: int = 100_000
+    events: DataFrame,
+    minutes: int = RATE_MINUTES,
+    slice_events: int = 100_000,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Rate as a ring counter books it: in arrival order, late events count as current.
 
     The clock of a class is the latest minute seen so far. An event is booked in the clock's
     minute and sees the bookings of the trailing window up to and including itself.
+    ``earlier(resource_class, booked_minute, booked)`` are bookings made before these events.
     """
     keyed = events.select(
         "event_id",
@@ -121,29 +125,40 @@ def hourly_rate_arrival(
         .agg(F.max("minute").alias("_top"))
         .select("resource_class", "_slice", F.max("_top").over(before).alias("_clock"))
     )
-    booked = (
-        keyed.withColumn("_seen", F.max("minute").over(inside))
-        .join(carried, ["resource_class", "_slice"])
-        .select(
-            "event_id",
+    placed = keyed.withColumn("_seen", F.max("minute").over(inside)).join(
+        carried, ["resource_class", "_slice"]
+    )
+    clock = F.greatest("_seen", "_clock")
+    if earlier is not None:
+        started = earlier.groupBy("resource_class").agg(F.max("booked_minute").alias("_from"))
+        placed = lookup_join(placed, started, "resource_class")
+        clock = F.greatest("_seen", "_clock", "_from")
+    booked = placed.select("event_id", "resource_class", "_slice", clock.alias("booked_minute"))
+    counts = booked.groupBy("resource_class", "booked_minute").agg(
+        F.count(F.lit(1)).alias("_in"), F.lit(0).cast("bigint").alias("_old")
+    )
+    if earlier is not None:
+        old = earlier.select(
             "resource_class",
-            F.greatest("_seen", "_clock").alias("booked_minute"),
+            "booked_minute",
+            F.lit(0).cast("bigint").alias("_in"),
+            F.col("booked").alias("_old"),
+        )
+        counts = (
+            counts.unionByName(old)
+            .groupBy("resource_class", "booked_minute")
+            .agg(F.sum("_in").alias("_in"), F.sum("_old").alias("_old"))
         )
-    )
     trailing = (
         Window.partitionBy("resource_class").orderBy("booked_minute").rangeBetween(-(minutes - 1), 0)
     )
-    totals = (
-        booked.groupBy("resource_class", "booked_minute")
-        .agg(F.count(F.lit(1)).alias("_in"))
-        .withColumn("_n", F.sum("_in").over(trailing))
-    )
-    nth = F.row_number().over(
-        Window.partitionBy("resource_class", "booked_minute").orderBy("event_id")
+    totals = counts.withColumn("_n", F.sum(F.col("_in") + F.col("_old")).over(trailing))
+    # A backlog of late events all lands in one minute, so the count inside it is sliced too.
+    counted = running_sums(
+        booked, ["resource_class", "booked_minute"], "_slice", ["event_id"], {"_nth": F.lit(1)}
     )
     return (
-        booked.withColumn("_nth", nth)
-        .join(totals, ["resource_class", "booked_minute"])
+        counted.join(totals, ["resource_class", "booked_minute"])
         .select(
             "event_id",
             "resource_class",

@@ -146,7 +146,13 @@ def compile_plan(
     frames = prepare(tasks, resources, config, observed, failed)
     for step in passes:
         frames = step(frames)
+    return assemble(frames, config, class_admission)
 
+
+def assemble(
+    frames: PlanFrames, config: PlanConfig, class_admission: DataFrame | None = None
+) -> CompiledPlan:
+    """Admission and ordering on top of finished passes; also re-plans under other options."""
     keys = graph.VERTEX
     members = frames.tasks.join(frames.components, keys).join(frames.estimates, keys)
     admitted = members

@@ -16,9 +16,15 @@ def week_number(ts: Column) -> Column:
 
 
 def tasks(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as tasks: customer segment and key are the top resource, weeks are batches."""
-    orders = table(spark, folder, "orders")
-    customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    return tasks_from(table(spark, folder, "orders"), table(spark, folder, "customer"))
+
+
+def tasks_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """Orders as tasks: customer segment and key are the top resource, weeks are batches.
+
+    ``orders`` may be a stream.
+    """
+    customer = customer.select("c_custkey", "c_mktsegment")
     key = F.col("o_orderkey")
     state = (
         F.when(F.col("o_orderstatus") == "O", "PENDING")
@@ -39,10 +45,10 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
             F.col("o_orderdate").alias("created_at"),
             F.to_json(
                 F.struct(
-                    F.col("c_nationkey").cast("string").alias("projectId"),
+                    F.floor(F.col("o_custkey") / 60).cast("string").alias("projectId"),
                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("from"),
                     F.date_format(F.col("o_orderdate") + day * 6, "yyyy-MM-dd").alias("to"),
-                    (key % 50 + 1).cast("string").alias("tagSetId"),
+                    F.floor(F.col("o_custkey") / 3).cast("string").alias("tagSetId"),
                     F.when(key % 11 == 0, F.concat_ws("-", key, F.lit(1))).alias("talkId"),
                 )
             ).alias("search_dsl"),
@@ -91,17 +97,21 @@ def supplier_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _classed_events(spark: SparkSession, folder: str) -> DataFrame:
+def _with_class(events: DataFrame, customer: DataFrame) -> DataFrame:
     """Events with the market segment of their user as resource class."""
-    customer = table(spark, folder, "customer").select(
+    segment = customer.select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("resource_class")
     )
-    return table(spark, folder, "events").join(customer, "user_id")
+    return events.join(segment, "user_id")
 
 
 def class_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Emit and complete marks per resource class."""
-    return _classed_events(spark, folder).select(
+    return class_events_from(table(spark, folder, "events"), table(spark, folder, "customer"))
+
+
+def class_events_from(events: DataFrame, customer: DataFrame) -> DataFrame:
+    """Emit and complete marks per resource class; ``events`` may be a stream."""
+    return _with_class(events, customer).select(
         "event_id",
         "resource_class",
         "ts",
@@ -114,7 +124,8 @@ def class_events(spark: SparkSession, folder: str) -> DataFrame:
 def durations(spark: SparkSession, folder: str) -> DataFrame:
     """Observed run times in milliseconds by class; some are negative and must be ignored."""
     ms = F.floor(F.col("value") * 10).cast("bigint")
-    return _classed_events(spark, folder).select(
+    events = _with_class(table(spark, folder, "events"), table(spark, folder, "customer"))
+    return events.select(
         "event_id",
         "resource_class",
         F.when(F.col("event_id") % 7 == 0, -ms).otherwise(ms).alias("elapsed_ms"),
@@ -123,8 +134,11 @@ def durations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def progress_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return progress_deltas_from(table(spark, folder, "events"))
+
+
+def progress_deltas_from(events: DataFrame) -> DataFrame:
     """Progress updates: a task per user, successes and failures by event type."""
-    events = table(spark, folder, "events")
     step = F.floor(F.col("value")).cast("bigint")
     zero = F.lit(0).cast("bigint")
     return events.select(
@@ -203,3 +217,100 @@ def class_limits(spark: SparkSession, folder: str) -> DataFrame:
             n.alias("max_rate_per_hour"),
         )
     )
+
+
+def timings(spark: SparkSession, folder: str) -> DataFrame:
+    """Compile and dispatch timings, taken from the events."""
+    return table(spark, folder, "events").select(
+        "event_id",
+        "ts",
+        F.when(F.col("event_type").isin("view", "click"), "compile").otherwise("dispatch").alias(
+            "phase"
+        ),
+        F.floor(F.col("value") * 10).cast("bigint").alias("elapsed_ms"),
+    )
+
+
+def complete_commands(spark: SparkSession, folder: str) -> DataFrame:
+    return (
+        table(spark, folder, "events")
+        .filter(F.col("event_type") == "purchase")
+        .select(F.col("user_id").alias("task_id"))
+    )
+
+
+def failed_lookups(spark: SparkSession, folder: str) -> DataFrame:
+    """Tasks whose resource lookup never worked."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return (
+        table(spark, folder, "events")
+        .filter((F.col("event_type") == "error") & (k >= 90))
+        .select(F.col("user_id").alias("task_id"))
+    )
+
+
+def state_versions(spark: SparkSession, folder: str) -> DataFrame:
+    return state_versions_from(table(spark, folder, "lineitem"))
+
+
+def state_versions_from(lines: DataFrame) -> DataFrame:
+    """A history of task versions: one per order line."""
+    return lines.select(
+        F.col("l_orderkey").alias("task_id"),
+        F.col("l_linenumber").cast("bigint").alias("version"),
+        F.when(F.col("l_returnflag") == "R", "PAUSED")
+        .when(F.col("l_linestatus") == "O", "STARTED")
+        .otherwise("COMPLETED")
+        .alias("state"),
+        F.col("l_partkey").cast("string").alias("cursor"),
+    )
+
+
+def ingest_commands(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as ingest commands; unlabelled ones lack a resource id and must be rejected."""
+    labels = table(spark, folder, "labels")
+    return table(spark, folder, "documents").join(labels, "doc_id", "left").select(
+        "doc_id",
+        F.col("lang").alias("resource_class"),
+        F.col("quality").cast("string").alias("resource_id"),
+        F.lit(None).cast("string").alias("payload"),
+        F.when(F.col("toxic") == 1, F.to_json(F.struct("source"))).alias("search_dsl"),
+        F.lit(None).cast("timestamp_ntz").alias("timeout_at"),
+    )
+
+
+def connections(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as connections; four consecutive ones belong to a project."""
+    return table(spark, folder, "supplier").select(
+        F.floor(F.col("s_suppkey") / 4).cast("string").alias("project_id"),
+        F.col("s_suppkey").cast("string").alias("connection_id"),
+    )
+
+
+def talks(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as dated talks on their supplier's connection."""
+    return (
+        table(spark, folder, "lineitem")
+        .select(
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("talk_id"),
+            F.col("l_suppkey").cast("string").alias("connection_id"),
+            F.to_date("l_shipdate").alias("talked_on"),
+        )
+    )
+
+
+def tag_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as tags; four consecutive ones form a set."""
+    return table(spark, folder, "part").select(
+        F.floor(F.col("p_partkey") / 4).cast("string").alias("tag_set_id"),
+        F.col("p_partkey").cast("string").alias("tag_id"),
+    )
+
+
+def tag_dependencies(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part depends on the part with half its key."""
+    key = F.col("p_partkey")
+    return table(spark, folder, "part").select(
+        key.cast("string").alias("tag_id"),
+        F.when(key > 0, F.floor(key / 2).cast("string")).alias("depends_on"),
+    )
