@@ -91,7 +91,7 @@ _inputs: dict[tuple[int, str], Inputs] = {}
 
 
 def inputs(spark: SparkSession, folder: str) -> Inputs:
-    key = (id(spark.sparkContext), folder)
+    key = (spark.sparkContext.applicationId, folder)
     if key not in _inputs:
         _inputs[key] = Inputs(spark, folder)
     return _inputs[key]
