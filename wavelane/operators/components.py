@@ -8,7 +8,7 @@ into one star around its smallest member (Kiveris et al., SoCC 2014).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.ranking import rank_rows
@@ -25,42 +25,44 @@ def star_edges(shared: DataFrame) -> DataFrame:
     )
 
 
-def _contract(edges: DataFrame, moved_large: Observation, moved_small: Observation) -> DataFrame:
-    # Large star. Partial minima are taken before the shuffle, so a node with very many
-    # neighbours costs one row per map task; the join back only meets one row per node.
+def _contract(edges: DataFrame) -> DataFrame:
+    """One large and one small star step; ``moved`` marks edges that either step changed."""
+    # Partial minima are taken before the shuffle, so a node with very many neighbours costs
+    # one row per map task; the join back only meets one row per node.
     ends = edges.select("batch_id", F.col("lo").alias("node"), F.col("hi").alias("other")).union(
         edges.select("batch_id", "hi", "lo")
     )
-    lowest = ends.groupBy("batch_id", "node").agg(
+    lowest = ends.groupBy("batch_id", F.col("node").alias("lo")).agg(
         F.least(F.min("other"), F.first("node")).alias("root")
     )
-    hung = edges.join(lowest.withColumnRenamed("node", "lo"), ["batch_id", "lo"])
-    hung = hung.observe(
-        moved_large, F.count_if(F.col("root") != F.col("lo")).alias("n")
-    ).select("batch_id", "hi", F.col("root").alias("lo"))
+    hung = edges.join(lowest, ["batch_id", "lo"]).select(
+        "batch_id", "hi", F.col("root").alias("lo"), (F.col("root") != F.col("lo")).alias("moved")
+    )
 
-    # Small star. The smaller neighbours of a node and the node itself move to the smallest.
+    # The smaller neighbours of a node and the node itself move to the smallest of them.
     roots = hung.groupBy("batch_id", "hi").agg(F.min("lo").alias("root"))
     near = hung.join(roots, ["batch_id", "hi"])
-    near = near.observe(moved_small, F.count_if(F.col("root") != F.col("lo")).alias("n"))
-    moved = F.when(
-        F.col("root") != F.col("lo"),
-        F.array(F.struct(F.col("hi"), F.col("root")), F.struct(F.col("lo").alias("hi"), F.col("root"))),
-    ).otherwise(F.array(F.struct(F.col("hi"), F.col("root"))))
+    kept = F.struct(F.col("hi"), F.col("root").alias("lo"), F.col("moved"))
+    two = F.array(
+        F.struct(F.col("hi"), F.col("root").alias("lo"), F.lit(True).alias("moved")),
+        F.struct(F.col("lo").alias("hi"), F.col("root").alias("lo"), F.lit(True).alias("moved")),
+    )
+    out = F.when(F.col("root") != F.col("lo"), two).otherwise(F.array(kept))
     return (
-        near.select("batch_id", F.inline(moved).alias("hi", "lo"))
-        .distinct()
+        near.select("batch_id", F.inline(out))
+        .groupBy("batch_id", "hi", "lo")
+        .agg(F.bool_or("moved").alias("moved"))
     )
 
 
 def component_stars(shared: DataFrame) -> DataFrame:
     """(batch_id, hi, lo) with lo the smallest member of hi's component, hi > lo."""
     edges = cut_lineage(star_edges(shared))
-    while True:
-        large, small = Observation(), Observation()
-        edges = cut_lineage(_contract(edges, large, small))
-        if not large.get["n"] and not small.get["n"]:
-            return edges
+    while not edges.isEmpty():
+        edges = cut_lineage(_contract(edges))
+        if edges.filter("moved").isEmpty():
+            break
+    return edges.select("batch_id", "hi", "lo")
 
 
 def connected_components(vertices: DataFrame, stars: DataFrame) -> DataFrame:
