@@ -40,31 +40,38 @@ def running_duration_estimate(durations: DataFrame, default_ms: int = DEFAULT_TA
     )
 
 
-def task_estimates(
+def with_estimates(
     tasks: DataFrame,
     observed: DataFrame | None = None,
     configured: dict[str, int] | None = None,
     default_ms: int = DEFAULT_TASK_MS,
     enabled: bool = True,
 ) -> DataFrame:
-    """(batch_id, task_id, estimate_ms): configured for the class, else observed, else default."""
-    keyed = tasks.select("batch_id", "task_id", F.col("top_resource_class").alias("resource_class"))
+    """Add ``estimate_ms``: configured for the class, else observed, else the default.
+
+    The tasks are not shuffled; with estimates switched off every task counts 0.
+    """
     if not enabled:
-        return keyed.select("batch_id", "task_id", F.lit(0).cast("bigint").alias("estimate_ms"))
-    sources = []
+        return tasks.withColumn("estimate_ms", F.lit(0).cast("bigint"))
+    sources, cls = [], F.col("top_resource_class")
     if configured:
         table = F.create_map(*[F.lit(x) for pair in configured.items() for x in pair])
-        sources.append(F.try_element_at(table, F.col("resource_class")))
+        sources.append(F.try_element_at(table, cls))
+    joined = tasks
     if observed is not None:
-        keyed = lookup_join(keyed, observed.select("resource_class", "mean_ms"), "resource_class")
+        means = observed.select(F.col("resource_class").alias("top_resource_class"), "mean_ms")
+        joined = lookup_join(tasks, means, "top_resource_class")
         sources.append(F.col("mean_ms"))
-    return keyed.select(
-        "batch_id",
-        "task_id",
-        F.coalesce(*sources, F.lit(default_ms)).cast("bigint").alias("estimate_ms"),
+    return joined.select(
+        *tasks.columns, F.coalesce(*sources, F.lit(default_ms)).cast("bigint").alias("estimate_ms")
     )
 
 
+def task_estimates(tasks: DataFrame, *args, **options) -> DataFrame:
+    """(batch_id, task_id, estimate_ms) under the rules of ``with_estimates``."""
+    return with_estimates(tasks, *args, **options).select("batch_id", "task_id", "estimate_ms")
+
+
 def wave_costs(schedule: DataFrame) -> DataFrame:
     """One row per wave: its size and its longest estimate."""
     return schedule.groupBy("batch_id", "component", "colour").agg(

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavelane.functions.ranking import rank_rows
 from wavelane.operators.footprint import RESOURCE
+from wavelane.session import cut_lineage
 
 BUCKET = ["batch_id", *RESOURCE]
 VERTEX = ["batch_id", "task_id"]
@@ -96,13 +98,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def _subsets(names):
-    """Non-empty subsets of an array column, each a sorted array with its inclusion sign."""
+    """Non-empty subsets of an array column, each in the order of the array."""
     numbers = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(names)) - 1).cast("int"))
     return F.transform(
         numbers,
         lambda mask: F.filter(
             names,
-            lambda _, i: F.expr("0") != mask.bitwiseAND(F.pow(F.lit(2), i).cast("int")),
+            lambda _, i: mask.bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0,
         ),
     )
 
@@ -126,13 +128,17 @@ def degrees(
     if large.isEmpty():
         return _count_pairs(_pairs(small, small))
 
-    name = F.concat_ws("\x01", *RESOURCE)
+    # Buckets get a number each: subsets of small numbers are cheaper to shuffle than names.
+    numbers = rank_rows(
+        large.select(*BUCKET).distinct(), ["batch_id"], [F.col(c).asc() for c in RESOURCE], "_id"
+    )
+    large = cut_lineage(large.join(numbers, BUCKET))
     per_task = large.groupBy(*VERTEX).agg(F.count(F.lit(1)).alias("_k"))
     tagged = large.join(per_task, VERTEX).withColumn("_wide", F.col("_k") > max_subset_buckets)
-    narrow = (
+    narrow = cut_lineage(
         tagged.filter(~F.col("_wide"))
         .groupBy(*VERTEX)
-        .agg(F.sort_array(F.collect_list(name)).alias("_names"))
+        .agg(F.sort_array(F.collect_list(F.col("_id").cast("int"))).alias("_names"))
     )
 
     signatures = narrow.groupBy("batch_id", "_names").agg(F.count(F.lit(1)).alias("_w"))

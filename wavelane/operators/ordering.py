@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wavelane.functions.ranking import GROUP_ROWS, rank_rows, sliced_rank
 from wavelane.session import cut_lineage
-from pyspark.sql.window import Window
 
 COMPONENT = ["batch_id", "component"]
 
@@ -27,11 +27,15 @@ def policy_keys(policy: str, columns: list[str]) -> list[Column]:
     return fifo
 
 
-def policy_ranks(members: DataFrame, policy: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def policy_ranks(
+    members: DataFrame,
+    policy: str,
+    sized_by: DataFrame | None = None,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
     """Rank of each task in its component under a policy."""
-    return rank_rows(
-        members, COMPONENT, policy_keys(policy, members.columns), "policy_rank", group_rows=group_rows
-    )
+    order = policy_keys(policy, members.columns)
+    return rank_rows(members, COMPONENT, order, "policy_rank", sized_by, group_rows)
 
 
 def wave_keys(
@@ -47,14 +51,18 @@ def wave_keys(
 
 
 def wave_schedule(
-    coloured: DataFrame, order: list[Column], group_rows: int = GROUP_ROWS
+    coloured: DataFrame,
+    order: list[Column],
+    sized_by: DataFrame | None = None,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add ``pos`` (rank in the wave) and ``ordinal`` (rank in the component), both 1-based.
 
     Both ranks come out of one shuffle and one sort: the wave order refines the component
-    order. Oversized components take the sliced path.
+    order. Oversized components take the sliced path; ``sized_by`` is a cheaper frame with at
+    least the same rows per component to look for them in.
     """
-    sizes = coloured.groupBy(*COMPONENT).count()
+    sizes = (sized_by if sized_by is not None else coloured).groupBy(*COMPONENT).count()
     hot = sizes.filter(F.col("count") > group_rows).select(*COMPONENT)
     by_component = Window.partitionBy(*COMPONENT).orderBy(F.col("colour"), *order)
     by_wave = Window.partitionBy(*COMPONENT, "colour").orderBy(*order)
@@ -84,10 +92,13 @@ def wave_schedule(
 
 
 def serial_schedule(
-    members: DataFrame, order: list[Column], group_rows: int = GROUP_ROWS
+    members: DataFrame,
+    order: list[Column],
+    sized_by: DataFrame | None = None,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Colouring switched off: every task is a wave of its own, in the given order."""
-    ranked = rank_rows(members, COMPONENT, order, "ordinal", group_rows=group_rows)
+    ranked = rank_rows(members, COMPONENT, order, "ordinal", sized_by, group_rows)
     return ranked.withColumn("colour", (F.col("ordinal") - 1).cast("int")).withColumn(
         "pos", F.lit(1).cast("bigint")
     )

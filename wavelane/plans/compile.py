@@ -45,19 +45,22 @@ class PlanConfig:
 
 @dataclass(frozen=True)
 class PlanFrames:
-    """The frames a compile works on; passes fill in ``components`` and ``colours``."""
+    """The frames a compile works on; passes fill in ``components`` and ``colours``.
+
+    ``tasks`` carries the planning columns and ``estimate_ms``.
+    """
 
     tasks: DataFrame
     footprint: DataFrame
     shared: DataFrame
     degree: DataFrame
-    estimates: DataFrame
     components: DataFrame | None = None
     colours: DataFrame | None = None
 
     def weighted(self) -> DataFrame:
         keys = graph.VERTEX
-        return self.estimates.join(self.degree, keys, "left").withColumn(
+        estimates = self.tasks.select(*keys, "estimate_ms")
+        return estimates.join(self.degree, keys, "left").withColumn(
             "degree", F.coalesce("degree", F.lit(0).cast("bigint"))
         )
 
@@ -101,6 +104,22 @@ class CompiledPlan:
         return components.component_ids(self.schedule)
 
 
+# What planning reads of a task; search text and payload stay in the task table.
+PLAN_COLUMNS = (
+    "batch_id",
+    "task_id",
+    "created_at",
+    "timeout_at",
+    "priority",
+    "top_resource_class",
+    "top_resource_id",
+)
+
+
+def plan_columns(tasks: DataFrame) -> DataFrame:
+    return tasks.select(*[c for c in PLAN_COLUMNS if c in tasks.columns])
+
+
 def prepare(
     tasks: DataFrame,
     resources: DataFrame,
@@ -114,14 +133,15 @@ def prepare(
     """
     if failed is not None:
         tasks = footprint.resolved_tasks(tasks, failed)
-    tasks = cut_lineage(tasks)
+    tasks = cut_lineage(
+        cost.with_estimates(
+            plan_columns(tasks), observed, config.task_ms, config.default_task_ms, config.cost
+        )
+    )
     fp = cut_lineage(footprint.footprint(tasks, resources))
     shared = cut_lineage(graph.shared_rows(fp))
     degree = cut_lineage(graph.degrees(shared))
-    estimates = cost.task_estimates(
-        tasks, observed, config.task_ms, config.default_task_ms, config.cost
-    )
-    return PlanFrames(tasks, fp, shared, degree, estimates)
+    return PlanFrames(tasks, fp, shared, degree)
 
 
 def compile_plan(
@@ -154,7 +174,7 @@ def assemble(
 ) -> CompiledPlan:
     """Admission and ordering on top of finished passes; also re-plans under other options."""
     keys = graph.VERTEX
-    members = frames.tasks.join(frames.components, keys).join(frames.estimates, keys)
+    members = frames.tasks.join(frames.components, keys)
     admitted = members
     if class_admission is not None and config.admission_enabled:
         class_admission = cut_lineage(class_admission)
@@ -175,12 +195,12 @@ def assemble(
         config.order_policy, admitted.columns, config.locality, use_pressure
     )
     if frames.colours is None:
-        schedule = ordering.serial_schedule(admitted, order)
+        schedule = ordering.serial_schedule(admitted, order, frames.components)
     else:
         coloured = admitted.join(frames.colours, keys, "left").withColumn(
             "colour", F.coalesce("colour", F.lit(0))
         )
-        schedule = ordering.wave_schedule(coloured, order)
+        schedule = ordering.wave_schedule(coloured, order, frames.components)
     columns = ["batch_id", "component", "colour", "pos", "ordinal", "task_id", "estimate_ms"]
     return CompiledPlan(
         config, frames, members, cut_lineage(schedule.select(*columns)), class_admission

@@ -10,14 +10,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.functions.ranking import rank_rows
 from wavelane.functions.scalars import name_uuid
 from wavelane.operators import admission, colouring, components, cost, footprint, graph, lifecycle
 from wavelane.operators import metrics, ordering, progress, sketch
 from wavelane.plans import compile as planning
 from wavelane.plans import documents, history
 from wavelane.schemas import EXPIRABLE_STATES, IN_FLIGHT_STATES
-from wavelane.session import cut_lineage, shared_path
+from wavelane.session import configure, cut_lineage, shared_path
 from wavelane.sources import ingest, messages, tables
 from wavelane.streaming import jobs
 
@@ -30,6 +29,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        configure(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         reader = getattr(tables, name, None)
@@ -47,14 +47,33 @@ class Inputs:
     def classes(self) -> DataFrame:
         return self.tasks.select(F.col("top_resource_class").alias("resource_class")).distinct()
 
+    @cached_property
+    def planned(self) -> DataFrame:
+        """The planning columns of all tasks."""
+        return cut_lineage(planning.plan_columns(self.tasks))
+
+    @cached_property
+    def footprint(self) -> DataFrame:
+        return cut_lineage(footprint.footprint(self.planned, self.resource_rows))
+
+    @cached_property
+    def shared(self) -> DataFrame:
+        return cut_lineage(graph.shared_rows(self.footprint))
+
+    @cached_property
+    def degree(self) -> DataFrame:
+        return cut_lineage(graph.degrees(self.shared))
+
     @cached_property
     def frames(self) -> planning.PlanFrames:
         mean = cost.class_duration_mean(self.durations)
-        return planning.prepare(self.tasks, self.resource_rows, CONFIG, mean)
+        costed = cost.with_estimates(self.planned, mean, CONFIG.task_ms)
+        return planning.PlanFrames(costed, self.footprint, self.shared, self.degree)
 
     @cached_property
     def components(self) -> DataFrame:
-        return planning.components_pass(self.frames).components
+        stars = components.component_stars(self.shared)
+        return cut_lineage(components.connected_components(self.planned, stars))
 
     @cached_property
     def coloured(self) -> planning.PlanFrames:
@@ -67,7 +86,7 @@ class Inputs:
     @property
     def members(self) -> DataFrame:
         """Tasks with component and estimate, before admission."""
-        return self.tasks.join(self.components, graph.VERTEX)
+        return self.planned.join(self.components, graph.VERTEX)
 
     @property
     def plan_headers(self) -> DataFrame:
@@ -202,19 +221,19 @@ def dependency_closure(i: Inputs) -> DataFrame:
 
 
 def conflict_edges(i: Inputs) -> DataFrame:
-    return graph.conflict_edges(i.frames.shared)
+    return graph.conflict_edges(i.shared)
 
 
 def edge_shared_resources(i: Inputs) -> DataFrame:
-    return graph.edge_shared_resources(i.frames.shared)
+    return graph.edge_shared_resources(i.shared)
 
 
 def adjacency_lists(i: Inputs) -> DataFrame:
-    return graph.adjacency(graph.conflict_edges(i.frames.shared))
+    return graph.adjacency(graph.conflict_edges(i.shared))
 
 
 def task_degree(i: Inputs) -> DataFrame:
-    return graph.task_degrees(i.frames.tasks, i.frames.degree)
+    return graph.task_degrees(i.planned, i.degree)
 
 
 def hot_buckets(i: Inputs) -> DataFrame:
@@ -248,7 +267,7 @@ def task_to_component(i: Inputs) -> DataFrame:
 
 
 def isolation_violations(i: Inputs) -> DataFrame:
-    return planning.isolation_violations(i.frames.shared, i.components)
+    return planning.isolation_violations(i.shared, i.components)
 
 
 # --- order -----------------------------------------------------------------------------
@@ -256,10 +275,7 @@ def isolation_violations(i: Inputs) -> DataFrame:
 
 def _ordered(policy: str) -> Callable[[Inputs], DataFrame]:
     def run(i: Inputs) -> DataFrame:
-        ranked = rank_rows(
-            i.members, ordering.COMPONENT, ordering.policy_keys(policy, i.members.columns),
-            "policy_rank", sized_by=i.components,
-        )
+        ranked = ordering.policy_ranks(i.members, policy, i.components)
         return ranked.select("batch_id", "component", "task_id", "policy_rank")
 
     return run
@@ -267,7 +283,8 @@ def _ordered(policy: str) -> Callable[[Inputs], DataFrame]:
 
 def serial_waves(i: Inputs) -> DataFrame:
     order = ordering.policy_keys("FIFO", i.members.columns)
-    return ordering.serial_schedule(i.members, order).select("batch_id", "component", "task_id", "colour")
+    serial = ordering.serial_schedule(i.members, order, i.components)
+    return serial.select("batch_id", "component", "task_id", "colour")
 
 
 # --- cost ------------------------------------------------------------------------------
@@ -298,12 +315,12 @@ def colour_priority(i: Inputs) -> DataFrame:
 
 def colour_waves(i: Inputs) -> DataFrame:
     """Every task with its wave; tasks without conflicts are in the first one."""
-    coloured = i.frames.tasks.select(*graph.VERTEX).join(i.coloured.colours, graph.VERTEX, "left")
+    coloured = i.planned.select(*graph.VERTEX).join(i.coloured.colours, graph.VERTEX, "left")
     return coloured.select(*graph.VERTEX, F.coalesce("colour", F.lit(0)).alias("colour"))
 
 
 def colouring_violations(i: Inputs) -> DataFrame:
-    return planning.colouring_violations(i.frames.shared, i.coloured.colours)
+    return planning.colouring_violations(i.shared, i.coloured.colours)
 
 
 def wave_schedule(i: Inputs) -> DataFrame:
@@ -368,9 +385,8 @@ def group_messages(i: Inputs) -> DataFrame:
 
 def plan_diff(i: Inputs) -> DataFrame:
     """What changes when waves, clustering and partial admission are switched off."""
-    serial = planning.assemble(
-        replace(i.coloured, colours=None), planning.PlanConfig.serial(), i.class_admission
-    )
+    frames = replace(i.coloured, colours=None)
+    serial = planning.assemble(frames, planning.PlanConfig.serial(), i.class_admission)
     return history.plan_diff(i.plan.schedule, serial.schedule)
 
 
@@ -464,7 +480,7 @@ def denied_by_class(i: Inputs) -> DataFrame:
 def cms_estimate(i: Inputs) -> DataFrame:
     """Sketched against exact task counts per resource; an estimate is never too low."""
     keys = footprint.RESOURCE
-    fp = i.frames.footprint
+    fp = i.footprint
     exact = fp.groupBy(*keys).agg(F.count(F.lit(1)).alias("exact"))
     estimated = sketch.estimate(sketch.build(fp, keys), fp, keys)
     return exact.join(estimated, keys).select(

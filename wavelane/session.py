@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SESSION_CONF = {
+# Settings the operators rely on; all of them can be set on a running session.
+RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -16,10 +17,18 @@ SESSION_CONF = {
     # Let AQE split a hot key even where that costs one more exchange above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Checkpoint files go away with the frame that owns them.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+# Checkpoint files go away with the frame that owns them; read when the context starts.
+START_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session somebody else created."""
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def local_session(cores: int | str = "*", app: str = "wavelane", **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
@@ -30,7 +39,7 @@ def local_session(cores: int | str = "*", app: str = "wavelane", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
     )
-    for key, value in {**SESSION_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
