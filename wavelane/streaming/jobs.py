@@ -197,23 +197,24 @@ class ExpiryTimer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.deadline = handle.getValueState("deadline", "timeout_ms bigint, state string")
+        self.last = handle.getValueState("last", "ts_ms bigint, state string, timeout_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            latest = frame.iloc[-1]
+        latest = max((r for f in rows for r in f.itertuples(index=False)), key=lambda r: r.ts_ms)
+        known = self.last.get() if self.last.exists() else None
+        if known is None or latest.ts_ms >= known[0]:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if latest["expirable"] and pd.notna(latest["timeout_ms"]):
-                self.deadline.update((int(latest["timeout_ms"]), str(latest["state"])))
-                self.handle.registerTimer(int(latest["timeout_ms"]))
-            else:
-                self.deadline.clear()
+            due = bool(latest.expirable) and pd.notna(latest.timeout_ms)
+            timeout = int(latest.timeout_ms) if due else None
+            self.last.update((int(latest.ts_ms), str(latest.state), timeout))
+            if due:
+                self.handle.registerTimer(timeout)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        timeout_ms, state = self.deadline.get()
-        self.deadline.clear()
+        _, state, timeout_ms = self.last.get()
+        self.last.clear()
         yield pd.DataFrame(
             {"task_id": [key[0]], "from_state": [state], "state": ["TIMEOUT"], "timeout_ms": [timeout_ms]}
         )
@@ -240,6 +241,7 @@ def stream_timeouts(
             "task_id",
             F.col("ts").cast("timestamp").alias("ts"),
             "state",
+            F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
             F.unix_millis(F.col("timeout_at").cast("timestamp")).alias("timeout_ms"),
             expirable.alias("expirable"),
         )
