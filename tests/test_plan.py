@@ -212,3 +212,21 @@ def test_old_plan_shape(spark):
 
     digest = bytearray(hashlib.md5(b"2026-01-01T00:00:00Z").digest())
     assert plan.id == str(uuid.UUID(bytes=bytes(digest), version=3))
+
+
+def test_own_policy_pressure_and_resolver(spark):
+    specs = [("1", "a", "x"), ("2", "b", "x"), ("3", "b", "y")]
+    foot = {"1": ["k:A"], "3": ["k:A", "k:B"], "2": ["k:B"]}
+    newest_first = planning.PlanConfig(order_policy=[F.col("created_at").desc()], locality=False)
+    plan = compile_(spark, specs, foot, newest_first)
+    assert ["2", "1"] in waves(plan).values()
+    tasks = task_frame(spark, specs)
+    asked = []
+
+    def resolve(found):
+        asked.append(found.columns)
+        return resource_frame(spark, foot)
+
+    light_b = F.when(F.col("top_resource_class") == "b", 0.0).otherwise(1.0)
+    plan = planning.compile_plan(tasks, resolve, planning.PlanConfig(locality=False), pressure=light_b)
+    assert ["2", "1"] in waves(plan).values() and len(asked) == 1

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelane.functions.scalars import dsl_field
 from wavelane.session import cut_lineage
 
 RESOURCE = ["resource_class", "resource_id"]
 
+# The fields of a task's search JSON that a lookup may use.
+SEARCH = """projectId string, `from` string, `to` string, tagSetId string, talkId string,
+    engine string"""
+
 
 def footprint(tasks: DataFrame, resources: DataFrame) -> DataFrame:
     """Distinct (batch_id, task_id, resource) rows; a task without any gets its top resource.
@@ -81,20 +84,30 @@ def range_footprint(
     ``connections(project_id, connection_id)``, ``talks(talk_id, connection_id, talked_on)``,
     ``tag_sets(tag_set_id, tag_id)``, ``tag_closure(tag_id, depends_on)``.
     """
-    dsl = tasks.select(
-        "task_id",
-        dsl_field(F.col("search_dsl"), "projectId").alias("project_id"),
-        dsl_field(F.col("search_dsl"), "from").cast("date").alias("from_day"),
-        dsl_field(F.col("search_dsl"), "to").cast("date").alias("to_day"),
-        dsl_field(F.col("search_dsl"), "tagSetId").alias("tag_set_id"),
-        dsl_field(F.col("search_dsl"), "talkId").alias("only_talk"),
+    text = F.from_json("search_dsl", SEARCH)
+    dsl = cut_lineage(
+        tasks.select("task_id", "top_resource_class", "top_resource_id", text.alias("q")).select(
+            "task_id",
+            "top_resource_class",
+            "top_resource_id",
+            F.col("q.projectId").alias("project_id"),
+            F.col("q.from").cast("date").alias("from_day"),
+            F.col("q.to").cast("date").alias("to_day"),
+            F.col("q.tagSetId").alias("tag_set_id"),
+            F.col("q.talkId").alias("only_talk"),
+        )
     )
 
-    def slice_of(day):
+    def slice_of(day: Column) -> Column:
         return F.floor(F.unix_date(day) / slice_days)
 
-    def rows(df: DataFrame, cls: str, col: str) -> DataFrame:
-        return df.select("task_id", F.lit(cls).alias("resource_class"), F.col(col).alias("resource_id"))
+    def resource(cls: str | Column, value: str) -> Column:
+        cls = F.lit(cls) if isinstance(cls, str) else cls
+        return F.struct(cls.alias("resource_class"), F.col(value).alias("resource_id"))
+
+    def rows(df: DataFrame, *resources: Column) -> DataFrame:
+        named = df.select("task_id", F.inline(F.array(*resources)))
+        return named.filter(F.col("resource_id").isNotNull())
 
     linked = dsl.select("task_id", "project_id").join(connections, "project_id")
     dated = talks.join(connections, "connection_id").select(
@@ -117,20 +130,17 @@ def range_footprint(
         set_tags.join(tag_closure, "tag_id").select("tag_set_id", F.col("depends_on").alias("tag_id"))
     ).distinct()
     tagged = dsl.filter(F.col("tag_set_id").isNotNull()).select("task_id", "tag_set_id")
-    top = tasks.select(
-        "task_id",
-        F.col("top_resource_class").alias("resource_class"),
-        F.col("top_resource_id").alias("resource_id"),
-    )
     return union_footprints(
         [
-            top,
-            rows(dsl.filter(F.col("project_id").isNotNull()), "project", "project_id"),
-            rows(linked, "connection", "connection_id"),
-            rows(spoken, "talk", "talk_id"),
-            rows(spoken, "transcription", "talk_id"),
-            rows(tagged, "tag-set", "tag_set_id"),
-            rows(tagged.join(all_tags, "tag_set_id"), "tag", "tag_id"),
+            rows(
+                dsl,
+                resource(F.col("top_resource_class"), "top_resource_id"),
+                resource("project", "project_id"),
+                resource("tag-set", "tag_set_id"),
+            ),
+            rows(linked, resource("connection", "connection_id")),
+            rows(spoken, resource("talk", "talk_id"), resource("transcription", "talk_id")),
+            rows(tagged.join(all_tags, "tag_set_id"), resource("tag", "tag_id")),
         ]
     )
 

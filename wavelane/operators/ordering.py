@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,12 +14,17 @@ from wavelane.session import cut_lineage
 COMPONENT = ["batch_id", "component"]
 
 
-def policy_keys(policy: str, columns: list[str]) -> list[Column]:
+Policy = str | Sequence[Column]
+
+
+def policy_keys(policy: Policy, columns: list[str]) -> list[Column]:
     """Sort keys of an ordering policy; every policy ends on the task id.
 
     PRIORITY uses a ``priority`` column (smallest first) where the tasks carry one and is
-    FIFO otherwise. Unknown names mean FIFO.
+    FIFO otherwise. Unknown names mean FIFO. A list of columns is a policy of its own.
     """
+    if not isinstance(policy, str):
+        return [*policy, F.col("task_id").asc()]
     fifo = [F.col("created_at").asc(), F.col("task_id").asc()]
     name = policy.strip().upper()
     if name == "DEADLINE":
@@ -29,7 +36,7 @@ def policy_keys(policy: str, columns: list[str]) -> list[Column]:
 
 def policy_ranks(
     members: DataFrame,
-    policy: str,
+    policy: Policy,
     sized_by: DataFrame | None = None,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
@@ -39,7 +46,7 @@ def policy_ranks(
 
 
 def wave_keys(
-    policy: str, columns: list[str], locality: bool = True, pressure: bool = True
+    policy: Policy, columns: list[str], locality: bool = True, pressure: bool = True
 ) -> list[Column]:
     """Order inside a wave: same top resource together, then light classes, then policy."""
     keys = []

@@ -379,15 +379,15 @@ def oracle_sql() -> dict[str, str]:
             WHERE s.colour IS DISTINCT FROM f.colour OR s.component IS DISTINCT FROM f.component""").replace(
             "\n,", ",", 1),
         "plan_json_upgrade": _sql(["tasks"], """,
-            docs AS (SELECT batch_id, strftime(max(created_at), '%Y-%m-%dT%H:%M:%SZ') AS gen, count(*) AS n
-                     FROM tasks GROUP BY 1),
-            named AS (SELECT *, md5(gen) AS h FROM docs)
+            docs AS (SELECT batch_id, task_id // 10000 AS page, count(*) AS n,
+                     md5(strftime(max(created_at), '%Y-%m-%dT%H:%M:%SZ')) AS h FROM tasks GROUP BY 1, 2)
             SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-'
               || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-'
-              || substr(h, 21, 12) AS plan_id, t.batch_id, 'component-' || t.priority AS component_id,
-              CAST(row_number() OVER (PARTITION BY t.batch_id, t.priority ORDER BY t.task_id) - 1 AS INTEGER)
-              AS colour, CAST(t.task_id AS VARCHAR) AS task_id, CAST(n AS INTEGER) AS total_tasks,
-              0 AS chromatic_number FROM tasks t JOIN named USING (batch_id)""").replace("\n,", ",", 1),
+              || substr(h, 21, 12) AS plan_id, t.batch_id, page, 'component-' || t.priority AS component_id,
+              CAST(row_number() OVER (PARTITION BY t.batch_id, page, t.priority ORDER BY t.task_id) - 1
+              AS INTEGER) AS colour, CAST(t.task_id AS VARCHAR) AS task_id, CAST(n AS INTEGER) AS total_tasks,
+              0 AS chromatic_number FROM tasks t JOIN docs d
+              ON d.batch_id = t.batch_id AND d.page = t.task_id // 10000""").replace("\n,", ",", 1),
         # admission
         "class_limits": _sql(["tasks", "limits"], """SELECT DISTINCT top_resource_class AS resource_class,
             coalesce(max_inflight, 1000000) AS max_inflight, coalesce(max_rate_per_hour, 500000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.joins import lookup_join
@@ -19,7 +19,7 @@ class PlanConfig:
     """Planning options; the defaults have every optimisation on."""
 
     batch_size: int = 100
-    order_policy: str = "FIFO"
+    order_policy: ordering.Policy = "FIFO"
     max_bucket_size: int = 10_000
     colouring: bool = True
     locality: bool = True
@@ -120,9 +120,13 @@ def plan_columns(tasks: DataFrame) -> DataFrame:
     return tasks.select(*[c for c in PLAN_COLUMNS if c in tasks.columns])
 
 
+# A looked-up footprint, or a function that looks it up for the tasks it is given.
+Resolver = DataFrame | Callable[[DataFrame], DataFrame]
+
+
 def prepare(
     tasks: DataFrame,
-    resources: DataFrame,
+    resources: Resolver,
     config: PlanConfig = PlanConfig(),
     observed: DataFrame | None = None,
     failed: DataFrame | None = None,
@@ -133,6 +137,8 @@ def prepare(
     """
     if failed is not None:
         tasks = footprint.resolved_tasks(tasks, failed)
+    if callable(resources):
+        resources = resources(tasks)
     tasks = cut_lineage(
         cost.with_estimates(
             plan_columns(tasks), observed, config.task_ms, config.default_task_ms, config.cost
@@ -146,18 +152,20 @@ def prepare(
 
 def compile_plan(
     tasks: DataFrame,
-    resources: DataFrame,
+    resources: Resolver,
     config: PlanConfig = PlanConfig(),
     class_admission: DataFrame | None = None,
     observed: DataFrame | None = None,
     failed: DataFrame | None = None,
     passes: Sequence[Pass] | None = None,
+    pressure: Column | None = None,
 ) -> CompiledPlan:
     """Compile every batch in ``tasks``; reading only, writing the plan is a separate step.
 
     ``resources(task_id, resource_class, resource_id)`` is the looked-up footprint,
     ``class_admission`` the per-class decisions (none: everything is admitted), ``observed``
-    the mean run times per class and ``failed`` the tasks whose lookup failed.
+    the mean run times per class, ``failed`` the tasks whose lookup failed and ``pressure``
+    an expression over the planning columns to use instead of the pressure of the class.
     """
     if passes is None:
         passes = [components_pass, colouring_pass] if config.colouring else [components_pass]
@@ -166,11 +174,14 @@ def compile_plan(
     frames = prepare(tasks, resources, config, observed, failed)
     for step in passes:
         frames = step(frames)
-    return assemble(frames, config, class_admission)
+    return assemble(frames, config, class_admission, pressure)
 
 
 def assemble(
-    frames: PlanFrames, config: PlanConfig, class_admission: DataFrame | None = None
+    frames: PlanFrames,
+    config: PlanConfig,
+    class_admission: DataFrame | None = None,
+    pressure: Column | None = None,
 ) -> CompiledPlan:
     """Admission and ordering on top of finished passes; also re-plans under other options."""
     keys = graph.VERTEX
@@ -183,12 +194,16 @@ def assemble(
         else:
             admitted = admission.admit_all_or_nothing(members, class_admission)
 
-    use_pressure = config.backpressure_reorder and class_admission is not None
-    if use_pressure:
-        pressure = class_admission.select(
+    use_pressure = config.backpressure_reorder and (
+        pressure is not None or class_admission is not None
+    )
+    if use_pressure and pressure is not None:
+        admitted = admitted.withColumn("pressure", pressure)
+    elif use_pressure:
+        of_class = class_admission.select(
             F.col("resource_class").alias("top_resource_class"), "pressure"
         )
-        admitted = lookup_join(admitted, pressure, "top_resource_class").withColumn(
+        admitted = lookup_join(admitted, of_class, "top_resource_class").withColumn(
             "pressure", F.coalesce("pressure", F.lit(0.0))
         )
     order = ordering.wave_keys(

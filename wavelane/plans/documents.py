@@ -6,6 +6,8 @@ larger component is split into numbered parts, in order, so no row grows with th
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,15 +176,17 @@ def read_plan_json(rows: DataFrame, column: str = "plan") -> DataFrame:
     )
 
 
-def flat_waves(plans: DataFrame, id_col: str = "id") -> DataFrame:
-    """(plan, component, colour, pos, task) rows of typed plans."""
-    groups = plans.select(F.col(id_col).alias("plan_id"), F.explode("groups").alias("g"))
+def flat_waves(plans: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(plan, component, colour, pos, task) rows of typed plans, with the ``keep`` columns."""
+    head = ["plan_id", *keep]
+    groups = plans.select(F.col("id").alias("plan_id"), *keep, F.explode("groups").alias("g"))
     waves = groups.select(
-        "plan_id", F.col("g.componentId").alias("component_id"), F.explode("g.waves").alias("w")
+        *head, F.col("g.componentId").alias("component_id"), F.explode("g.waves").alias("w")
     )
-    return waves.select(
-        "plan_id",
+    tasks = waves.select(
+        *head,
         "component_id",
         F.col("w.colour").alias("colour"),
         F.posexplode("w.taskIds").alias("pos", "task_id"),
-    ).withColumn("pos", F.col("pos") + 1)
+    )
+    return tasks.withColumn("pos", F.col("pos") + 1)

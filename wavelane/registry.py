@@ -391,21 +391,21 @@ def plan_diff(i: Inputs) -> DataFrame:
 
 
 def plan_json_upgrade(i: Inputs) -> DataFrame:
-    """Plans of an old shape: no id, no waves, few metrics."""
+    """Plans of an old shape: no id, no waves, few metrics; one per week and key range."""
+    plan = ["batch_id", "page"]
     groups = (
-        i.tasks.groupBy("batch_id", F.concat(F.lit("component-"), F.col("priority").cast("string")).alias("c"))
+        i.tasks.withColumn("page", F.floor(F.col("task_id") / documents.PART_TASKS))
+        .groupBy(*plan, F.concat_ws("-", F.lit("component"), F.col("priority")).alias("componentId"))
         .agg(
-            F.transform(
-                F.sort_array(F.collect_list("task_id")), lambda t: t.cast("string")
-            ).alias("ids"),
+            F.transform(F.sort_array(F.collect_list("task_id")), lambda t: t.cast("string")).alias(
+                "orderedTasks"
+            ),
             F.max("created_at").alias("at"),
             F.count(F.lit(1)).alias("n"),
         )
-        .groupBy("batch_id")
+        .groupBy(*plan)
         .agg(
-            F.collect_list(
-                F.struct(F.col("c").alias("componentId"), F.col("ids").alias("orderedTasks"))
-            ).alias("groups"),
+            F.collect_list(F.struct("componentId", "orderedTasks")).alias("groups"),
             F.max("at").alias("at"),
             F.sum("n").alias("n"),
         )
@@ -421,14 +421,13 @@ def plan_json_upgrade(i: Inputs) -> DataFrame:
             F.create_map().cast("map<string,string>").alias("taskToComponent"),
         )
     )
-    upgraded = cut_lineage(documents.read_plan_json(groups.select("batch_id", document.alias("plan"))))
-    facts = upgraded.select(
-        F.col("id").alias("plan_id"),
-        "batch_id",
-        F.col("metrics.totalTasks").alias("total_tasks"),
-        F.col("metrics.chromaticNumber").alias("chromatic_number"),
+    upgraded = documents.read_plan_json(groups.select(*plan, document.alias("plan"))).withColumns(
+        {
+            "total_tasks": F.col("metrics.totalTasks"),
+            "chromatic_number": F.col("metrics.chromaticNumber"),
+        }
     )
-    return documents.flat_waves(upgraded).drop("pos").join(facts, "plan_id")
+    return documents.flat_waves(upgraded, [*plan, "total_tasks", "chromatic_number"]).drop("pos")
 
 
 # --- admission -------------------------------------------------------------------------
