@@ -116,3 +116,34 @@ def test_sketch(spark):
     assert read(sketch.reset(one)) == {"a": 0, "b": 0, "c": 0}
     narrow = sketch.build(rows, ["k"], depth=2, width=1)
     assert all(v >= 3 for v in read(narrow, depth=2, width=1).values())
+
+
+def test_components_stay_whole_when_skewed_joins_are_split(spark):
+    """AQE may cut a skewed join's partitions; rows of a component must still meet in order."""
+    tight = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in tight}
+    for k, v in tight.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 40_000, 1, 8).select(
+            F.lit(1).alias("batch_id"),
+            F.col("id").alias("task_id"),
+            F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5_000).alias("component"),
+            F.lit(100).alias("estimate_ms"),
+            F.lit(3).alias("degree"),
+        )
+        rows = cut_lineage(rows.withColumn(
+            "resource", F.when(F.col("component") == 0, "hot").otherwise(F.col("component").cast("string"))
+        ))
+        found = cut_lineage(colouring.colour_waves(rows, component_rows=10_000))
+        clashes = rows.join(found, ["batch_id", "task_id"]).groupBy("resource", "colour").count()
+        assert clashes.count() == 40_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -73,3 +73,13 @@ def rank_rows(
     hot = cut_lineage(hot)
     cold_rows = df.join(hot, keys, "left_anti").withColumn(out, plain)
     return cold_rows.unionByName(sliced_rank(df.join(hot, keys, "left_semi"), keys, order, out))
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], turn: str = "_turn") -> DataFrame:
+    """Rows of a group together on one task and sorted, for a function that streams over them.
+
+    The order number is what makes this hold: a window states that it needs its groups whole,
+    while a bare ``repartition`` above a join on the same keys is dropped by Spark, which may
+    then split a skewed group. Pass ``turn`` on to the function, or the window is pruned.
+    """
+    return df.withColumn(turn, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wavelane.functions.ranking import rank_rows, sliced_rank
+from wavelane.functions.ranking import in_order, rank_rows, sliced_rank
 from wavelane.operators.footprint import RESOURCE
 from wavelane.operators.graph import VERTEX
 from wavelane.session import cut_lineage
@@ -119,12 +119,9 @@ def colour_small(members: DataFrame) -> DataFrame:
 
     Sorted rows stream through in Arrow batches, so no component is ever held whole.
     """
-    ordered = members.repartition("batch_id", "component").sortWithinPartitions(
-        "batch_id", "component", *priority()
-    )
-    return ordered.select("batch_id", "component", "task_id", "resource").mapInPandas(
-        _greedy, colour_schema(members)
-    )
+    ordered = in_order(members, ["batch_id", "component"], [*priority(), F.col("resource")])
+    rows = ordered.select("batch_id", "component", "task_id", "resource", "_turn")
+    return rows.mapInPandas(_greedy, colour_schema(members))
 
 
 # Buckets above this size are filled in runs instead of one task per round.
@@ -291,9 +288,7 @@ def _block(open_rows: DataFrame, used: DataFrame, block_tasks: int) -> DataFrame
             F.coalesce(bounds, F.array().cast("array<int>")).alias("bounds"),
         )
     )
-    ordered = rows.repartition("batch_id", "component").sortWithinPartitions(
-        "batch_id", "component", "rk", "task_id"
-    )
+    ordered = in_order(rows, ["batch_id", "component"], [F.col("rk"), F.col("resource")])
     return ordered.mapInPandas(_greedy, colour_schema(rows)).withColumn("in_turn", F.lit(False))
 
 

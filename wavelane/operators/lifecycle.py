@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavelane.functions.ranking import in_order
 from wavelane.functions.scalars import at_least_zero, failure_text, ms_iso_duration
 from wavelane.schemas import ELIGIBLE_STATES, EXPIRABLE_STATES, IN_FLIGHT_STATES, TASK_STATES
 
@@ -207,7 +208,7 @@ def apply_by_component(schedule: DataFrame, work: Callable[[dict], dict]) -> Dat
     def run(frames):
         for frame in frames:
             done = []
-            for row in frame.to_dict("records"):
+            for row in frame.drop(columns="_turn").to_dict("records"):
                 try:
                     result = work(row)
                     values = [result.get(n) for n in names]
@@ -216,9 +217,7 @@ def apply_by_component(schedule: DataFrame, work: Callable[[dict], dict]) -> Dat
                 done.append([row[k] for k in keys] + values)
             yield pd.DataFrame(done, columns=keys + names)
 
-    ordered = schedule.repartition("batch_id", "component").sortWithinPartitions(
-        "batch_id", "component", "ordinal"
-    )
+    ordered = in_order(schedule, ["batch_id", "component"], [F.col("ordinal")])
     return ordered.mapInPandas(run, schema)
 
 
