@@ -156,6 +156,8 @@ def apply_outcomes(
             .otherwise(on_failed)
         )
 
+    # The wire texts "Task not found", "Task timed out before dispatch" and
+    # "Task exceeded deadline (...)" are part of the result format.
     t, f, none = F.lit(True), F.lit(False), F.lit(None).cast("string")
     timeout, failed, done = F.lit("TIMEOUT"), F.lit("FAILED"), F.lit("COMPLETED")
     had = F.col("_had")

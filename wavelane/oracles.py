@@ -117,7 +117,7 @@ adm AS (
     "groups": """waves AS (SELECT batch_id, component, colour, count(*) AS n, max(estimate_ms) AS ms
           FROM sched GROUP BY ALL),
 groups AS (SELECT batch_id, component, sum(n) AS size, count(*) AS wave_count, max(n) AS widest,
-                  max(colour) + 1 AS chi, sum(ms) AS critical_path_ms FROM waves GROUP BY ALL)""",
+                  CAST(max(colour) + 1 AS BIGINT) AS chi, sum(ms) AS critical_path_ms FROM waves GROUP BY ALL)""",
     "metrics": """metrics AS (
   SELECT t.batch_id, t.total_tasks, coalesce(g.n, 0) AS connected_components,
          coalesce(g.largest, 0) AS largest_component,

@@ -189,4 +189,4 @@ def flat_waves(plans: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         F.col("w.colour").alias("colour"),
         F.posexplode("w.taskIds").alias("pos", "task_id"),
     )
-    return tasks.withColumn("pos", F.col("pos") + 1)
+    return tasks.withColumn("pos", (F.col("pos") + 1).cast("bigint"))
