@@ -10,7 +10,7 @@ from wavelane.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "2"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
