@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as contract  # noqa: E402
+from wavelane import oracles, registry  # noqa: E402
 from tools.check_queries import TABLES, rows  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +19,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(registry.queries()) == set(oracles.oracle_sql())
+    assert set(registry.queries()) <= set(contract.queries())
 
 
 def test_entry(spark):
