@@ -8,11 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, chat, simhash
+from wavelane.llm import bpe, chat, quality, simhash
 from wavelane.llm.common import table
 from wavelane.session import configure
 
 
+def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.verdicts(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "distance"
+    )
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -44,6 +51,7 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_outliers": quality_verdicts,
     "op3_bpe_round_trip": bpe_round_trip,
     "op4_chat_format": chat_format,
     "op10_simhash_components": simhash_components,
