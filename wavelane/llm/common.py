@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wavelane.session import shared_path
 
@@ -62,7 +63,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about ``most`` bytes of text each, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(pc.cast(batch.column(text), pa.binary())), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = held = 0
     for k, size in enumerate(sizes):
         if k > start and held + size > most:
@@ -76,7 +77,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 def map_slices(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch],
-    schema: str,
+    schema: str | StructType,
     text: str = "text",
     most: int = SLICE_BYTES,
 ) -> DataFrame:

@@ -8,11 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, chat, quality, simhash
-from wavelane.llm.common import table
+from wavelane.llm import bpe, chat, decontaminate, quality, simhash
+from wavelane.llm.common import joined_digest, table
 from wavelane.session import configure
 
 
+def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        joined_digest(F.col("items")).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.verdicts(table(spark, sf_dir, "documents"))
     return found.select(
@@ -51,6 +64,7 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_hits": benchmark_hits,
     "op2_quality_outliers": quality_verdicts,
     "op3_bpe_round_trip": bpe_round_trip,
     "op4_chat_format": chat_format,
