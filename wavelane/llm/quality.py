@@ -47,11 +47,11 @@ CUTOFF = 40.0
 
 # Transformed statistics and the least spread each of them is taken to have.
 FEATURES = {
-    "size": (F.log1p("n_words"), 0.3),
-    "word_size": (F.log(F.col("word_chars") / F.col("n_words")), 0.1),
-    "symbols": (F.log1p(100 * F.col("n_symbols") / F.col("word_chars")), 0.3),
-    "lines": (F.log1p(100 * F.col("n_dup_lines") / F.col("n_words")), 1.0),
-    "repeats": (F.log1p(100 * F.col("n_repeat_words") / F.col("n_words")), 1.0),
+    "size": ("log1p(n_words)", 0.3),
+    "word_size": ("ln(word_chars / n_words)", 0.1),
+    "symbols": ("log1p(100 * n_symbols / word_chars)", 0.3),
+    "lines": ("log1p(100 * n_dup_lines / n_words)", 1.0),
+    "repeats": ("log1p(100 * n_repeat_words / n_words)", 1.0),
 }
 _X = [f"_x{k}" for k in range(len(FEATURES))]
 _GROUP = ["_lang", "_source"]
@@ -217,7 +217,7 @@ def fit(stats: DataFrame) -> DataFrame:
         F.when(F.col("_g").isNotNull(), F.concat(F.lit("="), "_g")).otherwise("*").alias("_to_source"),
     )
     placed = cut_lineage(placed)
-    values = [f.alias(x) for (f, _), x in zip(FEATURES.values(), _X)]
+    values = [F.expr(f).alias(x) for (f, _), x in zip(FEATURES.values(), _X)]
     rows = lookup_join(passing.select(*_GROUP, *values), placed, _GROUP, "inner").select(
         F.col("_to_lang").alias("_lang"), F.col("_to_source").alias("_source"), *_X
     )
@@ -251,7 +251,7 @@ def fit(stats: DataFrame) -> DataFrame:
 
 def judge(stats: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Add base_failed, distance (squared, scaled; null without an estimate) and kept."""
-    values = [f.alias(x) for (f, _), x in zip(FEATURES.values(), _X)]
+    values = [F.expr(f).alias(x) for (f, _), x in zip(FEATURES.values(), _X)]
     joined = lookup_join(stats.select("*", *values), estimates, _GROUP)
     distance = F.when(~base_failed(), _squared_distance() / F.col("_scale"))
     return joined.withColumn("base_failed", base_failed()).withColumn("distance", distance).withColumn(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, chat, decontaminate, quality, simhash
+from wavelane.llm import bpe, chat, decontaminate, lines, quality, simhash
 from wavelane.llm.common import joined_digest, table
 from wavelane.session import configure
 
@@ -33,6 +33,12 @@ def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.report(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_chunks", kept)
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -68,9 +74,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_outliers": quality_verdicts,
     "op3_bpe_round_trip": bpe_round_trip,
     "op4_chat_format": chat_format,
+    "op9_line_dedup": line_dedup,
     "op10_simhash_components": simhash_components,
 }
 
+SQL = {"op9_line_dedup": lines.REPORT_SQL}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -80,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
