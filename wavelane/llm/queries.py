@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, chat, decontaminate, lines, quality, simhash
+from wavelane.llm import bpe, chat, decontaminate, licenses, lines, quality, simhash
 from wavelane.llm.common import joined_digest, table
 from wavelane.session import configure
 
@@ -39,6 +39,10 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_chunks", kept)
 
 
+def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -74,11 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_outliers": quality_verdicts,
     "op3_bpe_round_trip": bpe_round_trip,
     "op4_chat_format": chat_format,
+    "op8_license_labels": license_labels,
     "op9_line_dedup": line_dedup,
     "op10_simhash_components": simhash_components,
 }
 
-SQL = {"op9_line_dedup": lines.REPORT_SQL}
+SQL = {"op8_license_labels": licenses.LABELS_SQL, "op9_line_dedup": lines.REPORT_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
