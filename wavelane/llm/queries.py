@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, chat, decontaminate, licenses, lines, quality, simhash
+from wavelane.llm import bpe, chat, decontaminate, licenses, lines, quality, simhash, substrings
 from wavelane.llm.common import joined_digest, table
 from wavelane.session import configure
 
@@ -43,6 +43,20 @@ def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(
+        F.arrays_zip("starts", "ends"), F.lit(0).cast("bigint"), lambda n, s: n + s["ends"] - s["starts"]
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -78,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_outliers": quality_verdicts,
     "op3_bpe_round_trip": bpe_round_trip,
     "op4_chat_format": chat_format,
+    "op6_substring_dedup": substring_dedup,
     "op8_license_labels": license_labels,
     "op9_line_dedup": line_dedup,
     "op10_simhash_components": simhash_components,
