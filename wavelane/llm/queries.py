@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, chat, decontaminate, licenses, lines, quality, simhash, substrings
+from wavelane.llm import token_counts as counting
+from wavelane.llm import bpe, chat, decontaminate, language_model, licenses, lines, quality, simhash, substrings
 from wavelane.llm.common import joined_digest, table
 from wavelane.session import configure
 
@@ -43,6 +44,18 @@ def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = language_model.held_out_fold(F.col("doc_id"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = language_model.score(table(spark, sf_dir, "documents"), held, path)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return counting.token_counts(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate(
@@ -92,7 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_outliers": quality_verdicts,
     "op3_bpe_round_trip": bpe_round_trip,
     "op4_chat_format": chat_format,
+    "op5_lattice_likelihood": lattice_likelihood,
     "op6_substring_dedup": substring_dedup,
+    "op7_trie_token_counts": trie_token_counts,
     "op8_license_labels": license_labels,
     "op9_line_dedup": line_dedup,
     "op10_simhash_components": simhash_components,
