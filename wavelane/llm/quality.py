@@ -97,7 +97,9 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": covered,
     }
-    return step.select(*kept, F.struct(*[c.cast("bigint").alias(n) for n, c in counts.items()]).alias(STATS))
+    # Filters on the counts stop at a generator: pushed further down they would take the text apart once per word.
+    stats = F.struct(*[c.cast("bigint").alias(n) for n, c in counts.items()])
+    return step.select(*kept, F.explode(F.array(stats)).alias(STATS))
 
 
 def base_failed() -> Column:

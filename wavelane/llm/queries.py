@@ -116,11 +116,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL = {"op8_license_labels": licenses.LABELS_SQL, "op9_line_dedup": lines.REPORT_SQL}
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: query(configure(spark), sf_dir)
 
-    return {name: ready(query) for name, query in QUERIES.items()}
+    return {name: ready(query) for name, query in (QUERIES | {"pipeline": pipeline}).items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,8 @@ one group; rows with a null id get a fingerprint and no component; rows that rep
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import reduce
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +62,18 @@ def text_fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the signed 64-bit fingerprint of every text."""
+    """(id, body, fp): a hash of every text and its signed 64-bit fingerprint."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        found = [text_fingerprint(t, width) for t in as_bytes(piece.column(1))]
-        return pa.record_batch([piece.column(0), pa.array(found, pa.int64())], ["id", "fp"])
+        found = [text_fingerprint(t, width) for t in as_bytes(piece.column(2))]
+        return pa.record_batch([*piece.columns[:2], pa.array(found, pa.int64())], ["id", "body", "fp"])
 
-    return map_slices(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, "id bigint, fp bigint")
+    return map_slices(_with_body(docs, id_col, text_col), run, "id bigint, body bigint, fp bigint")
+
+
+def _with_body(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("body"), text.alias("text"))
 
 
 def _split(bits: list[int], parts: int) -> list[list[int]]:
@@ -231,15 +237,17 @@ def _join_blocks(limit: int):
     return run
 
 
-def links(fps: DataFrame, max_bits: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 4, agree: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b) edges that connect just what is linked, from (fp, v) with distinct ``fp``.
 
-    Joined over all buckets they have the components of all links of at most ``max_bits`` bits.
+    Joined over all buckets they have the components of all links of at most ``max_bits`` bits. A
+    bucket shares ``agree`` of ``max_bits + agree`` blocks: more of them make more and smaller buckets.
     """
     spark = fps.sparkSession
     whole = list(range(64))
     first, second = [], {}
-    for n, bits in enumerate(_split(whole, max_bits + 1)):
+    for n, blocks in enumerate(combinations(_split(whole, max_bits + agree), agree)):
+        bits = [b for block in blocks for b in block]
         first.append((n, _mask(bits)))
         rest = [b for b in whole if b not in bits]
         second[n] = [
@@ -261,12 +269,12 @@ def links(fps: DataFrame, max_bits: int = 4, bucket_rows: int = BUCKET_ROWS) ->
     return placed.mapInArrow(_join_blocks(max_bits), "a bigint, b bigint")
 
 
-def groups(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+def groups(fps: DataFrame, max_bits: int = 4, agree: int = 1) -> DataFrame:
     """(fp, component): the smallest id reachable from each fingerprint of (id, fp) rows."""
     distinct = staged(
         fps.filter(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("v")), "simhash-distinct"
     )
-    edges = links(distinct, max_bits).select(
+    edges = links(distinct, max_bits, agree).select(
         F.lit(0).cast("bigint").alias("batch_id"),
         F.greatest("a", "b").alias("task_id"),
         F.least("a", "b").alias("centre"),
@@ -285,5 +293,68 @@ def near_duplicates(
     return fps.join(groups(fps, max_bits), "fp", "left").select("id", "fp", component)
 
 
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, as ``text_fingerprint`` takes them."""
+    words = text.translate(LOWER).split()
+    found = {xxhash.xxh64_digest(b" ".join(words[k : k + width]), 42) for k in range(max(1, len(words) - width + 1))}
+    return np.frombuffer(b"".join(found), np.int64) if words else np.zeros(0, np.int64)
+
+
+def deduplicated(
+    docs: DataFrame,
+    width: int = 5,
+    max_bits: int = 8,
+    similarity: float = 0.8,
+    agree: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``docs`` without near-duplicates: of every group the smallest id stays, with all columns.
+
+    Components of linked fingerprints are candidates. In each one the smallest id stays and takes along what shares
+    at least ``similarity`` of the shingles with it (Jaccard); what is left of the component goes on with its next
+    smallest id. Equal texts share one verdict, so copies are compared once. Rows with a null id stay; rows
+    that share id and text stay or go together.
+    """
+    fps = staged(fingerprints(docs, width, id_col, text_col).filter(F.col("id").isNotNull()), "simhash")
+    members = fps.join(groups(fps, max_bits, agree), "fp").groupBy("component", "body").agg(F.min("id").alias("least"))
+    bodies = staged(members, "simhash-bodies")
+    several = bodies.groupBy("component").count().filter(F.col("count") > 1).select("component")
+    asked = bodies.join(several, "component").select("component", "body", F.col("least").alias("id"))
+
+    def shingles(piece: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_hashes(t, width) for t in as_bytes(piece.column(3))]
+        lists = pa.array(found, pa.list_(pa.int64()))
+        return pa.record_batch([*piece.columns[:3], lists], ["component", "body", "id", "shingles"])
+
+    texts = asked.join(_with_body(docs, id_col, text_col), ["id", "body"]).select("component", "body", "id", "text")
+    schema = "component bigint, body bigint, id bigint, shingles array<bigint>"
+    # Rows that repeat an id and its text give one row here.
+    left = staged(map_slices(texts, shingles, schema).dropDuplicates(["component", "body"]), "simhash-shingles")
+    gone = []
+    while not left.isEmpty():
+        heads = left.groupBy("component").agg(F.min_by(F.struct("body", "shingles"), F.struct("id", "body")).alias("head"))
+        both = F.size(F.array_intersect("shingles", "head.shingles"))
+        union = F.size("shingles") + F.size("head.shingles") - both
+        near = F.when(union == 0, True).otherwise(both >= similarity * union)
+        judged = staged(
+            left.join(heads, "component").filter(F.col("body") != F.col("head.body")).select(*left.columns, near.alias("near")),
+            "simhash-round",
+        )
+        gone.append(judged.filter("near").select("component", "body"))
+        left = judged.filter(~F.col("near")).drop("near")
+    dropped = reduce(DataFrame.unionByName, gone) if gone else bodies.select("component", "body").limit(0)
+    fate = bodies.join(dropped.withColumn("gone", F.lit(True)), ["component", "body"], "left")
+    # A text that stays is kept under its smallest id.
+    stays = fate.filter(F.col("gone").isNull()).select(F.col("least").alias("_least"), F.col("body").alias("_kept"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(id_col).alias("_least"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_kept"),
+    )
+    kept = rows.filter(F.col("_least").isNotNull()).join(stays, ["_least", "_kept"], "left_semi")
+    return kept.unionByName(rows.filter(F.col("_least").isNull())).select("_row.*")
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
