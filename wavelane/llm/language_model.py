@@ -101,7 +101,7 @@ def fit(words: DataFrame, ends: int, path: str, steps: int = STEPS) -> tuple[np.
     fields = spark.sparkContext.broadcast(vars(pieces))
     kinds = pieces.count
     total = float(words.agg(F.sum("c")).first()[0] or 0)
-    end = (ends + SMOOTHING) / (ends + total + SMOOTHING)
+    end = (ends + SMOOTHING) / (ends + total + 2 * SMOOTHING)
     weight = start + math.log1p(-end)
     for _ in range(steps if total else 0):
         now = spark.sparkContext.broadcast(weight)

@@ -32,14 +32,14 @@ MAX_TEMPLATE_WORDS = 100_000
 # Phrases with the labels they stand for.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# License notices, as templates: (label, words).
+# License notices, as templates: (label, words). No notice may hold all words of another: containment
+# could not tell them apart.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),

@@ -48,10 +48,10 @@ CUTOFF = 40.0
 # Transformed statistics and the least spread each of them is taken to have.
 FEATURES = {
     "size": ("log1p(n_words)", 0.3),
-    "word_size": ("ln(word_chars / n_words)", 0.1),
-    "symbols": ("log1p(100 * n_symbols / word_chars)", 0.3),
-    "lines": ("log1p(100 * n_dup_lines / n_words)", 1.0),
-    "repeats": ("log1p(100 * n_repeat_words / n_words)", 1.0),
+    "word_size": ("ln(greatest(word_chars, 1) / greatest(n_words, 1))", 0.1),
+    "symbols": ("log1p(100 * n_symbols / greatest(word_chars, 1))", 0.3),
+    "lines": ("log1p(100 * n_dup_lines / greatest(n_words, 1))", 1.0),
+    "repeats": ("log1p(100 * n_repeat_words / greatest(n_words, 1))", 1.0),
 }
 _X = [f"_x{k}" for k in range(len(FEATURES))]
 _GROUP = ["_lang", "_source"]
