@@ -108,6 +108,16 @@ def test_rates(spark):
     assert [r.n for r in rows] == [1, 2] and rows[0].booked_minute == rows[1].booked_minute
 
 
+def test_completions_leave_the_rate_alone(spark):
+    events = class_events(spark, [("a", 0, "emit"), ("a", 1, "complete"), ("a", 2, "emit"), ("a", 3, "complete")])
+    assert [r.n for r in admission.hourly_rate(events).orderBy("event_id").collect()] == [1, 2]
+    assert admission.class_state(events).first().rate == 2
+    one = "resource_class string, max_inflight bigint, max_rate_per_hour bigint"
+    limit = spark.createDataFrame([("a", 9, 2)], one)
+    state = admission.class_state(events)
+    assert not admission.class_admission(state.select("resource_class"), state, limit).first().admitted
+
+
 def test_counters_match_a_loop(spark):
     rnd = random.Random(4)
     marks, minute = [], 0
@@ -122,10 +132,11 @@ def test_counters_match_a_loop(spark):
     for i, (c, m, kind) in enumerate(marks):
         balance[c] = max(0, balance[c] + (1 if kind == "emit" else -1))
         want[i] = balance[c]
-        recent[c].append(m)
-        while recent[c][0] < m - 59:
-            recent[c].popleft()
-        rates[i] = len(recent[c])
+        if kind == "emit":
+            recent[c].append(m)
+            while recent[c][0] < m - 59:
+                recent[c].popleft()
+            rates[i] = len(recent[c])
     got = {r.event_id: r.inflight for r in admission.inflight_balance(events, seeds).collect()}
     assert got == want
     assert {r.event_id: r.n_at_event for r in admission.hourly_rate(events).collect()} == rates

@@ -57,7 +57,7 @@ def test_arrival_rate_books_late_events_as_current(spark, tmp_path):
     feed(spark, tmp_path, lambda s: jobs.stream_rate_arrival(s, out, state, ckpt, ONCE), parts, EVENT)
     got = jobs.read_epochs(spark, out).drop("epoch")
     want = admission.hourly_rate_arrival(spark.createDataFrame(sum(parts, []), EVENT))
-    assert got.count() == 140 and got.exceptAll(want.select(got.columns)).isEmpty()
+    assert got.count() == want.count() > 80 and got.exceptAll(want.select(got.columns)).isEmpty()
     last = spark.read.parquet(f"{state}/epoch=1")
     assert last.groupBy("resource_class").count().filter("count > 60").isEmpty()
 
@@ -159,7 +159,8 @@ def test_sliding_rate_closes_windows_behind_the_watermark(spark, tmp_path):
     feed(spark, tmp_path, lambda s: jobs.stream_hourly_rate(s, out, ckpt, ONCE), parts, EVENT)
     rows = jobs.read_epochs(spark, out)
     at = {(r.resource_class, r.window_end): r.n for r in rows.collect()}
-    assert at[("a", BASE + 60 * MINUTE)] == 30 and at[("b", BASE + 100 * MINUTE)] == 30
+    # A minute in three has a completion, which no window counts.
+    assert at[("a", BASE + 60 * MINUTE)] == 20 and at[("b", BASE + 100 * MINUTE)] == 20
     assert max(e for _, e in at) <= BASE + 128 * MINUTE
 
 

@@ -61,6 +61,11 @@ def inflight_balance(events: DataFrame, seeds: DataFrame | None = None) -> DataF
     return balanced.select("event_id", "resource_class", "ts", "inflight")
 
 
+def emissions(events: DataFrame) -> DataFrame:
+    """The events that a rate counts: work sent out, not work that came back."""
+    return events.filter(F.col("kind") == "emit")
+
+
 def minute_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("resource_class", epoch_minute(F.col("ts")).alias("minute")).agg(
         F.count(F.lit(1)).alias("in_minute")
@@ -68,11 +73,12 @@ def minute_counts(events: DataFrame) -> DataFrame:
 
 
 def hourly_rate(events: DataFrame, minutes: int = RATE_MINUTES) -> DataFrame:
-    """Events of the class in each event's minute and the 59 before it.
+    """Emissions of the class in each emission's minute and the 59 before it.
 
-    ``n`` covers the whole minute; ``n_at_event`` leaves out the events of that minute that
+    ``n`` covers the whole minute; ``n_at_event`` leaves out the emissions of that minute that
     come later. The sliding sum runs over minute totals, not over events.
     """
+    events = emissions(events)
     trailing = (
         Window.partitionBy("resource_class").orderBy("minute").rangeBetween(-(minutes - 1), 0)
     )
@@ -103,8 +109,9 @@ def hourly_rate_arrival(
     The clock of a class is the latest minute seen so far. An event is booked in the clock's
     minute and sees the bookings of the trailing window up to and including itself.
     ``earlier(resource_class, booked_minute, booked)`` are bookings made before these events.
+    Only emissions are booked.
     """
-    keyed = events.select(
+    keyed = emissions(events).select(
         "event_id",
         "resource_class",
         epoch_minute(F.col("ts")).alias("minute"),
@@ -169,17 +176,17 @@ def hourly_rate_arrival(
 
 
 def class_state(events: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """In-flight balance and trailing hourly rate of each class after the last event of all."""
+    """In-flight balance and trailing hourly rate of emissions of each class after the last event of all."""
     last = F.struct("ts", "event_id", "inflight")
     balance = (
         inflight_balance(events, seeds)
         .groupBy("resource_class")
         .agg(F.max(last)["inflight"].alias("inflight"))
     )
-    counts = cut_lineage(minute_counts(events))
-    now = counts.agg(F.max("minute")).first()[0]
+    now = events.agg(F.max(epoch_minute(F.col("ts")))).first()[0]
     recent = (
-        counts.filter(F.col("minute") > F.lit(now) - RATE_MINUTES)
+        minute_counts(emissions(events))
+        .filter(F.col("minute") > F.lit(now) - RATE_MINUTES)
         .groupBy("resource_class")
         .agg(F.sum("in_minute").alias("rate"))
     )

@@ -70,6 +70,7 @@ colours AS (SELECT p.batch_id, p.task_id, CAST(g.cs[p.k] AS INTEGER) AS colour
          epoch_us(ts) // 60000000 AS minute,
          CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'emit' ELSE 'complete' END AS kind
   FROM events JOIN customer ON user_id = c_custkey)""",
+    "emits": "emits AS (SELECT * FROM cev WHERE kind = 'emit')",
     "seeds": """seeds AS (
   SELECT top_resource_class AS resource_class, count(*) AS inflight FROM tasks
   WHERE state IN ('STARTED', 'PROCESSING') GROUP BY 1)""",
@@ -82,12 +83,12 @@ balance AS (
          ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS inflight FROM run)""",
     "limits": """limits AS (
   SELECT c_mktsegment AS resource_class,
-         CASE WHEN c_mktsegment = 'FURNITURE' THEN count(*) * 50 ELSE count(*) // 6 END AS max_inflight,
-         count(*) AS max_rate_per_hour
+         CASE WHEN c_mktsegment = 'MACHINERY' THEN count(*) // 6 ELSE count(*) * 50 END AS max_inflight,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN count(*) // 80 ELSE count(*) END AS max_rate_per_hour
   FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY') GROUP BY 1)""",
     "adm": """classes AS (SELECT DISTINCT top_resource_class AS resource_class FROM tasks
             UNION SELECT DISTINCT resource_class FROM cev),
-rates AS (SELECT resource_class, count(*) AS rate FROM cev
+rates AS (SELECT resource_class, count(*) AS rate FROM emits
           WHERE minute > (SELECT max(minute) FROM cev) - 60 GROUP BY 1),
 ends AS (SELECT resource_class, arg_max(inflight, (ts, event_id)) AS inflight FROM balance GROUP BY 1),
 counted AS (
@@ -191,7 +192,7 @@ closure(tag, up) AS (
 GRAPH = ["tasks", "fp", "edges"]
 COMP = [*GRAPH, "comp"]
 COST = ["durs", "est"]
-ADM = ["cev", "seeds", "balance", "limits", "adm"]
+ADM = ["cev", "emits", "seeds", "balance", "limits", "adm"]
 COLOUR = [*COMP, *COST, "colours"]
 SCHED = [*COLOUR, *ADM, "members", "sched"]
 METRICS = [*SCHED, "groups", "metrics"]
@@ -394,19 +395,19 @@ def oracle_sql() -> dict[str, str]:
             AS max_rate_per_hour FROM tasks LEFT JOIN limits ON resource_class = top_resource_class"""),
         "inflight_balance": _sql(["tasks", "cev", "seeds", "balance"],
             "SELECT event_id, resource_class, inflight FROM balance"),
-        "hourly_rate": _sql(["cev"], """SELECT event_id, resource_class, minute,
+        "hourly_rate": _sql(["cev", "emits"], """SELECT event_id, resource_class, minute,
             count(*) OVER (PARTITION BY resource_class ORDER BY minute RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)
             AS n, count(*) OVER (PARTITION BY resource_class ORDER BY minute
               RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)
             - count(*) OVER (PARTITION BY resource_class, minute ORDER BY ts, event_id
-              ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n_at_event FROM cev"""),
-        "hourly_rate_arrival": _sql(["cev"], """SELECT event_id, resource_class, booked_minute,
+              ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n_at_event FROM emits"""),
+        "hourly_rate_arrival": _sql(["cev", "emits"], """SELECT event_id, resource_class, booked_minute,
             count(*) OVER (PARTITION BY resource_class ORDER BY booked_minute
               RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)
             - count(*) OVER (PARTITION BY resource_class, booked_minute ORDER BY event_id
               ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n
             FROM (SELECT event_id, resource_class, max(minute) OVER (PARTITION BY resource_class
-                  ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS booked_minute FROM cev)"""),
+                  ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS booked_minute FROM emits)"""),
         "class_admission": _sql(["tasks", *ADM], "SELECT * FROM adm"),
         "class_pressure": _sql(["tasks", *ADM], "SELECT resource_class, pressure FROM adm"),
         "admit_partial": _sql([*COMP, *COST, *ADM, "members"], """SELECT batch_id, component, task_id
@@ -482,18 +483,18 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT l_orderkey AS task_id, CAST(l_linenumber AS BIGINT) AS version,
                   CASE WHEN l_returnflag = 'R' THEN 'PAUSED' WHEN l_linestatus = 'O' THEN 'STARTED'
                        ELSE 'COMPLETED' END AS state FROM lineitem) GROUP BY 1""",
-        "stream_rate_arrival": _sql(["cev"], """SELECT event_id, resource_class, booked_minute,
+        "stream_rate_arrival": _sql(["cev", "emits"], """SELECT event_id, resource_class, booked_minute,
             count(*) OVER (PARTITION BY resource_class ORDER BY booked_minute
               RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)
             - count(*) OVER (PARTITION BY resource_class, booked_minute ORDER BY event_id
               ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n
             FROM (SELECT event_id, resource_class, max(minute) OVER (PARTITION BY resource_class
-                  ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS booked_minute FROM cev)"""),
-        "stream_hourly_rate": _sql(["cev"], """,
-            clock AS (SELECT date_trunc('minute', max(ts) - INTERVAL '1 minute') AS closed FROM cev)
+                  ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS booked_minute FROM emits)"""),
+        "stream_hourly_rate": _sql(["cev", "emits"], """,
+            clock AS (SELECT date_trunc('minute', max(ts) - INTERVAL '1 minute') AS closed FROM emits)
             SELECT window_end, resource_class, count(*) AS n FROM (
               SELECT resource_class, unnest(range(date_trunc('minute', ts) + INTERVAL '1 minute',
-                     date_trunc('minute', ts) + INTERVAL '61 minutes', INTERVAL '1 minute')) AS window_end FROM cev)
+                     date_trunc('minute', ts) + INTERVAL '61 minutes', INTERVAL '1 minute')) AS window_end FROM emits)
             WHERE window_end <= (SELECT closed FROM clock) GROUP BY ALL""").replace("\n,", ",", 1),
         "stream_timeouts": _sql(["tasks"], f"""SELECT task_id, state AS from_state, 'TIMEOUT' AS state,
             epoch_ms(timeout_at) AS timeout_ms FROM tasks WHERE state IN {EXPIRABLE}

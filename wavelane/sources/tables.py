@@ -210,11 +210,12 @@ def class_limits(spark: SparkSession, folder: str) -> DataFrame:
         .filter(cls.isin("BUILDING", "FURNITURE", "MACHINERY"))
         .groupBy(cls.alias("resource_class"))
         .agg(
-            F.when(F.first(cls) == "FURNITURE", n * 50)
-            .otherwise(F.floor(n / 6))
+            F.when(F.first(cls) == "MACHINERY", F.floor(n / 6))
+            .otherwise(n * 50)
             .cast("bigint")
             .alias("max_inflight"),
-            n.alias("max_rate_per_hour"),
+            # Low enough for the rate alone to close a class.
+            F.when(F.first(cls) == "BUILDING", F.floor(n / 80)).otherwise(n).cast("bigint").alias("max_rate_per_hour"),
         )
     )
 

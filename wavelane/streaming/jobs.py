@@ -108,13 +108,14 @@ def latest_epoch_rows(spark: SparkSession, out: str, key: str) -> DataFrame:
 def stream_hourly_rate(
     events: DataFrame, out: str, checkpoint: str, trigger: dict[str, Any], lateness: str = "1 minute"
 ) -> StreamingQuery:
-    """Events per class in every 60-minute window sliding by a minute, in event time.
+    """Emissions per class in every 60-minute window sliding by a minute, in event time.
 
     Events later than ``lateness`` behind the newest one are left out of closed windows;
     ``stream_rate_arrival`` is the form that books them as current instead.
     """
     rate = (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        admission.emissions(events)
+        .withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", lateness)
         .groupBy(F.window("ts", "60 minutes", "1 minute"), "resource_class")
         .agg(F.count(F.lit(1)).alias("n"))
