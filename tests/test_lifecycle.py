@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavelane.operators import admission, lifecycle, progress
 from wavelane.schemas import TASKS
+from wavelane.plans import documents
 from wavelane.sources import ingest, messages, store
 
 NOW = datetime(2026, 8, 14, 12, 0, 0)
@@ -173,13 +174,20 @@ def test_task_table_keeps_newest_version(spark, tmp_path):
 
 
 def test_group_messages(spark):
-    groups = spark.createDataFrame(
-        [("component-0", ["a", "b"], [(0, ["a", "b"])])],
-        "component_id string, ordered_tasks array<string>, waves array<struct<colour:int,taskIds:array<string>>>",
+    schedule = spark.createDataFrame(
+        [(1, "A", 0, p, p, t) for p, t in enumerate("abcde", 1)] + [(1, "A", 1, 1, 6, "f"), (2, "A", 0, 1, 1, "g")],
+        "batch_id bigint, component string, colour int, pos bigint, ordinal bigint, task_id string",
     )
-    sent = messages.encode_groups(groups)
-    assert sent.first().key == "component-0"
-    assert messages.decode_groups(sent).first().waves[0].taskIds == ["a", "b"]
+    ids = schedule.select("batch_id", "component", F.lit("component-0").alias("component_id")).distinct()
+    want = {(r.batch_id, "component-0", r.colour, r.pos, r.task_id) for r in schedule.collect()}
+    for size, several in ((2, 4), (100, 2)):
+        sent = messages.encode_groups(documents.nested_groups(schedule, ids, size))
+        assert sent.count() == several and sent.first().key == "component-0"
+        # Parts may arrive in any order.
+        shuffled = sent.orderBy(F.col("part").desc(), F.col("batch_id").desc())
+        got = documents.group_waves(messages.decode_groups(shuffled), ["batch_id"]).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert all('"part"' not in r.value and '"firstPos"' not in r.value for r in sent.collect())
     bare = spark.createDataFrame([("k", '{"componentId":"k","orderedTasks":["x","y"]}')], "key string, value string")
     assert [w.colour for w in messages.decode_groups(bare).first().waves] == [0, 1]
 

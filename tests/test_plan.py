@@ -1,5 +1,7 @@
 """Golden planning examples."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +154,38 @@ def test_empty_batch(spark):
     assert plan.schedule.isEmpty() and plan.metrics().isEmpty()
 
 
+def test_uncoloured_components_run_serially(spark):
+    specs = [("1", "a", "x"), ("2", "a", "y"), ("3", "a", "z")]
+
+    def no_colours(frames):
+        return replace(frames, colours=frames.components.select("batch_id", "task_id", F.lit(0).alias("colour")).limit(0))
+
+    plan = compile_(
+        spark, specs, {"1": ["k:A"], "2": ["k:A"]}, passes=[planning.components_pass, no_colours]
+    )
+    rows = {r.task_id: r for r in plan.schedule.collect()}
+    assert sorted((rows["1"].colour, rows["2"].colour)) == [0, 1] and rows["3"].colour == 0
+
+
+def test_added_conflicts_are_refused(spark):
+    def more(frames):
+        row = frames.shared.limit(1).withColumn("task_id", F.lit("2"))
+        return replace(frames, shared=frames.shared.unionByName(row))
+
+    with pytest.raises(ValueError, match="adds conflicts"):
+        compile_(
+            spark,
+            [("1", "a", "x"), ("2", "a", "y"), ("3", "a", "z")],
+            {"1": ["k:A"], "3": ["k:A"]},
+            passes=[planning.components_pass, more],
+        )
+
+
+def test_hot_buckets_of_a_compile(spark):
+    plan = compile_(spark, [("1", "a", "x"), ("2", "a", "y")], {"1": ["k:A"], "2": ["k:A"]}, planning.PlanConfig(max_bucket_size=1))
+    assert [r.resource_id for r in plan.hot_buckets().collect()] == ["A"] and plan.schedule.count() == 2
+
+
 def test_passes_are_required_and_must_not_add_conflicts(spark, running):
     with pytest.raises(ValueError):
         compile_(spark, RUNNING, RUNNING_FOOTPRINT, passes=[])
@@ -193,8 +227,11 @@ def test_json_round_trip_and_paging(running):
         plans = documents.read_plan_json(written.select("plan"))
         first = plans.first()
         assert first.planningDuration == "PT0.12S" and first.metrics.totalTasks == 5
-        flat[part_tasks] = {(r.component_id, r.colour, r.task_id) for r in documents.flat_waves(plans).collect()}
-    assert flat[10_000] == flat[2] and len(flat[2]) == 5
+        rows = documents.flat_waves(plans).collect()
+        flat[part_tasks] = {(r.component_id, r.colour, r.pos, r.task_id) for r in rows}
+    numbered = running.schedule.join(running.component_ids(), ["batch_id", "component"]).collect()
+    want = {(r.component_id, r.colour, r.pos, r.task_id) for r in numbered}
+    assert flat[10_000] == flat[2] == want and len(want) == 5
 
 
 def test_old_plan_shape(spark):

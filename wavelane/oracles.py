@@ -192,6 +192,8 @@ closure(tag, up) AS (
 GRAPH = ["tasks", "fp", "edges"]
 COMP = [*GRAPH, "comp"]
 COST = ["durs", "est"]
+# Part sizes that plans are nested with.
+SIZES = "(VALUES (2), (10000)) AS sizes(part_tasks)"
 ADM = ["cev", "emits", "seeds", "balance", "limits", "adm"]
 COLOUR = [*COMP, *COST, "colours"]
 SCHED = [*COLOUR, *ADM, "members", "sched"]
@@ -357,17 +359,19 @@ def oracle_sql() -> dict[str, str]:
         "plan_explain": _sql(METRICS, """SELECT *, CASE WHEN total_tasks < 2 THEN 0 ELSE
             (conflicts_detected * 2)::DOUBLE / (total_tasks * (total_tasks - 1)) END AS conflict_density,
             (conflicts_detected * 2)::DOUBLE / total_tasks AS average_degree FROM metrics"""),
-        "plan_nested": _sql([*SCHED, "ids"], """SELECT batch_id, component_id, CAST(0 AS BIGINT) AS part,
-            string_agg(tasks, ',' ORDER BY colour) AS ordered_tasks,
-            string_agg(colour || ':' || tasks, ';' ORDER BY colour) AS waves
-            FROM (SELECT batch_id, component, colour, string_agg(task_id, ',' ORDER BY pos) AS tasks
-                  FROM sched GROUP BY ALL) JOIN ids USING (batch_id, component) GROUP BY batch_id, component_id"""),
-        "plan_documents": _sql([*SCHED, "ids", "plans"], """SELECT plan_id, component_id, colour, pos,
+        "plan_nested": _sql([*SCHED, "ids"], f"""SELECT part_tasks, batch_id, component_id, part,
+            (top - 1) // part_tasks + 1 AS parts, string_agg(tasks, ',' ORDER BY colour) AS ordered_tasks,
+            string_agg(colour || '@' || first_pos || ':' || tasks, ';' ORDER BY colour) AS waves
+            FROM (SELECT part_tasks, batch_id, component, (ordinal - 1) // part_tasks AS part, colour,
+                         min(pos) AS first_pos, string_agg(task_id, ',' ORDER BY pos) AS tasks
+                  FROM sched, {SIZES} GROUP BY ALL)
+            JOIN (SELECT batch_id, component, max(ordinal) AS top FROM sched GROUP BY ALL) USING (batch_id, component)
+            JOIN ids USING (batch_id, component) GROUP BY part_tasks, batch_id, component_id, part, top"""),
+        "plan_documents": _sql([*SCHED, "ids", "plans"], f"""SELECT part_tasks, plan_id, component_id, colour, pos,
             CAST(task_id AS VARCHAR) AS task_id FROM sched JOIN ids USING (batch_id, component)
-            JOIN plan_ids USING (batch_id)"""),
-        "group_messages": _sql([*SCHED, "ids"], """SELECT component_id AS key, count(*) AS tasks,
-            count(DISTINCT (batch_id, colour)) AS waves FROM sched JOIN ids USING (batch_id, component)
-            GROUP BY 1"""),
+            JOIN plan_ids USING (batch_id), {SIZES}"""),
+        "group_messages": _sql([*SCHED, "ids"], f"""SELECT part_tasks, batch_id, component_id, colour, pos,
+            CAST(task_id AS VARCHAR) AS task_id FROM sched JOIN ids USING (batch_id, component), {SIZES}"""),
         "plan_diff": _sql([*SCHED], """,
             flat AS (SELECT batch_id, component, task_id, row_number() OVER (PARTITION BY batch_id, component
                      ORDER BY created_at, task_id) - 1 AS colour FROM members
@@ -499,7 +503,6 @@ def oracle_sql() -> dict[str, str]:
         "stream_timeouts": _sql(["tasks"], f"""SELECT task_id, state AS from_state, 'TIMEOUT' AS state,
             epoch_ms(timeout_at) AS timeout_ms FROM tasks WHERE state IN {EXPIRABLE}
             AND timeout_at <= (SELECT max(created_at) FROM tasks)"""),
-        "stream_group_messages": _sql([*SCHED, "ids"], """SELECT component_id, count(*) AS tasks,
-            count(DISTINCT (batch_id, colour)) AS waves FROM sched JOIN ids USING (batch_id, component)
-            GROUP BY 1"""),
+        "stream_group_messages": _sql([*SCHED, "ids"], """SELECT batch_id, component_id, colour, pos,
+            CAST(task_id AS VARCHAR) AS task_id FROM sched JOIN ids USING (batch_id, component)"""),
     }

@@ -47,7 +47,8 @@ class PlanConfig:
 class PlanFrames:
     """The frames a compile works on; passes fill in ``components`` and ``colours``.
 
-    ``tasks`` carries the planning columns and ``estimate_ms``.
+    ``tasks`` carries the planning columns and ``estimate_ms``. ``all_coloured`` is set by passes that leave no
+    task with conflicts uncoloured; without it that is looked into.
     """
 
     tasks: DataFrame
@@ -56,6 +57,7 @@ class PlanFrames:
     degree: DataFrame
     components: DataFrame | None = None
     colours: DataFrame | None = None
+    all_coloured: bool = False
 
     def weighted(self) -> DataFrame:
         keys = graph.VERTEX
@@ -78,7 +80,7 @@ def colouring_pass(frames: PlanFrames) -> PlanFrames:
     members = cut_lineage(
         colouring.member_rows(frames.shared, frames.weighted(), frames.components)
     )
-    return replace(frames, colours=cut_lineage(colouring.colour_waves(members)))
+    return replace(frames, colours=cut_lineage(colouring.colour_waves(members)), all_coloured=True)
 
 
 def added_edges(before: PlanFrames, after: PlanFrames) -> DataFrame:
@@ -103,6 +105,10 @@ class CompiledPlan:
     def component_ids(self) -> DataFrame:
         return components.component_ids(self.schedule)
 
+    def hot_buckets(self) -> DataFrame:
+        """Resources touched by more tasks than ``max_bucket_size``; they are reported, never dropped."""
+        return graph.hot_buckets(self.frames.footprint, self.config.max_bucket_size)
+
 
 # What planning reads of a task; search text and payload stay in the task table.
 PLAN_COLUMNS = (
@@ -173,7 +179,10 @@ def compile_plan(
         raise ValueError("at least one pass is required")
     frames = prepare(tasks, resources, config, observed, failed)
     for step in passes:
-        frames = step(frames)
+        after = step(frames)
+        if after.shared is not frames.shared and not added_edges(frames, after).isEmpty():
+            raise ValueError(f"{getattr(step, '__name__', step)} adds conflicts")
+        frames = after
     return assemble(frames, config, class_admission, pressure)
 
 
@@ -209,19 +218,47 @@ def assemble(
     order = ordering.wave_keys(
         config.order_policy, admitted.columns, config.locality, use_pressure
     )
+    columns = ["batch_id", "component", "colour", "pos", "ordinal", "task_id", "estimate_ms"]
     if frames.colours is None:
         schedule = ordering.serial_schedule(admitted, order, frames.components)
     else:
-        coloured = admitted.join(frames.colours, keys, "left").withColumn(
-            "colour", F.coalesce("colour", F.lit(0))
-        )
-        schedule = ordering.wave_schedule(coloured, order, frames.components)
-    columns = ["batch_id", "component", "colour", "pos", "ordinal", "task_id", "estimate_ms"]
+        schedule = _coloured_schedule(admitted, frames, order, columns)
     return CompiledPlan(
         config, frames, members, cut_lineage(schedule.select(*columns)), class_admission
     )
 
 
+def _coloured_schedule(
+    admitted: DataFrame, frames: PlanFrames, order: list[Column], columns: list[str]
+) -> DataFrame:
+    """Waves by colour; a component in which a pass coloured nothing runs one task at a time.
+
+    Members without a colour in a coloured component have no conflicts left to avoid and join wave 0,
+    unless they share a resource, in which case nothing is known about them and the component is serial too.
+    """
+    keys, whole = graph.VERTEX, ["batch_id", "component"]
+    coloured = admitted.join(frames.colours, keys, "left")
+    if frames.all_coloured:
+        return ordering.wave_schedule(
+            coloured.withColumn("colour", F.coalesce("colour", F.lit(0))), order, frames.components
+        )
+    bare = coloured.filter(F.col("colour").isNull()).select(*keys, "component")
+    conflicting = frames.shared.select(*keys).distinct()
+    serial = bare.join(conflicting, keys, "left_semi").select(*whole).distinct()
+    if serial.isEmpty():
+        return ordering.wave_schedule(
+            coloured.withColumn("colour", F.coalesce("colour", F.lit(0))), order, frames.components
+        )
+    serial = cut_lineage(serial)
+    waves = coloured.join(serial, whole, "left_anti").withColumn("colour", F.coalesce("colour", F.lit(0)))
+    alone = coloured.join(serial, whole, "left_semi").drop("colour")
+    parts = (
+        ordering.wave_schedule(waves, order, frames.components),
+        ordering.serial_schedule(alone, order, frames.components),
+    )
+    return parts[0].select(*columns).unionByName(parts[1].select(*columns))
+
+
 def plan_metrics(frames: PlanFrames, schedule: DataFrame) -> DataFrame:
     """One row per batch. Tasks and conflicts count all resolved tasks, the rest admitted ones."""
     zero = F.lit(0).cast("bigint")

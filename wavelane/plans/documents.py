@@ -12,13 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.scalars import is_blank, ms_iso_duration, name_uuid, serial_waves
-from wavelane.schemas import PLAN_JSON, WAVE
+from wavelane.schemas import GROUP, PLAN_JSON, WAVE
 
 PART_TASKS = 10_000
 
+# Metric names with the columns they come from; ones that older plans lack read as 0.
+_METRICS = (
+    ("totalTasks", "total_tasks", "int"),
+    ("connectedComponents", "connected_components", "int"),
+    ("largestComponent", "largest_component", "int"),
+    ("parallelismFactor", "parallelism_factor", "double"),
+    ("serializationRatio", "serialization_ratio", "double"),
+    ("conflictsDetected", "conflicts_detected", "int"),
+    ("chromaticNumber", "chromatic_number", "int"),
+    ("waveCount", "wave_count", "int"),
+    ("intraComponentParallelism", "intra_component_parallelism", "double"),
+    ("estimatedDurationMillis", "estimated_duration_ms", "bigint"),
+)
+
 
 def nested_groups(schedule: DataFrame, ids: DataFrame, part_tasks: int = PART_TASKS) -> DataFrame:
-    """One row per component and part: ordered task ids and the waves they form."""
+    """One row per component and part: ordered task ids and the waves they form.
+
+    A wave cut by a part's end continues in the next part; its piece there names the position it begins at.
+    """
+    sizes = schedule.groupBy("batch_id", "component").agg(
+        (F.floor((F.max("ordinal") - 1) / part_tasks) + 1).alias("parts")
+    )
     parts = schedule.select(
         "batch_id",
         "component",
@@ -27,18 +47,26 @@ def nested_groups(schedule: DataFrame, ids: DataFrame, part_tasks: int = PART_TA
         "pos",
         F.col("task_id").cast("string").alias("task_id"),
     )
-    waves = parts.groupBy("batch_id", "component", "part", "colour").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "task_id")))["task_id"].alias("taskIds")
+    pieces = parts.groupBy("batch_id", "component", "part", "colour").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "task_id"))).alias("_rows")
+    )
+    first = F.col("_rows")[0]["pos"]
+    waves = pieces.select(
+        "batch_id",
+        "component",
+        "part",
+        F.struct(
+            "colour", F.col("_rows")["task_id"].alias("taskIds"), F.when(first > 1, first).alias("firstPos")
+        ).alias("_wave"),
     )
     groups = waves.groupBy("batch_id", "component", "part").agg(
-        F.sort_array(F.collect_list(F.struct("colour", "taskIds"))).cast(f"array<{WAVE}>").alias(
-            "waves"
-        )
+        F.sort_array(F.collect_list("_wave")).cast(f"array<{WAVE}>").alias("waves")
     )
-    return groups.join(ids, ["batch_id", "component"]).select(
+    return groups.join(sizes, ["batch_id", "component"]).join(ids, ["batch_id", "component"]).select(
         "batch_id",
         "component_id",
         "part",
+        "parts",
         F.flatten("waves.taskIds").alias("ordered_tasks"),
         "waves",
     )
@@ -46,7 +74,21 @@ def nested_groups(schedule: DataFrame, ids: DataFrame, part_tasks: int = PART_TA
 
 def with_waves(waves: Column, ordered: Column) -> Column:
     """The given waves, or one single-task wave per task where they are missing or empty."""
-    return F.when(F.size(waves) > 0, waves).otherwise(serial_waves(ordered).cast(f"array<{WAVE}>"))
+    whole = F.lit(None).cast("bigint").alias("firstPos")
+    serial = F.transform(serial_waves(ordered), lambda w: F.struct(w["colour"], w["taskIds"], whole))
+    return F.when(F.size(waves) > 0, waves).otherwise(serial.cast(f"array<{WAVE}>"))
+
+
+def group_fields() -> list[Column]:
+    """Fields of a group on the wire; part numbers only where there are several parts."""
+    several = F.col("parts") > 1
+    return [
+        F.col("component_id").alias("componentId"),
+        F.col("ordered_tasks").alias("orderedTasks"),
+        F.col("waves"),
+        F.when(several, F.col("part")).alias("part"),
+        F.when(several, F.col("parts")).alias("parts"),
+    ]
 
 
 def plan_headers(
@@ -77,9 +119,7 @@ def plan_documents(headers: DataFrame, groups: DataFrame, page_tasks: int = PART
     placed = groups.join(
         headers.select("batch_id", pages.alias("_pages")), "batch_id"
     ).withColumn("page", F.concat_ws(".", F.pmod(number, F.col("_pages")), F.col("part")))
-    group = F.struct(
-        F.col("component_id").alias("componentId"), F.col("ordered_tasks").alias("orderedTasks"), "waves"
-    )
+    group = F.struct(*group_fields())
     numbered = F.struct(number.alias("n"), group.alias("g"))
     owner = F.transform(
         F.col("ordered_tasks"), lambda t: F.struct(t.alias("key"), F.col("component_id").alias("value"))
@@ -88,28 +128,14 @@ def plan_documents(headers: DataFrame, groups: DataFrame, page_tasks: int = PART
         F.sort_array(F.collect_list(numbered))["g"].alias("groups"),
         F.map_from_entries(F.flatten(F.collect_list(owner))).alias("taskToComponent"),
     )
-    metric_fields = [
-        F.col(c).cast(t).alias(n)
-        for n, c, t in (
-            ("totalTasks", "total_tasks", "int"),
-            ("connectedComponents", "connected_components", "int"),
-            ("largestComponent", "largest_component", "int"),
-            ("parallelismFactor", "parallelism_factor", "double"),
-            ("serializationRatio", "serialization_ratio", "double"),
-            ("conflictsDetected", "conflicts_detected", "int"),
-            ("chromaticNumber", "chromatic_number", "int"),
-            ("waveCount", "wave_count", "int"),
-            ("intraComponentParallelism", "intra_component_parallelism", "double"),
-            ("estimatedDurationMillis", "estimated_duration_ms", "bigint"),
-        )
-    ]
+    metric_fields = [F.col(column).cast(kind).alias(name) for name, column, kind in _METRICS]
     document = F.struct(
         F.col("plan_id").alias("id"),
         F.col("generated_text").alias("generatedAt"),
         F.col("planner_version").alias("plannerVersion"),
         ms_iso_duration(F.col("planning_ms")).alias("planningDuration"),
         F.col("order_policy").alias("orderPolicy"),
-        F.coalesce("groups", F.array().cast("array<struct<componentId:string,orderedTasks:array<string>,waves:array<struct<colour:int,taskIds:array<string>>>>>")).alias("groups"),
+        F.coalesce("groups", F.array().cast(f"array<{GROUP}>")).alias("groups"),
         F.struct(*metric_fields).alias("metrics"),
         F.coalesce("taskToComponent", F.create_map().cast("map<string,string>")).alias(
             "taskToComponent"
@@ -124,21 +150,6 @@ def plan_documents(headers: DataFrame, groups: DataFrame, page_tasks: int = PART
     )
 
 
-# Metric names, with the ones older plans lack reading as 0.
-_METRICS = (
-    ("totalTasks", "int"),
-    ("connectedComponents", "int"),
-    ("largestComponent", "int"),
-    ("parallelismFactor", "double"),
-    ("serializationRatio", "double"),
-    ("conflictsDetected", "int"),
-    ("chromaticNumber", "int"),
-    ("waveCount", "int"),
-    ("intraComponentParallelism", "double"),
-    ("estimatedDurationMillis", "bigint"),
-)
-
-
 def read_plan_json(rows: DataFrame, column: str = "plan") -> DataFrame:
     """Typed plans from JSON text of any age.
 
@@ -153,12 +164,14 @@ def read_plan_json(rows: DataFrame, column: str = "plan") -> DataFrame:
             g["componentId"].alias("componentId"),
             g["orderedTasks"].alias("orderedTasks"),
             with_waves(g["waves"], g["orderedTasks"]).alias("waves"),
+            F.coalesce(g["part"], F.lit(0).cast("bigint")).alias("part"),
+            F.coalesce(g["parts"], F.lit(1).cast("bigint")).alias("parts"),
         ),
     )
     metrics = F.struct(
         *[
             F.coalesce(F.col(f"_p.metrics.{n}"), F.lit(0).cast(t)).alias(n)
-            for n, t in _METRICS
+            for n, _, t in _METRICS
         ]
     )
     return parsed.select(
@@ -183,10 +196,22 @@ def flat_waves(plans: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     waves = groups.select(
         *head, F.col("g.componentId").alias("component_id"), F.explode("g.waves").alias("w")
     )
-    tasks = waves.select(
-        *head,
-        "component_id",
-        F.col("w.colour").alias("colour"),
-        F.posexplode("w.taskIds").alias("pos", "task_id"),
+    return waves.select(*head, "component_id", *_wave_rows())
+
+
+def _wave_rows() -> list[Column]:
+    """colour, pos, task_id of the wave column ``w``, a row per task."""
+    first = F.coalesce(F.col("w.firstPos"), F.lit(1).cast("bigint"))
+    tasks = F.transform(
+        "w.taskIds",
+        lambda t, k: F.struct(
+            F.col("w.colour").alias("colour"), (first + k).cast("bigint").alias("pos"), t.alias("task_id")
+        ),
     )
-    return tasks.withColumn("pos", (F.col("pos") + 1).cast("bigint"))
+    return [F.inline(tasks)]
+
+
+def group_waves(groups: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, component, colour, pos, task) rows of nested groups, whatever parts they come in."""
+    waves = groups.select(*keep, "component_id", F.explode("waves").alias("w"))
+    return waves.select(*keep, "component_id", *_wave_rows())

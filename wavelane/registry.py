@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -349,38 +349,57 @@ def plan_explain(i: Inputs) -> DataFrame:
     return planning.plan_explain(i.plan.metrics())
 
 
-def _groups(i: Inputs) -> DataFrame:
-    return documents.nested_groups(i.plan.schedule, i.plan.component_ids())
+# Part sizes that queries are run with: one that cuts most groups and waves, and the default.
+PART_SIZES = (2, documents.PART_TASKS)
+
+
+def _groups(i: Inputs, part_tasks: int) -> DataFrame:
+    return documents.nested_groups(i.plan.schedule, i.plan.component_ids(), part_tasks)
+
+
+def _each_size(make: Callable[[int], DataFrame]) -> DataFrame:
+    frames = [make(size).withColumn("part_tasks", F.lit(size)) for size in PART_SIZES]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def plan_nested(i: Inputs) -> DataFrame:
-    wave = lambda w: F.concat(w["colour"].cast("string"), F.lit(":"), F.array_join(w["taskIds"], ","))
-    return _groups(i).select(
+    def wave(w):
+        begin = F.coalesce(w["firstPos"], F.lit(1)).cast("string")
+        return F.concat(w["colour"].cast("string"), F.lit("@"), begin, F.lit(":"), F.array_join(w["taskIds"], ","))
+
+    return _each_size(lambda size: _groups(i, size)).select(
+        "part_tasks",
         "batch_id",
         "component_id",
         "part",
+        "parts",
         F.array_join("ordered_tasks", ",").alias("ordered_tasks"),
         F.array_join(F.transform("waves", wave), ";").alias("waves"),
     )
 
 
 def plan_documents(i: Inputs) -> DataFrame:
-    """Plans written as JSON and read back to rows."""
+    """Plans written as JSON and read back to rows, in few and in many parts."""
     times = i.tasks.groupBy("batch_id").agg(F.max("created_at").alias("at"))
     headers = documents.plan_headers(
         i.plan.metrics().join(times, "batch_id"), F.col("at"), "v4", "FIFO", F.lit(100)
     )
-    written = documents.plan_documents(headers, _groups(i))
-    return documents.flat_waves(documents.read_plan_json(written.select("plan")))
+
+    def read_back(size: int) -> DataFrame:
+        written = documents.plan_documents(headers, _groups(i, size), size)
+        return documents.flat_waves(documents.read_plan_json(written.select("plan")))
+
+    return _each_size(read_back)
 
 
 def group_messages(i: Inputs) -> DataFrame:
-    """Messages per key, with the tasks and waves they carry."""
-    sent = messages.encode_groups(_groups(i))
-    body = messages.decode_groups(sent)
-    return body.groupBy(F.col("component_id").alias("key")).agg(
-        F.sum(F.size("ordered_tasks")).alias("tasks"), F.sum(F.size("waves")).alias("waves")
-    )
+    """The waves that messages carry, row by row, in few and in many parts."""
+
+    def received(size: int) -> DataFrame:
+        sent = messages.encode_groups(_groups(i, size))
+        return documents.group_waves(messages.decode_groups(sent), ["batch_id"])
+
+    return _each_size(received)
 
 
 def plan_diff(i: Inputs) -> DataFrame:
@@ -657,15 +676,12 @@ def stream_timeouts(i: Inputs) -> DataFrame:
 
 
 def stream_group_messages(i: Inputs) -> DataFrame:
-    """Planned groups sent through a folder of message files and received as a stream."""
+    """Planned groups sent in parts through a folder of message files and received as a stream."""
     out = shared_path(i.spark, "messages")
-    messages.write_files(messages.encode_groups(_groups(i)), f"{out}/topic")
-    received = i.spark.readStream.schema("key string, value string").json(f"{out}/topic")
+    messages.write_files(messages.encode_groups(_groups(i, PART_SIZES[0])), f"{out}/topic")
+    received = i.spark.readStream.schema("key string, value string, batch_id bigint").json(f"{out}/topic")
     _finish(jobs.stream_group_messages(received, f"{out}/rows", f"{out}/ckpt", ONCE))
-    groups = jobs.read_epochs(i.spark, f"{out}/rows")
-    return groups.groupBy("component_id").agg(
-        F.sum(F.size("ordered_tasks")).alias("tasks"), F.sum(F.size("waves")).alias("waves")
-    )
+    return documents.group_waves(jobs.read_epochs(i.spark, f"{out}/rows"), ["batch_id"])
 
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {

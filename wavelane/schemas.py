@@ -32,8 +32,11 @@ TASK_PROGRESS = """
     updated_at timestamp, version bigint
 """
 
-WAVE = "struct<colour:int,taskIds:array<string>>"
-GROUP = f"struct<componentId:string,orderedTasks:array<string>,waves:array<{WAVE}>>"
+# A wave piece that does not begin its wave says where it begins; a group in one part has no part numbers.
+WAVE = "struct<colour:int,taskIds:array<string>,firstPos:bigint>"
+GROUP = (
+    f"struct<componentId:string,orderedTasks:array<string>,waves:array<{WAVE}>,part:bigint,parts:bigint>"
+)
 METRICS = """struct<totalTasks:int,connectedComponents:int,largestComponent:int,
     parallelismFactor:double,serializationRatio:double,conflictsDetected:int,
     chromaticNumber:int,waveCount:int,intraComponentParallelism:double,
@@ -43,4 +46,6 @@ PLAN_JSON = f"""
     orderPolicy string, groups array<{GROUP}>, metrics {METRICS},
     taskToComponent map<string,string>
 """
-GROUP_MESSAGE = f"componentId string, orderedTasks array<string>, waves array<{WAVE}>"
+GROUP_MESSAGE = (
+    f"componentId string, orderedTasks array<string>, waves array<{WAVE}>, part bigint, parts bigint"
+)

@@ -9,33 +9,47 @@ from wavelane.schemas import GROUP_MESSAGE
 
 
 def encode_groups(groups: DataFrame) -> DataFrame:
-    """(key, value) rows; one component always has one key, so its messages stay in order."""
-    body = F.struct(
-        F.col("component_id").alias("componentId"),
-        F.col("ordered_tasks").alias("orderedTasks"),
-        F.col("waves"),
-    )
-    return groups.select(F.col("component_id").alias("key"), F.to_json(body).alias("value"))
+    """(key, value, batch_id, part) rows, one per group part.
+
+    Parts of a component have one key. A group in one part keeps the plain shape; others say which of how many
+    parts they are, and their waves where in the wave they begin, so rows can be rebuilt in any order of arrival.
+    """
+    from wavelane.plans.documents import group_fields
+
+    value = F.to_json(F.struct(*group_fields())).alias("value")
+    return groups.select(F.col("component_id").alias("key"), value, "batch_id", "part")
 
 
 def decode_groups(messages: DataFrame) -> DataFrame:
     """Typed groups from messages, batch or streaming; a message without waves runs serially."""
     from wavelane.plans.documents import with_waves
 
-    parsed = messages.select(F.from_json(F.col("value").cast("string"), GROUP_MESSAGE).alias("m"))
+    known = [c for c in ("batch_id",) if c in messages.columns]
+    parsed = messages.select(*known, F.from_json(F.col("value").cast("string"), GROUP_MESSAGE).alias("m"))
     return parsed.select(
+        *known,
         F.col("m.componentId").alias("component_id"),
         F.col("m.orderedTasks").alias("ordered_tasks"),
         with_waves(F.col("m.waves"), F.col("m.orderedTasks")).alias("waves"),
+        F.coalesce("m.part", F.lit(0).cast("bigint")).alias("part"),
+        F.coalesce("m.parts", F.lit(1).cast("bigint")).alias("parts"),
     )
 
 
+def in_key_order(messages: DataFrame) -> DataFrame:
+    """Messages of a key together, batch by batch and part by part."""
+    order = ["key", "batch_id", "part"]
+    return messages.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def write_topic(messages: DataFrame, servers: str, topic: str) -> None:
-    """Send messages to Kafka; needs Spark's Kafka connector on the class path."""
-    messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option(
+    """Send messages to Kafka, the batch as a header; needs Spark's Kafka connector on the class path."""
+    batch = F.struct(F.lit("batch_id").alias("key"), F.col("batch_id").cast("string").cast("binary").alias("value"))
+    rows = in_key_order(messages).select("key", "value", F.array(batch).alias("headers"))
+    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("includeHeaders", "true").option(
         "topic", topic
     ).save()
 
 
 def write_files(messages: DataFrame, path: str) -> None:
-    messages.write.mode("append").json(path)
+    in_key_order(messages).write.mode("append").json(path)
