@@ -80,25 +80,29 @@ def test_newest_state_wins(spark, tmp_path):
     assert got == {"a": "PAUSED", "b": "PENDING"}
 
 
-def test_expiry_timers(spark, tmp_path):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, jobs.ROCKSDB)
+def test_timeouts_lose_no_change(spark, tmp_path):
     schema = "task_id string, ts timestamp, state string, timeout_at timestamp"
     due = BASE + 5 * MINUTE
     parts = [
         [("a", BASE, "PENDING", due), ("b", BASE, "PENDING", due), ("c", BASE, "STARTED", None)],
         [("b", BASE + MINUTE, "COMPLETED", due), ("d", BASE + 2 * MINUTE, "PENDING", BASE + 99 * MINUTE)],
+        [("f", BASE + 4 * MINUTE, "PENDING", BASE + 6 * MINUTE)],
         [("e", BASE + 9 * MINUTE, "PENDING", None)],
+        # Behind other tasks' changes: in time for a patient clock, too late for an impatient one.
+        [("f", BASE + 5 * MINUTE, "COMPLETED", None), ("b", BASE, "PENDING", due)],
+        [("e", BASE + 30 * MINUTE, "PENDING", None)],
     ]
-    out, _, ckpt = paths(tmp_path)
     open_ = F.col("state").isin("PENDING", "STARTED")
-    try:
-        feed(spark, tmp_path, lambda s: jobs.stream_timeouts(s, open_, out, ckpt, ONCE), parts, schema)
-    finally:
-        spark.conf.set(key, before)
-    rows = jobs.read_epochs(spark, out).collect()
-    assert [(r.task_id, r.from_state, r.state) for r in rows] == [("a", "PENDING", "TIMEOUT")]
+    for lateness, fired, late in ((0, {"a", "f"}, {"f"}), (10, {"a"}, set())):
+        folder = tmp_path / str(lateness)
+        places = [str(folder / name) for name in ("rows", "late", "state", "ckpt")]
+        feed(
+            spark, folder, lambda s, p=places, n=lateness: jobs.stream_timeouts(s, open_, *p, ONCE, n * 60_000), parts, schema
+        )
+        rows = jobs.read_epochs(spark, places[0]).collect()
+        assert {r.task_id for r in rows} == fired and len(rows) == len(fired)
+        assert all((r.from_state, r.state) == ("PENDING", "TIMEOUT") for r in rows)
+        assert {r.task_id for r in jobs.read_epochs(spark, places[1]).collect()} == late
 
 
 def test_plan_per_micro_batch_and_replay(spark, tmp_path):

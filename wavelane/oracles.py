@@ -460,8 +460,10 @@ def oracle_sql() -> dict[str, str]:
             sum(ms) FILTER (NOT c)::DOUBLE / nullif(count(*) FILTER (NOT c), 0) AS dispatch_ms
             FROM (SELECT ts, event_type IN ('view', 'click') AS c, CAST(floor(value * 10) AS BIGINT) AS ms
                   FROM events) GROUP BY 1""",
-        "states_over_time": _sql(["tasks"], """SELECT time_bucket(INTERVAL '5 minutes', created_at)
-            AS window_start, state, count(*) AS n FROM tasks GROUP BY ALL"""),
+        "states_over_time": """SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, state, count(*) AS n
+            FROM (SELECT 'RECEIVED' AS state, o_orderdate AS ts FROM orders UNION ALL
+                  SELECT CASE WHEN l_returnflag = 'R' THEN 'PAUSED' WHEN l_linestatus = 'O' THEN 'STARTED'
+                              ELSE 'COMPLETED' END, l_shipdate FROM lineitem) GROUP BY ALL""",
         "group_results": _sql([*SCHED, "results"], """SELECT batch_id, component, bool_and(success) AS success,
             CASE WHEN bool_and(success) THEN 'success' ELSE 'failure' END AS outcome,
             date_diff('millisecond', min(started_at), max(finished_at)) AS elapsed_ms

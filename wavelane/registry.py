@@ -561,7 +561,7 @@ def compile_vs_dispatch_5m(i: Inputs) -> DataFrame:
 
 
 def states_over_time(i: Inputs) -> DataFrame:
-    return metrics.states_over_time(i.tasks.withColumnRenamed("created_at", "ts"))
+    return metrics.states_over_time(i.transitions)
 
 
 def _results(i: Inputs) -> DataFrame:
@@ -664,14 +664,9 @@ def stream_timeouts(i: Inputs) -> DataFrame:
     changes = tables.tasks_from(
         jobs.file_stream(spark, i.folder, "orders.parquet"), tables.table(spark, i.folder, "customer")
     ).withColumnRenamed("created_at", "ts")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, jobs.ROCKSDB)
-    try:
-        expirable = F.col("state").isin(*EXPIRABLE_STATES)
-        _finish(jobs.stream_timeouts(changes, expirable, f"{out}/rows", f"{out}/ckpt", ONCE))
-    finally:
-        spark.conf.set(key, before)
+    expirable = F.col("state").isin(*EXPIRABLE_STATES)
+    places = (f"{out}/{name}" for name in ("rows", "late", "state", "ckpt"))
+    _finish(jobs.stream_timeouts(changes, expirable, *places, ONCE))
     return jobs.read_epochs(spark, f"{out}/rows").drop("epoch")
 
 

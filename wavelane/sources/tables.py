@@ -315,3 +315,17 @@ def tag_dependencies(spark: SparkSession, folder: str) -> DataFrame:
         key.cast("string").alias("tag_id"),
         F.when(key > 0, F.floor(key / 2).cast("string")).alias("depends_on"),
     )
+
+
+def transitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Dated state changes (task_id, state, ts): a task is received with its order and changes with every shipment."""
+    received = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("task_id"), F.lit("RECEIVED").alias("state"), F.col("o_orderdate").alias("ts")
+    )
+    shipped = (
+        F.when(F.col("l_returnflag") == "R", "PAUSED").when(F.col("l_linestatus") == "O", "STARTED").otherwise("COMPLETED")
+    )
+    changed = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("task_id"), shipped.alias("state"), F.col("l_shipdate").alias("ts")
+    )
+    return received.unionByName(changed)

@@ -10,13 +10,11 @@ often a batch is retried.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wavelane.operators import admission
@@ -24,8 +22,6 @@ from wavelane.operators.progress import progress_sums
 from wavelane.session import cut_lineage
 from wavelane.sources.messages import decode_groups
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def file_stream(
     spark: SparkSession, folder: str, glob: str, files_per_batch: int | None = None
@@ -193,69 +189,64 @@ def stream_rate_arrival(
     return _start(events, step, checkpoint, trigger)
 
 
-class ExpiryTimer(StatefulProcessor):
-    """Keeps a task's deadline and reports the task once event time has passed it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ts_ms bigint, state string, timeout_ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = max((r for f in rows for r in f.itertuples(index=False)), key=lambda r: r.ts_ms)
-        known = self.last.get() if self.last.exists() else None
-        if known is None or latest.ts_ms >= known[0]:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            due = bool(latest.expirable) and pd.notna(latest.timeout_ms)
-            timeout = int(latest.timeout_ms) if due else None
-            self.last.update((int(latest.ts_ms), str(latest.state), timeout))
-            if due:
-                self.handle.registerTimer(timeout)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, state, timeout_ms = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame(
-            {"task_id": [key[0]], "from_state": [state], "state": ["TIMEOUT"], "timeout_ms": [timeout_ms]}
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def stream_timeouts(
     changes: DataFrame,
     expirable: Column,
     out: str,
+    late: str,
+    state: str,
     checkpoint: str,
     trigger: dict[str, Any],
+    lateness_ms: int = 0,
+    keep_ms: int = 86_400_000,
 ) -> StreamingQuery:
     """TIMEOUT transitions of tasks whose deadline passes while they wait or run.
 
-    Event time of the change stream is the clock. One timer per open task in the state
-    store; needs the RocksDB provider (``spark.sql.streaming.stateStore.providerClass``).
+    The newest time in the change stream is the clock. A deadline is decided ``lateness_ms`` after it has passed
+    (0: at once), so changes that arrive up to that much behind the clock still count, whatever other
+    tasks have sent. The newest change of a task by event time holds, in whichever order changes arrive. One
+    that would have stopped a timeout already given is written to ``late`` as well.
+
+    State is the newest change of every task that is open or changed within ``keep_ms`` of the clock.
     """
     task_type = dict(changes.dtypes)["task_id"]
-    keyed = (
-        changes.select(
-            "task_id",
-            F.col("ts").cast("timestamp").alias("ts"),
-            "state",
-            F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
-            F.unix_millis(F.col("timeout_at").cast("timestamp")).alias("timeout_ms"),
-            expirable.alias("expirable"),
-        )
-        .withWatermark("ts", "0 seconds")
-        .groupBy("task_id")
+    schema = (
+        f"task_id {task_type}, ts_ms bigint, seen bigint, closed boolean, state string, timeout_ms bigint, fired boolean"
     )
-    fired = keyed.transformWithStateInPandas(
-        statefulProcessor=ExpiryTimer(),
-        outputStructType=f"task_id {task_type}, from_state string, state string, timeout_ms bigint",
-        outputMode="append",
-        timeMode="EventTime",
+    change = changes.select(
+        "task_id",
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+        (~expirable).alias("closed"),
+        "state",
+        F.unix_millis(F.col("timeout_at").cast("timestamp")).alias("timeout_ms"),
+        F.lit(False).alias("fired"),
     )
-    return _start(fired, lambda df, e: _write_epoch(df, out, e), checkpoint, trigger)
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        before = _previous(batch.sparkSession, state, epoch, schema)
+        arrived = batch.withColumn("seen", F.lit(epoch).cast("bigint")).select(*before.columns)
+        # Equal times: what arrived last holds, a closing change before an opening one.
+        newest = F.max(F.struct(*before.columns[1:])).alias("n")
+        latest = cut_lineage(before.unionByName(arrived).groupBy("task_id").agg(newest).select("task_id", "n.*"))
+        clock = F.lit(latest.agg(F.max("ts_ms")).first()[0])
+        given = F.coalesce(
+            ~F.col("closed") & ~F.col("fired") & (F.col("timeout_ms") <= clock - lateness_ms), F.lit(False)
+        )
+        fired = latest.filter(given).select(
+            "task_id", F.col("state").alias("from_state"), F.lit("TIMEOUT").alias("state"), "timeout_ms"
+        )
+        missed = before.filter("fired").select("task_id", F.col("timeout_ms").alias("deadline_ms"))
+        _write_epoch(fired, out, epoch)
+        _write_epoch(
+            arrived.join(missed, "task_id").filter(F.col("ts_ms") <= F.col("deadline_ms")).drop("seen", "fired"),
+            late,
+            epoch,
+        )
+        after = latest.withColumn("fired", F.col("fired") | given)
+        open_ = ~F.col("closed") & ~F.col("fired")
+        _write_epoch(after.filter(open_ | (F.col("ts_ms") >= clock - keep_ms)), state, epoch)
+
+    return _start(change, step, checkpoint, trigger)
 
 
 def stream_group_messages(
