@@ -181,6 +181,16 @@ def test_added_conflicts_are_refused(spark):
         )
 
 
+def test_planted_violations_are_found(running):
+    frames = running.frames
+    flat = frames.colours.withColumn("colour", F.lit(0))
+    assert planning.colouring_violations(frames.shared, frames.colours).isEmpty()
+    assert planning.colouring_violations(frames.shared, flat).count() == 2
+    torn = frames.components.withColumn("component", F.col("task_id"))
+    assert planning.isolation_violations(frames.shared, frames.components).isEmpty()
+    assert planning.isolation_violations(frames.shared, torn).count() == 2
+
+
 def test_hot_buckets_of_a_compile(spark):
     plan = compile_(spark, [("1", "a", "x"), ("2", "a", "y")], {"1": ["k:A"], "2": ["k:A"]}, planning.PlanConfig(max_bucket_size=1))
     assert [r.resource_id for r in plan.hot_buckets().collect()] == ["A"] and plan.schedule.count() == 2

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 DEPTH = 5
 WIDTH = 65_536
 
+# Widest sketch row that is sent to every executor.
+BROADCAST_CELLS = 1_000_000
+
 
 def _cells(keys: Sequence[Column], depth: int, width: int) -> Column:
     return F.array(
@@ -74,13 +77,15 @@ def estimate(
 ) -> DataFrame:
     """Estimated count of each queried key, 0 for one never seen.
 
-    All depth rows of a key are looked up in one broadcast map join per row of the sketch,
-    so the queried keys are not shuffled for the lookup.
+    Every depth row of the sketch is joined on its own, so keys are neither multiplied nor shuffled for the lookup;
+    a row has at most ``width`` cells and is broadcast up to ``BROADCAST_CELLS``.
     """
-    cols = [F.col(k) for k in keys]
     asked = queried.select(*keys).distinct()
-    exploded = asked.select(*keys, F.inline(_cells(cols, depth, width)))
-    found = exploded.join(F.broadcast(sketch), ["depth", "cell"], "left")
-    return found.groupBy(*keys).agg(
-        F.min(F.coalesce("cnt", F.lit(0).cast("bigint"))).alias("estimate")
-    )
+    cells = _cells([F.col(k) for k in keys], depth, width)
+    out = asked.withColumns({f"_c{d}": cells[d]["cell"] for d in range(depth)})
+    zero = F.lit(0).cast("bigint")
+    for d in range(depth):
+        row = sketch.filter(F.col("depth") == d).select(F.col("cell").alias(f"_c{d}"), F.col("cnt").alias(f"_n{d}"))
+        out = out.join(F.broadcast(row) if width <= BROADCAST_CELLS else row, f"_c{d}", "left")
+    counts = [F.coalesce(f"_n{d}", zero) for d in range(depth)]
+    return out.select(*keys, (F.least(*counts) if depth > 1 else counts[0]).alias("estimate"))

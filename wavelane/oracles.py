@@ -302,17 +302,21 @@ def oracle_sql() -> dict[str, str]:
             FROM sup GROUP BY ALL HAVING count(*) > 600"""),
         "supplier_degree": _sql(["sup"], """SELECT a.task_id, count(DISTINCT b.task_id) - 1 AS degree
             FROM sup a JOIN sup b USING (resource_id) GROUP BY 1"""),
-        "supplier_components": _sql(["sup"], """SELECT task_id, (SELECT min(task_id) FROM sup) AS component
-            FROM sup GROUP BY 1"""),
+        "supplier_components": _sql(["sup"], """,
+            link AS (SELECT DISTINCT a.resource_id AS u, b.resource_id AS v FROM sup a JOIN sup b USING (task_id)),
+            reach AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u),
+            named AS (SELECT u, min(task_id) AS least FROM reach JOIN sup ON resource_id = v GROUP BY 1)
+            SELECT task_id, min(least) AS component FROM sup JOIN named ON u = resource_id GROUP BY 1""").replace(
+            "\n,", ",", 1),
         "connected_components": _sql(COMP, "SELECT batch_id, task_id, component FROM comp"),
         "component_sizes": _sql(COMP, """SELECT batch_id, component, count(*) AS component_size
             FROM comp GROUP BY ALL"""),
         "component_ids": _sql([*SCHED, "ids"], "SELECT batch_id, component, component_id FROM ids"),
         "task_to_component": _sql([*SCHED, "ids"], """SELECT batch_id, task_id, component_id
             FROM sched JOIN ids USING (batch_id, component)"""),
-        "isolation_violations": _sql([*COMP], """SELECT batch_id, resource_class, resource_id,
-            min(component) AS one, max(component) AS two FROM fp JOIN comp USING (batch_id, task_id)
-            GROUP BY ALL HAVING min(component) <> max(component)"""),
+        "isolation_violations": _sql([*COMP], """SELECT count(*) AS violations FROM (SELECT 1
+            FROM fp JOIN comp USING (batch_id, task_id) GROUP BY batch_id, resource_class, resource_id
+            HAVING min(component) <> max(component))"""),
         # order
         "order_fifo": _sql(COMP, """SELECT batch_id, component, task_id, row_number() OVER (
             PARTITION BY batch_id, component ORDER BY created_at, task_id) AS policy_rank
@@ -341,9 +345,9 @@ def oracle_sql() -> dict[str, str]:
             PARTITION BY batch_id ORDER BY estimate_ms DESC, degree DESC, task_id) AS priority_rank
             FROM est JOIN deg USING (batch_id, task_id)"""),
         "colour_waves": _sql(COLOUR, "SELECT batch_id, task_id, colour FROM colours"),
-        "colouring_violations": _sql(COLOUR, """SELECT batch_id, resource_class, resource_id, colour,
-            count(*) AS holders FROM fp JOIN colours USING (batch_id, task_id) GROUP BY ALL
-            HAVING count(*) > 1"""),
+        "colouring_violations": _sql(COLOUR, """SELECT count(*) AS violations FROM (SELECT 1
+            FROM fp JOIN colours USING (batch_id, task_id) GROUP BY batch_id, resource_class, resource_id, colour
+            HAVING count(*) > 1)"""),
         "wave_schedule": _sql(SCHED, """SELECT batch_id, component, colour, pos, ordinal, task_id, estimate_ms
             FROM sched"""),
         "critical_path": _sql([*SCHED, "groups"], """SELECT batch_id, component, CAST(critical_path_ms AS BIGINT)
@@ -429,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
               JOIN stop USING (batch_id, component) WHERE task_id <= first_denied) GROUP BY ALL""").replace(
             "\n,", ",", 1),
         "cms_estimate": _sql(["tasks", "fp"], """SELECT resource_class, resource_id, count(*) AS exact,
-            true AS not_below FROM fp GROUP BY ALL"""),
+            true AS not_below, true AS close FROM fp GROUP BY ALL"""),
         # progress
         "progress_snapshot": _sql(["progress"], """SELECT task_id, total_count, success_count, failed_count,
             updated_at, version FROM progress"""),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -267,7 +268,7 @@ def task_to_component(i: Inputs) -> DataFrame:
 
 
 def isolation_violations(i: Inputs) -> DataFrame:
-    return planning.isolation_violations(i.shared, i.components)
+    return planning.isolation_violations(i.shared, i.components).agg(F.count(F.lit(1)).alias("violations"))
 
 
 # --- order -----------------------------------------------------------------------------
@@ -320,7 +321,8 @@ def colour_waves(i: Inputs) -> DataFrame:
 
 
 def colouring_violations(i: Inputs) -> DataFrame:
-    return planning.colouring_violations(i.shared, i.coloured.colours)
+    found = planning.colouring_violations(i.shared, i.coloured.colours)
+    return found.agg(F.count(F.lit(1)).alias("violations"))
 
 
 def wave_schedule(i: Inputs) -> DataFrame:
@@ -496,13 +498,17 @@ def denied_by_class(i: Inputs) -> DataFrame:
 
 
 def cms_estimate(i: Inputs) -> DataFrame:
-    """Sketched against exact task counts per resource; an estimate is never too low."""
+    """Sketched against exact task counts per resource: never too low, and off by a few expected errors at most."""
     keys = footprint.RESOURCE
     fp = i.footprint
     exact = fp.groupBy(*keys).agg(F.count(F.lit(1)).alias("exact"))
     estimated = sketch.estimate(sketch.build(fp, keys), fp, keys)
+    allowed = math.ceil(8 * math.e * fp.count() / sketch.WIDTH)
     return exact.join(estimated, keys).select(
-        *keys, "exact", (F.col("estimate") >= F.col("exact")).alias("not_below")
+        *keys,
+        "exact",
+        (F.col("estimate") >= F.col("exact")).alias("not_below"),
+        (F.col("estimate") - F.col("exact") <= allowed).alias("close"),
     )
 
 
