@@ -142,16 +142,30 @@ def degrees(
     )
 
     signatures = narrow.groupBy("batch_id", "_names").agg(F.count(F.lit(1)).alias("_w"))
-    parts = signatures.select(
-        "batch_id", "_names", "_w", F.explode(_subsets(F.col("_names"))).alias("_part")
-    )
-    holders = parts.groupBy("batch_id", "_part").agg(F.sum("_w").alias("_n"))
+    # Read twice, so written once; two hashes of a subset (96 bits) travel in its place.
     sign = F.when(F.size("_part") % 2 == 1, 1).otherwise(-1)
-    unions = (
-        parts.join(holders, ["batch_id", "_part"])
-        .groupBy("batch_id", "_names")
-        .agg((F.sum(sign * F.col("_n")) - 1).alias("_through_large"))
+    part = ["batch_id", "_part", "_part2"]
+    parts = cut_lineage(
+        signatures.select("batch_id", "_names", "_w", F.explode(_subsets(F.col("_names"))).alias("_part")).select(
+            "batch_id",
+            F.xxhash64("_names").alias("_set"),
+            F.hash("_names").alias("_set2"),
+            "_w",
+            sign.cast("byte").alias("_sign"),
+            F.xxhash64("_part").alias("_part"),
+            F.hash("_part").alias("_part2"),
+        )
+    )
+    holders = parts.groupBy(*part).agg(F.sum("_w").alias("_n"))
+    sums = (
+        parts.join(holders, part)
+        .groupBy("batch_id", "_set", "_set2")
+        .agg((F.sum(F.col("_sign") * F.col("_n")) - 1).alias("_through_large"))
+    )
+    sets = signatures.select(
+        "batch_id", "_names", F.xxhash64("_names").alias("_set"), F.hash("_names").alias("_set2")
     )
+    unions = sets.join(sums, ["batch_id", "_set", "_set2"]).select("batch_id", "_names", "_through_large")
     through_large = narrow.join(unions, ["batch_id", "_names"]).select(*VERTEX, "_through_large")
 
     wide = tagged.filter("_wide").select(*BUCKET, "task_id")
