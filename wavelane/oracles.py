@@ -374,6 +374,13 @@ def oracle_sql() -> dict[str, str]:
         "plan_documents": _sql([*SCHED, "ids", "plans"], f"""SELECT part_tasks, plan_id, component_id, colour, pos,
             CAST(task_id AS VARCHAR) AS task_id FROM sched JOIN ids USING (batch_id, component)
             JOIN plan_ids USING (batch_id), {SIZES}"""),
+        "plan_history": _sql([*SCHED, "ids", "plans"], f""",
+            newest AS (SELECT * FROM plan_ids ORDER BY generated_at DESC, plan_id DESC LIMIT 1),
+            as_of AS (SELECT * FROM plan_ids WHERE generated_at <= {NOW} ORDER BY generated_at DESC, plan_id DESC LIMIT 1),
+            answers AS (SELECT 'newest' AS question, * FROM newest UNION ALL SELECT 'as_of', * FROM as_of
+                        UNION ALL SELECT 'by_id', * FROM plan_ids WHERE batch_id = 1400)
+            SELECT question, plan_id, component_id, colour, pos, CAST(task_id AS VARCHAR) AS task_id
+            FROM answers JOIN sched USING (batch_id) JOIN ids USING (batch_id, component)""").replace("\n,", ",", 1),
         "group_messages": _sql([*SCHED, "ids"], f"""SELECT part_tasks, batch_id, component_id, colour, pos,
             CAST(task_id AS VARCHAR) AS task_id FROM sched JOIN ids USING (batch_id, component), {SIZES}"""),
         "plan_diff": _sql([*SCHED], """,

@@ -18,7 +18,7 @@ from wavelane.plans import compile as planning
 from wavelane.plans import documents, history
 from wavelane.schemas import EXPIRABLE_STATES, IN_FLIGHT_STATES
 from wavelane.session import configure, cut_lineage, shared_path
-from wavelane.sources import ingest, messages, tables
+from wavelane.sources import ingest, messages, store, tables
 from wavelane.streaming import jobs
 
 NOW = datetime(1996, 6, 1)
@@ -394,6 +394,30 @@ def plan_documents(i: Inputs) -> DataFrame:
     return _each_size(read_back)
 
 
+def plan_history(i: Inputs) -> DataFrame:
+    """Compiled plans appended to the history as documents; what three questions to it read back."""
+    times = i.tasks.groupBy("batch_id").agg(F.max("created_at").alias("at"))
+    headers = documents.plan_headers(
+        i.plan.metrics().join(times, "batch_id"), F.col("at"), "v4", "FIFO", F.lit(100)
+    )
+    path = shared_path(i.spark, "history")
+    store.append_plans(documents.plan_documents(headers, _groups(i, documents.PART_TASKS)), path)
+    stored = store.read_plans(i.spark, path)
+    known = stored.select("batch_id", "plan_id", "generated_at").distinct()
+    asked = {
+        "newest": history.latest_plan(known),
+        "by_id": known.join(known.filter(F.col("batch_id") == 1400).select("plan_id"), "plan_id", "left_semi"),
+        "as_of": history.plan_for(known, F.lit(NOW)),
+    }
+
+    def answer(question: str, plans: DataFrame) -> DataFrame:
+        pages = stored.join(plans.select("plan_id"), "plan_id", "left_semi").select("plan")
+        rows = documents.flat_waves(documents.read_plan_json(pages))
+        return rows.withColumn("question", F.lit(question))
+
+    return reduce(DataFrame.unionByName, [answer(*entry) for entry in asked.items()])
+
+
 def group_messages(i: Inputs) -> DataFrame:
     """The waves that messages carry, row by row, in few and in many parts."""
 
@@ -736,6 +760,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "plan_explain": plan_explain,
     "plan_nested": plan_nested,
     "plan_documents": plan_documents,
+    "plan_history": plan_history,
     "group_messages": group_messages,
     "plan_diff": plan_diff,
     "plan_json_upgrade": plan_json_upgrade,
