@@ -18,7 +18,6 @@ one group; rows with a null id get a fingerprint and no component; rows that rep
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -33,6 +32,8 @@ from wavelane.operators.components import component_stars
 
 # Above this many distinct fingerprints a bucket is cut again; the links stay the same.
 BUCKET_ROWS = 4096
+# Odd factors, each of which puts 64-bit hashes into another order.
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 17)], np.uint64)
 # Rows a task gathers before it joins the buckets it has.
 BLOCK_ROWS = 200_000
 # Node pairs expanded at a time.
@@ -300,6 +301,13 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(found), np.int64) if words else np.zeros(0, np.int64)
 
 
+def _minima(hashes: np.ndarray) -> np.ndarray:
+    """Least hash under each order; an empty set has zeros."""
+    if not len(hashes):
+        return np.zeros(len(_FACTORS), np.int64)
+    return (hashes.view(np.uint64)[:, None] * _FACTORS).min(axis=0).view(np.int64)
+
+
 def deduplicated(
     docs: DataFrame,
     width: int = 5,
@@ -311,10 +319,10 @@ def deduplicated(
 ) -> DataFrame:
     """``docs`` without near-duplicates: of every group the smallest id stays, with all columns.
 
-    Components of linked fingerprints are candidates. In each one the smallest id stays and takes along what shares
-    at least ``similarity`` of the shingles with it (Jaccard); what is left of the component goes on with its next
-    smallest id. Equal texts share one verdict, so copies are compared once. Rows with a null id stay; rows
-    that share id and text stay or go together.
+    Components of linked fingerprints are candidates. Inside one, texts with an equal minimum of their shingle hashes,
+    under any of ``len(_FACTORS)`` orders, are compared with the smallest id among them, and those that share at
+    least ``similarity`` of the shingles (Jaccard) are joined; what hangs together is a group. Equal texts share one
+    verdict, so copies are compared once. Rows with a null id stay; rows that share id and text stay or go together.
     """
     fps = staged(fingerprints(docs, width, id_col, text_col).filter(F.col("id").isNotNull()), "simhash")
     members = fps.join(groups(fps, max_bits, agree), "fp").groupBy("component", "body").agg(F.min("id").alias("least"))
@@ -325,26 +333,27 @@ def deduplicated(
     def shingles(piece: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_hashes(t, width) for t in as_bytes(piece.column(3))]
         lists = pa.array(found, pa.list_(pa.int64()))
-        return pa.record_batch([*piece.columns[:3], lists], ["component", "body", "id", "shingles"])
+        marks = pa.array([_minima(f) for f in found], pa.list_(pa.int64()))
+        return pa.record_batch([*piece.columns[:3], lists, marks], ["component", "body", "id", "shingles", "marks"])
 
     texts = asked.join(_with_body(docs, id_col, text_col), ["id", "body"]).select("component", "body", "id", "text")
-    schema = "component bigint, body bigint, id bigint, shingles array<bigint>"
+    schema = "component bigint, body bigint, id bigint, shingles array<bigint>, marks array<bigint>"
     # Rows that repeat an id and its text give one row here.
-    left = staged(map_slices(texts, shingles, schema).dropDuplicates(["component", "body"]), "simhash-shingles")
-    gone = []
-    while not left.isEmpty():
-        heads = left.groupBy("component").agg(F.min_by(F.struct("body", "shingles"), F.struct("id", "body")).alias("head"))
-        both = F.size(F.array_intersect("shingles", "head.shingles"))
-        union = F.size("shingles") + F.size("head.shingles") - both
-        near = F.when(union == 0, True).otherwise(both >= similarity * union)
-        judged = staged(
-            left.join(heads, "component").filter(F.col("body") != F.col("head.body")).select(*left.columns, near.alias("near")),
-            "simhash-round",
-        )
-        gone.append(judged.filter("near").select("component", "body"))
-        left = judged.filter(~F.col("near")).drop("near")
-    dropped = reduce(DataFrame.unionByName, gone) if gone else bodies.select("component", "body").limit(0)
-    fate = bodies.join(dropped.withColumn("gone", F.lit(True)), ["component", "body"], "left")
+    sets = staged(map_slices(texts, shingles, schema).dropDuplicates(["component", "body"]), "simhash-shingles")
+    node = F.struct("id", "body")
+    marked = sets.select("component", node.alias("node"), F.posexplode("marks").alias("k", "mark"))
+    heads = marked.groupBy("component", "k", "mark").agg(F.min("node").alias("head"), F.count("node").alias("n"))
+    pairs = marked.join(heads.filter(F.col("n") > 1), ["component", "k", "mark"]).filter(F.col("node") != F.col("head"))
+    of = sets.select(node.alias("node"), F.col("shingles").alias("own"))
+    heads_of = of.select(F.col("node").alias("head"), F.col("own").alias("other"))
+    compared = pairs.select("node", "head").distinct().join(of, "node").join(heads_of, "head")
+    both = F.size(F.array_intersect("own", "other"))
+    union = F.size("own") + F.size("other") - both
+    edges = compared.filter(both >= similarity * union).select(
+        F.lit(0).cast("bigint").alias("batch_id"), F.col("node").alias("task_id"), F.col("head").alias("centre")
+    )
+    dropped = component_stars(edges).select(F.col("hi.id").alias("least"), F.col("hi.body").alias("body"))
+    fate = bodies.join(dropped.withColumn("gone", F.lit(True)), ["least", "body"], "left")
     # A text that stays is kept under its smallest id.
     stays = fate.filter(F.col("gone").isNull()).select(F.col("least").alias("_least"), F.col("body").alias("_kept"))
     rows = docs.select(
