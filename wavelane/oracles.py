@@ -471,6 +471,13 @@ def oracle_sql() -> dict[str, str]:
             sum(ms) FILTER (NOT c)::DOUBLE / nullif(count(*) FILTER (NOT c), 0) AS dispatch_ms
             FROM (SELECT ts, event_type IN ('view', 'click') AS c, CAST(floor(value * 10) AS BIGINT) AS ms
                   FROM events) GROUP BY 1""",
+        "task_store": _sql(["tasks"], """SELECT task_id, created_at,
+            CASE WHEN state = 'PENDING' THEN 'STARTED' ELSE state END AS state,
+            CASE WHEN state = 'PENDING' THEN 1 ELSE 0 END::BIGINT AS version,
+            CASE WHEN state = 'PENDING' THEN 'page:0' ELSE cursor END AS cursor,
+            CASE WHEN task_id % 2 = 0 THEN '[{"resourceClass":"' || top_resource_class || '","resourceId":"'
+              || top_resource_id || '"}]' END AS resources, least(top_resource_class, top_resource_id) AS lesser_name,
+            strftime(timeout_at, '%Y-%m-%dT%H:%M:%SZ') AS timeout_text FROM tasks"""),
         "states_over_time": """SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, state, count(*) AS n
             FROM (SELECT 'RECEIVED' AS state, o_orderdate AS ts FROM orders UNION ALL
                   SELECT CASE WHEN l_returnflag = 'R' THEN 'PAUSED' WHEN l_linestatus = 'O' THEN 'STARTED'

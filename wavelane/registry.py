@@ -11,12 +11,12 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.functions.scalars import name_uuid
+from wavelane.functions.scalars import canonical_pair, format_instant, name_uuid, parse_instant, resources_json
 from wavelane.operators import admission, colouring, components, cost, footprint, graph, lifecycle
 from wavelane.operators import metrics, ordering, progress, sketch
 from wavelane.plans import compile as planning
 from wavelane.plans import documents, history
-from wavelane.schemas import EXPIRABLE_STATES, IN_FLIGHT_STATES
+from wavelane.schemas import EXPIRABLE_STATES, IN_FLIGHT_STATES, RESOURCES
 from wavelane.session import configure, cut_lineage, shared_path
 from wavelane.sources import ingest, messages, store, tables
 from wavelane.streaming import jobs
@@ -594,6 +594,31 @@ def states_over_time(i: Inputs) -> DataFrame:
     return metrics.states_over_time(i.transitions)
 
 
+def task_store(i: Inputs) -> DataFrame:
+    """Tasks written to the store, the waiting ones started as new versions, and what is read back."""
+    path = shared_path(i.spark, "tasks")
+    top = F.struct(F.col("top_resource_class").alias("resource_class"), F.col("top_resource_id").alias("resource_id"))
+    resources = F.when(F.col("task_id") % 2 == 0, F.array(top)).otherwise(F.array().cast(RESOURCES))
+    first = i.tasks.withColumn("resources", resources)
+    store.append_versions(first, path)
+    changes = first.filter(F.col("state") == "PENDING").withColumns(
+        {"state": F.lit("STARTED"), "created_at": F.lit(NOW), "cursor": F.lit("page:0")}
+    )
+    store.append_versions(store.merge_versions(store.read_tasks(i.spark, path), changes), path)
+    read = store.read_tasks(i.spark, path)
+    pair = canonical_pair(F.col("top_resource_class"), F.col("top_resource_id"))
+    return read.select(
+        "task_id",
+        "created_at",
+        "state",
+        "version",
+        "cursor",
+        resources_json(F.col("resources")).alias("resources"),
+        pair["u"].alias("lesser_name"),
+        format_instant(parse_instant(format_instant(F.col("timeout_at")))).alias("timeout_text"),
+    )
+
+
 def _results(i: Inputs) -> DataFrame:
     done = lifecycle.apply_outcomes(i.outcomes, i.tasks)
     return i.plan.schedule.select("batch_id", "component", "task_id").join(done, "task_id")
@@ -785,6 +810,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "build_duration_5m": build_duration_5m,
     "compile_vs_dispatch_5m": compile_vs_dispatch_5m,
     "states_over_time": states_over_time,
+    "task_store": task_store,
     "group_results": group_results,
     "plan_duration_error": plan_duration_error,
     "apply_by_component": apply_by_component,
