@@ -139,6 +139,27 @@ def test_failing_task_does_not_stop_the_next(spark):
     assert got == {"t1": (None, "RuntimeError", "boom"), "t2": ok, "t3": ok}
 
 
+def test_large_components_run_wave_by_wave(spark, tmp_path):
+    """A wave sees what the waves before it left behind, and its tasks run on several partitions."""
+    rows = [(1, "big", t % 3, t, t) for t in range(30)] + [(1, "small", 0, 1, 100)]
+    plan = spark.createDataFrame(rows, "batch_id bigint, component string, colour int, ordinal bigint, task_id bigint")
+    seen = str(tmp_path)
+
+    def work(row):
+        import os
+
+        from pyspark import TaskContext
+
+        before = [name.split("-")[0] for name in os.listdir(seen)]
+        open(f"{seen}/{row['colour']}-{row['task_id']}", "w").close()
+        whole = all(before.count(str(c)) >= 10 for c in range(row["colour"]))
+        return {"outcome": "COMPLETED" if whole else "FAILED", "cursor": str(TaskContext.get().partitionId())}
+
+    got = lifecycle.apply_by_component(plan, work, parallel_tasks=5).collect()
+    big = [r for r in got if r.component == "big"]
+    assert len(got) == 31 and {r.outcome for r in big} == {"COMPLETED"} and len({r.cursor for r in big}) > 1
+
+
 def test_ingest_checks(spark):
     commands = spark.createDataFrame(
         [("1", "project", "7"), ("2", " ", "7"), ("3", "project", None), ("4", "", "")],
