@@ -10,6 +10,7 @@ from wavelane.operators import cost, graph
 from wavelane.plans import compile as planning
 from wavelane.plans import documents, history
 
+# The worked example of the planning rules and, below, the figures expected for it.
 RUNNING = [
     ("A", "project", "7"),
     ("B", "conference", "42"),
@@ -246,10 +247,11 @@ def test_json_round_trip_and_paging(running):
 
 def test_old_plan_shape(spark):
     text = (
-        '{"generatedAt":"2026-01-01T00:00:00Z","plannerVersion":"v1","planningDuration":"PT0S",'
-        '"orderPolicy":"FIFO","groups":[{"componentId":"component-0","orderedTasks":["b","a"]}],'
-        '"metrics":{"totalTasks":2,"connectedComponents":1,"largestComponent":2,"parallelismFactor":0.5,'
-        '"serializationRatio":1.0,"conflictsDetected":1},"taskToComponent":{"a":"component-0"}}'
+        # Field names are fixed values; the content is this test's own.
+        '{"generatedAt":"2024-05-06T07:08:09Z","plannerVersion":"v0","planningDuration":"PT3S",'
+        '"orderPolicy":"PRIORITY","groups":[{"componentId":"component-7","orderedTasks":["b","a"]}],'
+        '"metrics":{"totalTasks":9,"connectedComponents":4,"largestComponent":3,"parallelismFactor":1.25,'
+        '"serializationRatio":0.25,"conflictsDetected":6},"taskToComponent":{"b":"component-7"}}'
     )
     plan = documents.read_plan_json(spark.createDataFrame([(text,)], "plan string")).first()
     assert [(w.colour, list(w.taskIds)) for w in plan.groups[0].waves] == [(0, ["b"]), (1, ["a"])]
@@ -257,7 +259,7 @@ def test_old_plan_shape(spark):
     import hashlib
     import uuid
 
-    digest = bytearray(hashlib.md5(b"2026-01-01T00:00:00Z").digest())
+    digest = bytearray(hashlib.md5(b"2024-05-06T07:08:09Z").digest())
     assert plan.id == str(uuid.UUID(bytes=bytes(digest), version=3))
 
 

@@ -171,6 +171,7 @@ def test_sliding_rate_closes_windows_behind_the_watermark(spark, tmp_path):
 def test_group_messages_arrive(spark, tmp_path):
     out, _, ckpt = paths(tmp_path)
     topic = str(tmp_path / "topic")
+    # Fixed value: the wire format of a group.
     text = '{"componentId":"component-0","orderedTasks":["a","b"]}'
     spark.createDataFrame([("component-0", text)], "key string, value string").write.json(topic)
     stream = spark.readStream.schema("key string, value string").json(topic)

@@ -478,6 +478,12 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN task_id % 2 = 0 THEN '[{"resourceClass":"' || top_resource_class || '","resourceId":"'
               || top_resource_id || '"}]' END AS resources, least(top_resource_class, top_resource_id) AS lesser_name,
             strftime(timeout_at, '%Y-%m-%dT%H:%M:%SZ') AS timeout_text FROM tasks"""),
+        "scalar_fields": _sql(["tasks"], """SELECT task_id, CAST(CAST(top_resource_id AS BIGINT) // 60 AS VARCHAR) AS project,
+            (epoch_us(created_at) // 60000000) % 60 AS slot, task_id * 100 AS duration_ms,
+            CASE task_id % 4 WHEN 0 THEN 'DEADLINE' WHEN 1 THEN 'PRIORITY' ELSE 'FIFO' END AS policy,
+            substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-'
+              || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-'
+              || substr(h, 21, 12) AS name FROM (SELECT *, md5(CAST(task_id AS VARCHAR)) AS h FROM tasks)"""),
         "states_over_time": """SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, state, count(*) AS n
             FROM (SELECT 'RECEIVED' AS state, o_orderdate AS ts FROM orders UNION ALL
                   SELECT CASE WHEN l_returnflag = 'R' THEN 'PAUSED' WHEN l_linestatus = 'O' THEN 'STARTED'

@@ -11,7 +11,20 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.functions.scalars import canonical_pair, format_instant, name_uuid, parse_instant, resources_json
+from wavelane.functions.scalars import (
+    canonical_pair,
+    dsl_field,
+    epoch_minute,
+    format_instant,
+    iso_duration_ms,
+    ms_iso_duration,
+    name_uuid,
+    parse_instant,
+    policy_name,
+    resources_json,
+    ring_slot,
+    uuid_text,
+)
 from wavelane.operators import admission, colouring, components, cost, footprint, graph, lifecycle
 from wavelane.operators import metrics, ordering, progress, sketch
 from wavelane.plans import compile as planning
@@ -122,7 +135,7 @@ def forget_inputs() -> None:
     _inputs.clear()
 
 
-# --- selection and transitions ---------------------------------------------------------
+# Selection and transitions.
 
 
 def eligible_batch(i: Inputs) -> DataFrame:
@@ -176,7 +189,7 @@ def batch_assign(i: Inputs) -> DataFrame:
     return ordering.batch_assign(backlog, CONFIG.batch_size).select("task_id", "batch_no")
 
 
-# --- ingest ----------------------------------------------------------------------------
+# Ingest.
 
 
 def _checked_commands(i: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +212,7 @@ def ingest_counter(i: Inputs) -> DataFrame:
     return metrics.ingest_counter(i.tasks)
 
 
-# --- footprint and graph ---------------------------------------------------------------
+# Footprint and graph.
 
 
 def task_footprint(i: Inputs) -> DataFrame:
@@ -271,7 +284,7 @@ def isolation_violations(i: Inputs) -> DataFrame:
     return planning.isolation_violations(i.shared, i.components).agg(F.count(F.lit(1)).alias("violations"))
 
 
-# --- order -----------------------------------------------------------------------------
+# Order.
 
 
 def _ordered(policy: str) -> Callable[[Inputs], DataFrame]:
@@ -288,7 +301,7 @@ def serial_waves(i: Inputs) -> DataFrame:
     return serial.select("batch_id", "component", "task_id", "colour")
 
 
-# --- cost ------------------------------------------------------------------------------
+# Cost.
 
 
 def class_duration_mean(i: Inputs) -> DataFrame:
@@ -307,7 +320,7 @@ def task_duration_stats(i: Inputs) -> DataFrame:
     return metrics.task_duration_stats(i.durations)
 
 
-# --- colouring and plan ----------------------------------------------------------------
+# Colouring and plan.
 
 
 def colour_priority(i: Inputs) -> DataFrame:
@@ -475,7 +488,7 @@ def plan_json_upgrade(i: Inputs) -> DataFrame:
     return documents.flat_waves(upgraded, [*plan, "total_tasks", "chromatic_number"]).drop("pos")
 
 
-# --- admission -------------------------------------------------------------------------
+# Admission.
 
 
 def class_limits(i: Inputs) -> DataFrame:
@@ -536,7 +549,7 @@ def cms_estimate(i: Inputs) -> DataFrame:
     )
 
 
-# --- progress --------------------------------------------------------------------------
+# Progress.
 
 
 def progress_snapshot(i: Inputs) -> DataFrame:
@@ -547,7 +560,7 @@ def task_status(i: Inputs) -> DataFrame:
     return progress.task_status(i.tasks, progress.progress_snapshot(i.progress_deltas))
 
 
-# --- history ---------------------------------------------------------------------------
+# History.
 
 
 def latest_plan(i: Inputs) -> DataFrame:
@@ -571,7 +584,7 @@ def plan_as_of(i: Inputs) -> DataFrame:
     return history.plan_as_of(probes, cut_lineage(i.plan_headers))
 
 
-# --- operations ------------------------------------------------------------------------
+# Operations.
 
 
 def resolution_outcomes(i: Inputs) -> DataFrame:
@@ -619,6 +632,19 @@ def task_store(i: Inputs) -> DataFrame:
     )
 
 
+def scalar_fields(i: Inputs) -> DataFrame:
+    """Scalar readings of task columns: search fields, ring slots, durations, policy names, ids."""
+    named = F.element_at(F.array(*map(F.lit, ("deadline", " Priority ", "fifo", "other"))), F.col("task_id").cast("int") % 4 + 1)
+    return i.tasks.select(
+        "task_id",
+        dsl_field(F.col("search_dsl"), "projectId").alias("project"),
+        ring_slot(epoch_minute(F.col("created_at"))).alias("slot"),
+        iso_duration_ms(ms_iso_duration(F.col("task_id") * 100)).alias("duration_ms"),
+        policy_name(named).alias("policy"),
+        uuid_text(F.upper(name_uuid(F.col("task_id").cast("string")))).alias("name"),
+    )
+
+
 def _results(i: Inputs) -> DataFrame:
     done = lifecycle.apply_outcomes(i.outcomes, i.tasks)
     return i.plan.schedule.select("batch_id", "component", "task_id").join(done, "task_id")
@@ -645,7 +671,7 @@ def apply_by_component(i: Inputs) -> DataFrame:
     return lifecycle.apply_by_component(i.plan.schedule, _example_work).drop("failure_reason")
 
 
-# --- streaming -------------------------------------------------------------------------
+# Streaming.
 
 ONCE = {"availableNow": True}
 
@@ -811,6 +837,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "compile_vs_dispatch_5m": compile_vs_dispatch_5m,
     "states_over_time": states_over_time,
     "task_store": task_store,
+    "scalar_fields": scalar_fields,
     "group_results": group_results,
     "plan_duration_error": plan_duration_error,
     "apply_by_component": apply_by_component,

@@ -18,6 +18,7 @@ def check_commands(commands: DataFrame) -> DataFrame:
     return commands.withColumn(
         "errors",
         _reasons(
+            # The texts that callers know.
             (is_blank(F.col("resource_class")), "resourceClass must not be blank"),
             (is_blank(F.col("resource_id")), "resourceId must not be blank"),
         ),
