@@ -37,7 +37,7 @@ from wavelane.llm.common import map_slices
 RARE = re.compile("[^\x00-\u036f\u2010-\u203f\u20ac]")
 NO_RANK = np.int64(1) << 40
 # Distinct words a task remembers before it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 
 
 def _byte_letters() -> list[str]:
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return map_slices(rows, run, f"id {kind}, ids array<int>", most=4 << 20)
+    return map_slices(rows, run, f"id {kind}, ids array<int>", most=2 << 20)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

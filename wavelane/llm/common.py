@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,7 +25,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Text handled at a time inside a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the driver notice that the shuffles behind a written step are no longer needed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession, times: int = 1) -> int:
     return times * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,10 +58,6 @@ def joined_digest(values: Column) -> Column:
     return F.sha2(F.array_join(values, ","), 256)
 
 
-def hexdigest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; a null text is an empty one."""
     return [b or b"" for b in pc.cast(column, pa.binary()).to_pylist()]

@@ -25,19 +25,20 @@ that share an id count as one document: what is found in any of them is cut from
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelane.llm.common import SLICE_BYTES, as_bytes, map_slices, partitions, staged
+from wavelane.llm.common import as_bytes, give_back, map_slices, partitions, staged
 
 SIZE = 50
 GRAM = 20
 RUN = 64
+# Larger slices than elsewhere: each one writes its own rows for every bucket.
+SLICE_BYTES = 8 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -301,12 +302,6 @@ def _by_key(df: DataFrame, key: str, function, schema: str) -> DataFrame:
     return df.groupBy(key).applyInArrow(run, schema)
 
 
-def _give_back(spark: SparkSession) -> None:
-    """Let the driver notice that the shuffles behind a written step are no longer needed."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def removed_spans(
     docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -329,7 +324,7 @@ def removed_spans(
 
     packed = map_slices(texts, runs, "key int, data binary", most=SLICE_BYTES)
     first = staged(_by_key(packed, "key", equal, "key int, data binary"), "substring-runs")
-    _give_back(spark)
+    give_back(spark)
 
     def requests(part: int, table: pa.Table) -> pa.RecordBatch:
         doc, start, windows, bucket = _unpack(table.column("data").to_pylist(), _SPAN_TYPES)
@@ -365,7 +360,7 @@ def removed_spans(
     asked = texts.join(wanted, "id").select("id", "text", "starts", "windows", "buckets")
     bytes_of = map_slices(asked, contexts, "key int, data binary", most=SLICE_BYTES)
     second = staged(_by_key(bytes_of, "key", different, "key int, data binary"), "substring-repeats")
-    _give_back(spark)
+    give_back(spark)
 
     def merged(part: int, table: pa.Table) -> pa.RecordBatch:
         doc, start, windows, bucket = _unpack(table.column("data").to_pylist(), _SPAN_TYPES)
