@@ -20,17 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.llm import lattice
-from wavelane.llm.common import LOWER, as_bytes, partitions, slices, staged
+from wavelane.llm.common import LOWER, as_bytes, give_back, partitions, slices, staged
 
 STEPS = 2
 # What is added to every expected count of a piece.
 SMOOTHING = 0.1
-SLICE = 12 << 20
+SLICE = 10 << 20
 
 
 def held_out_fold(id_: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -59,7 +60,7 @@ def _encode(kind: str):
                 pa.ListArray.from_arrays(whole, ids),
                 pa.ListArray.from_arrays(whole, held),
                 pa.array([sizes], pa.list_(pa.int64())),
-                pa.array([flat.tobytes()], pa.binary()),
+                pa.array([zstandard.compress(flat.tobytes())], pa.binary()),
                 pa.array([[w.decode() for w in number]], pa.list_(pa.string())),
                 pa.array([counts], pa.list_(pa.int64())),
             ],
@@ -148,6 +149,7 @@ def score(
     words = staged(
         counted.repartitionByRange(partitions(spark), "word").sortWithinPartitions("word"), "lm-words"
     )
+    give_back(spark)
     flags = encoded.select(F.explode("held").alias("held"))
     ends = flags.filter(~F.col("held")).count()
     known = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
@@ -181,7 +183,7 @@ def score(
                 row = batch.slice(k, 1)
                 ids, held = row.column("ids").flatten(), row.column("held").flatten()
                 sizes = row.column("sizes").flatten().to_numpy()
-                codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
+                codes = np.frombuffer(zstandard.decompress(row.column("codes")[0].as_py()), np.int32)
                 reply = row.column("reply").flatten()
                 count, value = np.zeros(len(reply), np.int64), np.zeros(len(reply))
                 if len(reply):
