@@ -5,7 +5,7 @@ import random
 import numpy as np
 import xxhash
 
-from tests.llm.helpers import ALNUM, BLANK, Sets, awkward, clashing, empty, low, prose
+from tests.llm.helpers import ALNUM, BLANK, DOCS, Sets, awkward, clashing, empty, low, prose
 from wavelane.llm import decontaminate, lines, simhash, substrings
 
 
@@ -175,6 +175,37 @@ def test_near_duplicates_go_once(spark):
     assert simhash.deduplicated(empty(spark)).count() == 0
 
 
+def test_near_duplicates_behind_relatives(spark):
+    """Pairs at 0.8 whose smallest candidates are relatives at about 0.7."""
+    rng = random.Random(12)
+
+    def changed(words, n):
+        out = [*words]
+        for k in rng.sample(range(len(out)), n):
+            out[k] = f"x{rng.randrange(10**9)}"
+        return out
+
+    def shingles(words):
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    texts = []
+    for _ in range(5):
+        base = prose(rng, 300, 10**6).split()
+        texts += [changed(base, 7) for _ in range(20)]
+        x = changed(base, 7)
+        texts += [x, changed(x, 4), changed(x, 6), changed(x, 7)]
+    sets, own = Sets(range(len(texts))), [shingles(t) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]):
+                sets.join(a, b)
+    want = {k for k in range(len(texts)) if sets.find(k) == k}
+    docs = spark.createDataFrame([(k, " ".join(t), None, None, None) for k, t in enumerate(texts)], DOCS)
+    # So wide a radius that all of a family are candidates.
+    found = {r.doc_id for r in simhash.deduplicated(docs, max_bits=20, agree=1).select("doc_id").collect()}
+    assert len(want) < len(texts) and found == want
+
+
 def test_line_chunks(spark):
     rng = random.Random(4)
     passage = [prose(rng, 8) for _ in range(12)]

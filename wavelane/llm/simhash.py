@@ -308,6 +308,60 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
     return (hashes.view(np.uint64)[:, None] * _FACTORS).min(axis=0).view(np.int64)
 
 
+def _verified(pairs: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """Edges between the (node, other) pairs whose shingles reach ``similarity``."""
+    own = of.select("node", F.col("shingles").alias("own"))
+    others = of.select(F.col("node").alias("other"), F.col("shingles").alias("theirs"))
+    compared = pairs.distinct().join(own, "node").join(others, "other")
+    both = F.size(F.array_intersect("own", "theirs"))
+    union = F.size("own") + F.size("theirs") - both
+    return compared.filter(both >= similarity * union).select(
+        F.lit(0).cast("bigint").alias("batch_id"),
+        F.greatest("node", "other").alias("task_id"),
+        F.least("node", "other").alias("centre"),
+    )
+
+
+def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """(node, other): all pairs of a component, from different groups, that can reach ``similarity``.
+
+    A prefix-filtered join over (component, node, group, shingles): ordered by the number of texts of the component that
+    hold them, rarest first, two sets with so much in common share one of their first shingles, and
+    what follows the first common one on either side suffices for the overlap. Under each shingle the largest group
+    is met by the others only, so one group of very many texts costs its size.
+    """
+    held = rows.select("component", "node", "group", F.explode("shingles").alias("shingle"))
+    often = held.groupBy("component", "shingle").agg(F.count("node").alias("n"))
+    ranked = held.join(often, ["component", "shingle"]).groupBy("component", "node", "group").agg(
+        F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ordered")
+    )
+    ranked = ranked.select("component", "node", "group", F.size("ordered").alias("size"), F.expr(
+        f"slice(ordered, 1, cast(floor(size(ordered) * (1 - {similarity}D) + 1e-6) as int) + 1)"
+    ).alias("prefix"))
+    # A shingle that one text alone holds is met by none.
+    probes = ranked.select("component", "node", "group", "size", F.posexplode("prefix").alias("at", "entry"))
+    probes = staged(
+        probes.filter(F.col("entry.n") > 1).select("component", "node", "group", "size", "at", F.col("entry.shingle").alias("shingle")),
+        "simhash-prefixes",
+    )
+    key = ["component", "shingle"]
+    largest = probes.groupBy(*key, "group").agg(F.count("node").alias("n")).groupBy(*key).agg(
+        F.max(F.struct("n", "group"))["group"].alias("main"), F.count("group").alias("groups")
+    )
+    several = largest.filter(F.col("groups") > 1).select(*key, "main")
+    met = probes.join(several, key).filter(F.col("group") != F.col("main"))
+    theirs = probes.select(*key, *[F.col(c).alias(f"_{c}") for c in ("node", "group", "size", "at")])
+    size, other, at, its = (F.col(c) for c in ("size", "_size", "at", "_at"))
+    left = F.least(size - at, other - its)
+    pairs = met.join(theirs, key).filter(
+        (F.col("group") != F.col("_group"))
+        & ((F.col("_group") == F.col("main")) | (F.col("group") < F.col("_group")))
+        & (F.least(size, other) >= similarity * F.greatest(size, other) - 1e-6)
+        & ((1 + similarity) * left >= similarity * (size + other) - 1e-6)
+    )
+    return pairs.select("node", F.col("_node").alias("other")).distinct()
+
+
 def deduplicated(
     docs: DataFrame,
     width: int = 5,
@@ -319,10 +373,11 @@ def deduplicated(
 ) -> DataFrame:
     """``docs`` without near-duplicates: of every group the smallest id stays, with all columns.
 
-    Components of linked fingerprints are candidates. Inside one, texts with an equal minimum of their shingle hashes,
-    under any of ``len(_FACTORS)`` orders, are compared with the smallest id among them, and those that share at
-    least ``similarity`` of the shingles (Jaccard) are joined; what hangs together is a group. Equal texts share one
-    verdict, so copies are compared once. Rows with a null id stay; rows that share id and text stay or go together.
+    Components of linked fingerprints are candidates. Inside one, texts that share at least ``similarity`` of the
+    shingles (Jaccard) are joined; what hangs together is a group. To begin with, texts with an equal minimum of their
+    shingle hashes, under any of ``len(_FACTORS)`` orders, are compared with the smallest id among them, which leaves few
+    groups; an exact join then finds all pairs between different ones. Equal texts share one verdict, so
+    copies are compared once. Rows with a null id stay; rows that share id and text stay or go together.
     """
     fps = staged(fingerprints(docs, width, id_col, text_col).filter(F.col("id").isNotNull()), "simhash")
     members = fps.join(groups(fps, max_bits, agree), "fp").groupBy("component", "body").agg(F.min("id").alias("least"))
@@ -344,14 +399,16 @@ def deduplicated(
     marked = sets.select("component", node.alias("node"), F.posexplode("marks").alias("k", "mark"))
     heads = marked.groupBy("component", "k", "mark").agg(F.min("node").alias("head"), F.count("node").alias("n"))
     pairs = marked.join(heads.filter(F.col("n") > 1), ["component", "k", "mark"]).filter(F.col("node") != F.col("head"))
-    of = sets.select(node.alias("node"), F.col("shingles").alias("own"))
-    heads_of = of.select(F.col("node").alias("head"), F.col("own").alias("other"))
-    compared = pairs.select("node", "head").distinct().join(of, "node").join(heads_of, "head")
-    both = F.size(F.array_intersect("own", "other"))
-    union = F.size("own") + F.size("other") - both
-    edges = compared.filter(both >= similarity * union).select(
-        F.lit(0).cast("bigint").alias("batch_id"), F.col("node").alias("task_id"), F.col("head").alias("centre")
-    )
+    of = sets.select("component", node.alias("node"), "shingles")
+    first = staged(component_stars(_verified(pairs.select("node", F.col("head").alias("other")), of, similarity)), "simhash-heads")
+    # Pairs inside a group decide nothing any more; all others of a candidate component are still open.
+    placed = of.join(first.select(F.col("hi").alias("node"), F.col("lo").alias("group")), "node", "left")
+    placed = placed.withColumn("group", F.coalesce("group", "node"))
+    apart = placed.groupBy("component").agg(F.min("group").alias("one"), F.max("group").alias("two"))
+    still = placed.join(apart.filter(F.col("one") != F.col("two")).select("component"), "component")
+    rest = staged(_candidates(staged(still, "simhash-open"), similarity), "simhash-pairs")
+    linked = first.select("batch_id", F.col("hi").alias("task_id"), F.col("lo").alias("centre"))
+    edges = staged(linked.unionByName(_verified(rest, of, similarity)), "simhash-edges")
     dropped = component_stars(edges).select(F.col("hi.id").alias("least"), F.col("hi.body").alias("body"))
     fate = bodies.join(dropped.withColumn("gone", F.lit(True)), ["least", "body"], "left")
     # A text that stays is kept under its smallest id.
