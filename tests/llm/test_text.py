@@ -134,6 +134,25 @@ def test_outliers_are_rejected(spark):
         assert np.median(np.abs(np.log((got + 0.1) / (want + 0.1)))) < 0.2
 
 
+def test_each_statistic_rejects_alone(spark):
+    rng = random.Random(14)
+    clean = [prose(rng, rng.randrange(60, 400), 3000) for _ in range(200)]
+    # A phrase said twice is no outlier.
+    clean += [" ".join([t, *t.split()[:3]]) for t in clean if len(t.split()) > 250][:5]
+    words = [f"u{k}" for k in range(900)]
+    bad = [
+        prose(rng, 30_000, 30_000),
+        " ".join("y" * 60 + str(k) for k in range(150)),
+        " ".join(f"{w}$$$" for w in words[:100]),
+        "\n".join(x for w in range(0, 150, 3) for x in (" ".join(words[w : w + 3]), "said")),
+        " ".join(words[:120] + words[200:225] + words[120:150] + words[200:225]),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(clean + bad)], DOCS)
+    found = {r.id: r for r in quality.verdicts(docs).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert [found[k].kept for k in range(len(found))] == [True] * len(clean) + [False] * len(bad)
+
+
 def test_licenses(spark):
     more = [
         "x\nReleased under the MIT License.", "MIT\nlicense mit license", "Licensed under CC BY-NC 4.0.",

@@ -45,13 +45,14 @@ TOLERANCE = 1e-2
 MEDIAN_5 = 4.351
 CUTOFF = 40.0
 
-# Transformed statistics and the least spread each of them is taken to have.
+# Transformed statistics and the least spread each of them is taken to have. Most texts repeat nothing, so the floors of the
+# last two are their scale: small enough that either can pass the cut-off alone, large enough for a phrase said twice.
 FEATURES = {
     "size": ("log1p(n_words)", 0.3),
     "word_size": ("ln(greatest(word_chars, 1) / greatest(n_words, 1))", 0.1),
     "symbols": ("log1p(100 * n_symbols / greatest(word_chars, 1))", 0.3),
-    "lines": ("log1p(100 * n_dup_lines / greatest(n_words, 1))", 1.0),
-    "repeats": ("log1p(100 * n_repeat_words / greatest(n_words, 1))", 1.0),
+    "lines": ("log1p(100 * n_dup_lines / greatest(n_words, 1))", 0.3),
+    "repeats": ("log1p(100 * n_repeat_words / greatest(n_words, 1))", 0.3),
 }
 _X = [f"_x{k}" for k in range(len(FEATURES))]
 _GROUP = ["_lang", "_source"]
