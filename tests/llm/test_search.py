@@ -96,6 +96,15 @@ def repeats(docs, size):
     return out
 
 
+def test_runs_that_differ_in_high_hash_bits_only():
+    anchor, whole = np.array([5, 5], np.uint64), np.array([1, 1 | 1 << 50], np.uint64)
+    columns = anchor, whole, np.array([1, 2]), np.array([0, 0]), np.array([1, 1])
+    blob = substrings._pack(columns, substrings._RUN_TYPES)
+    spans = [substrings._unpack([b], substrings._SPAN_TYPES) for _, b in substrings._equal_runs([blob], 3, 1)]
+    # Both are asked for their bytes, none is cut.
+    assert [s[3].tolist() for s in spans] == [[3, 3]]
+
+
 def test_substrings(spark):
     rng = random.Random(3)
     pool = [bytes(rng.choices(b"abc \x00", k=rng.randint(5, 60))).decode() for _ in range(6)]

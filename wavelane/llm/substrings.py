@@ -100,7 +100,8 @@ def text_runs(texts: list[bytes], size: int, gram: int) -> tuple[np.ndarray, ...
 
 # --- packed arrays: (dtype, planes) per column, planes of equal bytes compress better -----
 
-_RUN_TYPES = (("u8", 5), ("u8", 5), ("i8", 8), ("u8", 4), ("u8", 1))
+# Runs of one anchor are told apart by the hash of their bytes alone, so all of it is kept.
+_RUN_TYPES = (("u8", 5), ("u8", 8), ("i8", 8), ("u8", 4), ("u8", 1))
 _SPAN_TYPES = (("i8", 8), ("u8", 4), ("u8", 4), ("i8", 4))
 
 
