@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelane.llm import token_counts as counting
-from wavelane.llm import bpe, chat, decontaminate, language_model, licenses, lines, quality, simhash, substrings
+from wavelane.llm import bpe, chat, decontaminate, language_model, licenses, lines, periodic, quality, simhash, substrings
 from wavelane.llm.common import joined_digest, table
 from wavelane.session import configure
 
@@ -100,6 +100,44 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by a hash of its id, repeats a part of its words to its end."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select(
+        "doc_id", "text", F.floor(hashed / 10).alias("g"), F.when(hashed % 10 == 0, words).alias("words")
+    )
+    n, a, g = F.size("words"), F.col("g") % F.size("words"), F.col("g")
+    placed = chosen.withColumn("a", F.when(n > 0, a).cast("int")).withColumn(
+        "p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")
+    )
+    at, period = F.col("a"), F.col("p")
+    source = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < at, i).otherwise(at + (i - at) % period))
+    repeated = F.array_join(F.transform(source, lambda i: F.get("words", i)), " ")
+    return placed.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+
+    def more_often(a, b):
+        left, right = a["length"] * b["period"], b["length"] * a["period"]
+        by_place = F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["period"] - b["period"])
+        return F.when(left != right, right - left).otherwise(by_place)
+
+    sign = lambda a, b: F.signum(more_often(a, b)).cast("int")
+    top = F.get(F.array_sort("runs", sign), 0)
+    listed = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    return found.withColumn("top", top).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_hits": benchmark_hits,
     "op2_quality_outliers": quality_verdicts,
@@ -111,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_labels": license_labels,
     "op9_line_dedup": line_dedup,
     "op10_simhash_components": simhash_components,
+    "op11_periodic_runs": periodic_runs,
 }
 
 SQL = {"op8_license_labels": licenses.LABELS_SQL, "op9_line_dedup": lines.REPORT_SQL}
