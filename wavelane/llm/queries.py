@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelane.llm import token_counts as counting
-from wavelane.llm import bpe, chat, decontaminate, language_model, licenses, lines, periodic, quality, ranked, simhash, substrings
+from wavelane.llm import bpe, chat, decontaminate, grouped_join, language_model, licenses, lines, periodic, quality, ranked, simhash, substrings
 from wavelane.llm.common import joined_digest, table
 from wavelane.session import configure
 
@@ -138,6 +138,11 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grouped_join.similar_components(table(spark, sf_dir, "documents"), 5, 80)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
     return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
@@ -155,10 +160,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": line_dedup,
     "op10_simhash_components": simhash_components,
     "op11_periodic_runs": periodic_runs,
+    "op12_jaccard_components": jaccard_components,
     "op13_ranked_search": ranked_search,
 }
 
-SQL = {"op8_license_labels": licenses.LABELS_SQL, "op9_line_dedup": lines.REPORT_SQL, "op13_ranked_search": ranked.SEARCH_SQL}
+SQL = {
+    "op8_license_labels": licenses.LABELS_SQL,
+    "op9_line_dedup": lines.REPORT_SQL,
+    "op12_jaccard_components": grouped_join.COMPONENTS_SQL,
+    "op13_ranked_search": ranked.SEARCH_SQL,
+}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
