@@ -16,7 +16,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tab
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.queries()
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 

@@ -37,7 +37,7 @@ def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.report(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
-    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_chunks", kept)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_spans", kept)
 
 
 def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
