@@ -1,14 +1,15 @@
 """Streaming jobs over several files and restarts, against their batch twins."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import BASE, resource_frame, task_frame
+from tests.helpers import BASE, admission_frame, resource_frame, task_frame
 from wavelane.operators import admission, lifecycle
 from wavelane.plans import compile as planning
-from wavelane.streaming import jobs
+from wavelane.streaming import jobs, timers
 
 ONCE = {"availableNow": True}
 MINUTE = timedelta(minutes=1)
@@ -97,7 +98,7 @@ def test_timeouts_lose_no_change(spark, tmp_path):
         folder = tmp_path / str(lateness)
         places = [str(folder / name) for name in ("rows", "late", "state", "ckpt")]
         feed(
-            spark, folder, lambda s, p=places, n=lateness: jobs.stream_timeouts(s, open_, *p, ONCE, n * 60_000), parts, schema
+            spark, folder, lambda s, p=places, n=lateness: timers.stream_timeouts(s, open_, *p, ONCE, n * 60_000), parts, schema
         )
         rows = jobs.read_epochs(spark, places[0]).collect()
         assert {r.task_id for r in rows} == fired and len(rows) == len(fired)
@@ -105,18 +106,134 @@ def test_timeouts_lose_no_change(spark, tmp_path):
         assert {r.task_id for r in jobs.read_epochs(spark, places[1]).collect()} == late
 
 
+CHANGE = "task_id string, ts timestamp, state string, timeout_at timestamp"
+
+
+def expected_timeouts(parts, lateness):
+    """One change after the other in plain Python: fired (task, deadline) and late (task, ts) per part."""
+    newest, fired, late, clock = {}, [], [], None
+    for n, rows in enumerate(parts):
+        given = {t: d for t, (_, _, _, d, f) in newest.items() if f}
+        late += [(t, ts) for t, ts, _, _ in rows if t in given and ts <= given[t]]
+        for t, ts, state, due in rows:
+            clock = ts if clock is None else max(clock, ts)
+            row = (ts, n, state not in ("PENDING", "STARTED"), due, False)
+            # A null deadline sorts first.
+            order = lambda r: (r[0], r[1], r[2], str(r[3]) if r[3] else "")
+            if t not in newest or order(row) > order(newest[t]):
+                newest[t] = row
+        for t, (ts, k, closed, due, done) in list(newest.items()):
+            if not closed and not done and due is not None and due <= clock - lateness:
+                newest[t] = (ts, k, closed, due, True)
+                fired.append((t, due))
+    return sorted(fired), sorted(late)
+
+
+def run_timeouts(spark, tmp_path, parts, lateness, **options):
+    open_ = F.col("state").isin("PENDING", "STARTED")
+    places = [str(tmp_path / name) for name in ("rows", "late", "state", "ckpt")]
+    ms = int(lateness.total_seconds() * 1000)
+    feed(spark, tmp_path, lambda s: timers.stream_timeouts(s, open_, *places, ONCE, ms, **options), parts, CHANGE)
+    utc = lambda ms: datetime(1970, 1, 1) + timedelta(milliseconds=ms)
+    fired = sorted((r.task_id, utc(r.timeout_ms)) for r in jobs.read_epochs(spark, places[0]).collect())
+    late = sorted((r.task_id, utc(r.ts_ms)) for r in jobs.read_epochs(spark, places[1]).collect())
+    return fired, late, places
+
+
+def test_closed_tasks_stay_closed_whatever_arrives(spark, tmp_path):
+    hour, due = 60 * MINUTE, BASE + 120 * MINUTE
+    parts = [
+        [("a", BASE + hour, "COMPLETED", due), ("b", BASE, "PENDING", due)],
+        [("c", BASE + 72 * hour, "PENDING", None)],
+        # Long after the clock has moved on: older than what is known of a, and too late for b.
+        [("a", BASE + hour / 2, "PENDING", due), ("b", BASE + hour, "COMPLETED", due)],
+        [("c", BASE + 100 * hour, "PENDING", None)],
+        [("a", BASE + hour / 3, "STARTED", due), ("d", BASE, "PENDING", due)],
+    ]
+    fired, late, _ = run_timeouts(spark, tmp_path, parts, 0 * MINUTE, buckets=2, compact_every=2)
+    assert fired == [("b", due), ("d", due)] and late == [("b", BASE + hour)]
+
+
+@pytest.mark.parametrize("lateness, buckets, compact_every", [(0, 5, 3), (90, 3, 1)])
+def test_timeouts_match_one_by_one(spark, tmp_path, lateness, buckets, compact_every):
+    rng, parts = random.Random(lateness), []
+    for n in range(8):
+        part = []
+        for t in rng.sample("abcdefghijkl", rng.randint(1, 5)):
+            ts = BASE + (60 * n + rng.randint(-400, 60)) * MINUTE
+            due = rng.choice([None, ts + rng.randint(1, 300) * MINUTE])
+            part.append((t, ts, rng.choice(["PENDING", "PENDING", "STARTED", "COMPLETED"]), due))
+        parts.append(part)
+    fired, late, places = run_timeouts(
+        spark, tmp_path, parts, lateness * MINUTE, buckets=buckets, compact_every=compact_every
+    )
+    assert (fired, late) == expected_timeouts(parts, lateness * MINUTE) and fired
+    # Pieces of a bucket older than its last whole one are not read any more.
+    log = timers.TaskLog(spark, f"{places[2]}/tasks", "task_id string, ts_ms bigint", buckets, compact_every)
+    plan = log.read(len(parts), {0})._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert log.read(len(parts), {0}).count() < sum(map(len, parts))
+
+
+def test_waiting_tasks_are_planned_later(spark, tmp_path):
+    """Denied, unresolved and surplus tasks over several files, against the same loop without Spark."""
+    out, backlog, ckpt = [str(tmp_path / n) for n in ("out", "backlog", "ckpt")]
+    files = [[f"t{n}{k}" for k in range(4)] for n in range(4)] + [["t00"], []]
+    resources = resource_frame(spark, {t: [f"r:{t[-1]}"] for f in files for t in f})
+    schema = task_frame(spark, [("x", "c", "1")]).schema
+    class_of = lambda t: "ab"[int(t[-1]) % 2]
+    denied_at = lambda e: {"a"} if e in (0, 1) else {"b"} if e == 2 else set()
+    unresolved_at = lambda e: {"t13", "t01"} if e in (1, 2) else set()
+    seen = []
+
+    def plan_batch(batch, epoch):
+        seen.append(epoch)
+        decisions = admission_frame(spark, *[(c, c not in denied_at(epoch), 0.0) for c in "ab"])
+        failed = spark.createDataFrame([(t,) for t in unresolved_at(epoch)], "task_id string")
+        return planning.compile_plan(batch, resources, class_admission=decisions, failed=failed).schedule
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.stream_plan(stream, plan_batch, out, backlog, ckpt, ONCE, batch_size=6).awaitTermination()
+
+    pool, want, asked = [], [], 0
+    for epoch, tasks in enumerate(files):
+        rows = [(1, t, BASE + (asked + k) * MINUTE, None, "PENDING", None, class_of(t), "1") for k, t in enumerate(tasks)]
+        asked += len(rows)
+        add_file(spark, str(tmp_path / "in"), rows, schema)
+        run()
+        pool = sorted([p for p in pool if p[1] not in tasks] + [(r[2], r[1]) for r in rows])
+        chosen = [t for _, t in pool[:6]]
+        planned = [t for t in chosen if class_of(t) not in denied_at(epoch) and t not in unresolved_at(epoch)]
+        want += [(epoch, t) for t in planned]
+        pool = [p for p in pool if p[1] not in planned]
+        if epoch == 2:
+            # The last micro-batch again, as after a crash before its commit: the same plan and the same backlog.
+            before = sorted(r.task_id for r in jobs.waiting(spark, backlog, 2).collect())
+            for name in ("commits/2", "commits/.2.crc"):
+                (tmp_path / "ckpt" / name).unlink()
+            run()
+            assert seen[-2:] == [2, 2] and sorted(r.task_id for r in jobs.waiting(spark, backlog, 2).collect()) == before
+    rows = jobs.read_epochs(spark, out).collect()
+    assert sorted((r.epoch, r.task_id) for r in rows) == sorted(want)
+    last = max(r.epoch for r in rows)
+    assert sorted(r.task_id for r in jobs.waiting(spark, backlog, last).collect()) == [t for _, t in pool]
+    # Once for each time it was asked for.
+    assert sum(r.task_id == "t00" for r in rows) == 2
+
+
 def test_plan_per_micro_batch_and_replay(spark, tmp_path):
-    out, _, ckpt = paths(tmp_path)
+    out, backlog, ckpt = paths(tmp_path)
     resources = resource_frame(spark, {"A": ["k:1"], "B": ["k:1"], "C": ["k:1"]})
     folder, compiled = str(tmp_path / "in"), []
 
-    def compile_batch(batch):
+    def compile_batch(batch, epoch):
         compiled.append(1)
         return planning.compile_plan(batch, resources).schedule
 
     def run():
         stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
-        jobs.stream_plan(stream, compile_batch, out, ckpt, ONCE).awaitTermination()
+        jobs.stream_plan(stream, compile_batch, out, backlog, ckpt, ONCE).awaitTermination()
 
     task_frame(spark, [("A", "x", "1"), ("B", "x", "2")]).coalesce(1).write.parquet(folder)
     run()
@@ -126,8 +243,8 @@ def test_plan_per_micro_batch_and_replay(spark, tmp_path):
     rows = jobs.read_epochs(spark, out)
     assert {(r.batch_id, r.task_id, r.colour) for r in rows.collect()} == {(1, "A", 0), (1, "B", 1), (2, "C", 0)}
     # A replayed micro-batch overwrites its own rows.
-    jobs._write_epoch(rows.filter("epoch = 1").drop("epoch"), str(tmp_path / "copy"), 1)
-    jobs._write_epoch(rows.filter("epoch = 1").drop("epoch"), str(tmp_path / "copy"), 1)
+    jobs.write_epoch(rows.filter("epoch = 1").drop("epoch"), str(tmp_path / "copy"), 1)
+    jobs.write_epoch(rows.filter("epoch = 1").drop("epoch"), str(tmp_path / "copy"), 1)
     assert jobs.read_epochs(spark, str(tmp_path / "copy")).count() == 1
 
 
@@ -140,14 +257,14 @@ def test_orphan_completes_exactly_once_after_a_crash(spark, tmp_path):
 
     def step(batch, epoch):
         done = lifecycle.recover_orphans(batch).withColumn("state", F.lit("COMPLETED"))
-        jobs._write_epoch(done, out, epoch)
+        jobs.write_epoch(done, out, epoch)
         attempts.append(epoch)
         if len(attempts) == 1:
             raise RuntimeError("lost before the commit")
 
     def start():
         stream = spark.readStream.schema(schema).parquet(folder)
-        return jobs._start(stream, step, ckpt, ONCE)
+        return jobs.start(stream, step, ckpt, ONCE)
 
     with pytest.raises(Exception):
         start().awaitTermination()

@@ -32,7 +32,7 @@ from wavelane.plans import documents, history
 from wavelane.schemas import EXPIRABLE_STATES, IN_FLIGHT_STATES, RESOURCES
 from wavelane.session import configure, cut_lineage, shared_path
 from wavelane.sources import ingest, messages, store, tables
-from wavelane.streaming import jobs
+from wavelane.streaming import jobs, timers
 
 NOW = datetime(1996, 6, 1)
 CONFIG = planning.PlanConfig(task_ms={"BUILDING": 2000})
@@ -687,11 +687,11 @@ def stream_plan(i: Inputs) -> DataFrame:
     )
     limits, mean = i.class_admission, cost.class_duration_mean(i.durations)
 
-    def compile_batch(batch: DataFrame) -> DataFrame:
+    def plan_batch(batch: DataFrame, epoch: int) -> DataFrame:
         return planning.compile_plan(batch, i.resource_rows, CONFIG, limits, mean).schedule
 
     out = shared_path(spark, "plan")
-    _finish(jobs.stream_plan(stream, compile_batch, f"{out}/rows", f"{out}/ckpt", ONCE))
+    _finish(jobs.stream_plan(stream, plan_batch, f"{out}/rows", f"{out}/backlog", f"{out}/ckpt", ONCE))
     return jobs.read_epochs(spark, f"{out}/rows").drop("epoch")
 
 
@@ -747,7 +747,7 @@ def stream_timeouts(i: Inputs) -> DataFrame:
     ).withColumnRenamed("created_at", "ts")
     expirable = F.col("state").isin(*EXPIRABLE_STATES)
     places = (f"{out}/{name}" for name in ("rows", "late", "state", "ckpt"))
-    _finish(jobs.stream_timeouts(changes, expirable, *places, ONCE))
+    _finish(timers.stream_timeouts(changes, expirable, *places, ONCE))
     return jobs.read_epochs(spark, f"{out}/rows").drop("epoch")
 
 

@@ -42,7 +42,7 @@ def topic_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     )
 
 
-def _start(
+def start(
     stream: DataFrame,
     step: Callable[[DataFrame, int], None],
     checkpoint: str,
@@ -53,7 +53,7 @@ def _start(
     return writer.foreachBatch(step).trigger(**trigger).start()
 
 
-def _write_epoch(df: DataFrame, out: str, epoch: int) -> None:
+def write_epoch(df: DataFrame, out: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
 
@@ -63,17 +63,47 @@ def read_epochs(spark: SparkSession, out: str) -> DataFrame:
 
 def stream_plan(
     tasks: DataFrame,
-    compile_batch: Callable[[DataFrame], DataFrame],
+    plan_batch: Callable[[DataFrame, int], DataFrame],
     out: str,
+    backlog: str,
     checkpoint: str,
     trigger: dict[str, Any],
+    batch_size: int | None = None,
 ) -> StreamingQuery:
-    """Compile each micro-batch of tasks and append its schedule."""
+    """Plan each micro-batch of tasks together with what earlier ones left waiting, and append its schedule.
+
+    ``plan_batch(tasks, epoch)`` gives a schedule; tasks of the batch that are not in it, denied by a limit or without
+    resolved resources, wait for the next micro-batch, as do those beyond the oldest ``batch_size`` by (created_at, task_id).
+    A waiting task keeps the epoch it first arrived in as ``arrived``; a row that repeats it takes its place. Once planned,
+    a task leaves the backlog, so it is planned once for every time it was asked for.
+    """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        _write_epoch(compile_batch(batch), out, epoch)
+        new = batch.withColumn("arrived", F.lit(epoch).cast("bigint"))
+        before = _backlog(batch.sparkSession, backlog, epoch, new)
+        # One row a task: the last to arrive, under the first arrival.
+        rest = [c for c in new.columns if c not in ("task_id", "arrived")]
+        last = F.max(F.struct("arrived", *rest)).alias("_last")
+        pool = before.unionByName(new).groupBy("task_id").agg(last, F.min("arrived").alias("arrived"))
+        pool = cut_lineage(pool.select(*[F.col(f"_last.{c}").alias(c) if c in rest else F.col(c) for c in new.columns]))
+        chosen = pool if batch_size is None else pool.orderBy("created_at", "task_id").limit(max(0, batch_size))
+        write_epoch(plan_batch(cut_lineage(chosen), epoch), out, epoch)
+        planned = batch.sparkSession.read.parquet(f"{out}/epoch={epoch}").select("task_id")
+        write_epoch(pool.join(planned, "task_id", "left_anti").select(*new.columns), backlog, epoch)
+
+    return start(tasks, step, checkpoint, trigger)
+
+
+def _backlog(spark: SparkSession, backlog: str, epoch: int, like: DataFrame) -> DataFrame:
+    """Tasks that the micro-batch before ``epoch`` left waiting."""
+    if epoch == 0:
+        return spark.createDataFrame([], like.schema)
+    return spark.read.schema(like.schema).parquet(f"{backlog}/epoch={epoch - 1}")
 
-    return _start(tasks, step, checkpoint, trigger)
+
+def waiting(spark: SparkSession, backlog: str, epoch: int) -> DataFrame:
+    """The backlog as micro-batch ``epoch`` left it."""
+    return spark.read.parquet(f"{backlog}/epoch={epoch}")
 
 
 def stream_progress(
@@ -81,7 +111,7 @@ def stream_progress(
 ) -> StreamingQuery:
     """Running totals per task; each micro-batch writes the tasks it changed."""
     totals = deltas.groupBy("task_id").agg(*progress_sums())
-    return _start(totals, lambda df, e: _write_epoch(df, out, e), checkpoint, trigger, "update")
+    return start(totals, lambda df, e: write_epoch(df, out, e), checkpoint, trigger, "update")
 
 
 def stream_task_state(
@@ -90,7 +120,7 @@ def stream_task_state(
     """Newest state per task of a stream of (task_id, version, state) changes."""
     newest = changes.groupBy("task_id").agg(F.max(F.struct("version", "state")).alias("_n"))
     rows = newest.select("task_id", "_n.version", "_n.state")
-    return _start(rows, lambda df, e: _write_epoch(df, out, e), checkpoint, trigger, "update")
+    return start(rows, lambda df, e: write_epoch(df, out, e), checkpoint, trigger, "update")
 
 
 def latest_epoch_rows(spark: SparkSession, out: str, key: str) -> DataFrame:
@@ -117,7 +147,7 @@ def stream_hourly_rate(
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.end").alias("window_end"), "resource_class", "n")
     )
-    return _start(rate, lambda df, e: _write_epoch(df, out, e), checkpoint, trigger)
+    return start(rate, lambda df, e: write_epoch(df, out, e), checkpoint, trigger)
 
 
 def _previous(spark: SparkSession, state: str, epoch: int, schema: str) -> DataFrame:
@@ -153,10 +183,10 @@ def stream_inflight(
         after = before.join(ended, "resource_class", "full").select(
             "resource_class", F.coalesce("_end", "inflight").alias("inflight")
         )
-        _write_epoch(balance, out, epoch)
-        _write_epoch(after, state, epoch)
+        write_epoch(balance, out, epoch)
+        write_epoch(after, state, epoch)
 
-    return _start(events, step, checkpoint, trigger)
+    return start(events, step, checkpoint, trigger)
 
 
 def stream_rate_arrival(
@@ -183,70 +213,10 @@ def stream_rate_arrival(
         kept = ring.join(clock, "resource_class").filter(
             F.col("booked_minute") > F.col("_now") - admission.RATE_MINUTES
         )
-        _write_epoch(rates, out, epoch)
-        _write_epoch(kept.drop("_now"), state, epoch)
-
-    return _start(events, step, checkpoint, trigger)
-
-
-def stream_timeouts(
-    changes: DataFrame,
-    expirable: Column,
-    out: str,
-    late: str,
-    state: str,
-    checkpoint: str,
-    trigger: dict[str, Any],
-    lateness_ms: int = 0,
-    keep_ms: int = 86_400_000,
-) -> StreamingQuery:
-    """TIMEOUT transitions of tasks whose deadline passes while they wait or run.
-
-    The newest time in the change stream is the clock. A deadline is decided ``lateness_ms`` after it has passed
-    (0: at once), so changes that arrive up to that much behind the clock still count, whatever other
-    tasks have sent. The newest change of a task by event time holds, in whichever order changes arrive. One
-    that would have stopped a timeout already given is written to ``late`` as well.
-
-    State is the newest change of every task that is open or changed within ``keep_ms`` of the clock.
-    """
-    task_type = dict(changes.dtypes)["task_id"]
-    schema = (
-        f"task_id {task_type}, ts_ms bigint, seen bigint, closed boolean, state string, timeout_ms bigint, fired boolean"
-    )
-    change = changes.select(
-        "task_id",
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
-        (~expirable).alias("closed"),
-        "state",
-        F.unix_millis(F.col("timeout_at").cast("timestamp")).alias("timeout_ms"),
-        F.lit(False).alias("fired"),
-    )
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        before = _previous(batch.sparkSession, state, epoch, schema)
-        arrived = batch.withColumn("seen", F.lit(epoch).cast("bigint")).select(*before.columns)
-        # Equal times: what arrived last holds, a closing change before an opening one.
-        newest = F.max(F.struct(*before.columns[1:])).alias("n")
-        latest = cut_lineage(before.unionByName(arrived).groupBy("task_id").agg(newest).select("task_id", "n.*"))
-        clock = F.lit(latest.agg(F.max("ts_ms")).first()[0])
-        given = F.coalesce(
-            ~F.col("closed") & ~F.col("fired") & (F.col("timeout_ms") <= clock - lateness_ms), F.lit(False)
-        )
-        fired = latest.filter(given).select(
-            "task_id", F.col("state").alias("from_state"), F.lit("TIMEOUT").alias("state"), "timeout_ms"
-        )
-        missed = before.filter("fired").select("task_id", F.col("timeout_ms").alias("deadline_ms"))
-        _write_epoch(fired, out, epoch)
-        _write_epoch(
-            arrived.join(missed, "task_id").filter(F.col("ts_ms") <= F.col("deadline_ms")).drop("seen", "fired"),
-            late,
-            epoch,
-        )
-        after = latest.withColumn("fired", F.col("fired") | given)
-        open_ = ~F.col("closed") & ~F.col("fired")
-        _write_epoch(after.filter(open_ | (F.col("ts_ms") >= clock - keep_ms)), state, epoch)
+        write_epoch(rates, out, epoch)
+        write_epoch(kept.drop("_now"), state, epoch)
 
-    return _start(change, step, checkpoint, trigger)
+    return start(events, step, checkpoint, trigger)
 
 
 def stream_group_messages(
@@ -254,4 +224,4 @@ def stream_group_messages(
 ) -> StreamingQuery:
     """Typed groups of a message stream, for consumers that run them."""
     groups = decode_groups(messages)
-    return _start(groups, lambda df, e: _write_epoch(df, out, e), checkpoint, trigger)
+    return start(groups, lambda df, e: write_epoch(df, out, e), checkpoint, trigger)
