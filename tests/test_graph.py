@@ -42,14 +42,44 @@ def test_edges_degrees_and_components(spark, kind):
     near, rows = neighbours(fp), shared(spark, fp)
     edges = {(r.u, r.v) for r in graph.conflict_edges(rows, tile_rows=7).collect()}
     assert edges == {(t, v) for t in near for v in near[t] if t < v}
-    for pairwise, subsets in ((64, 10), (3, 10), (3, 1)):
-        degree = {r.task_id: r.degree for r in graph.degrees(rows, pairwise, subsets).collect()}
+    for pairwise, sets in ((64, 1000), (3, 1000), (3, 7), (1, 1000)):
+        degree = {r.task_id: r.degree for r in graph.degrees(rows, pairwise, sets).collect()}
         assert {t: degree.get(t, 0) for t in near} == {t: len(near[t]) for t in near}
     vertices = spark.createDataFrame([(1, t) for t in fp], "batch_id bigint, task_id bigint")
     found = components.connected_components(vertices, components.component_stars(rows))
     assert {r.task_id: r.component for r in found.collect()} == plain_components(fp)
 
 
+def test_degrees_of_tasks_in_many_large_buckets(spark, monkeypatch):
+    """200 tasks in 15 buckets each, of 5 000 tasks in any: no subsets, no pairs, in two batches."""
+    rnd = random.Random(9)
+    monkeypatch.setattr(graph, "UNION_ROWS", 50)
+    fp = {t: {f"h{rnd.randrange(40)}" for _ in range(rnd.choice([1, 1, 2]))} for t in range(5000)}
+    fp |= {t: set(rnd.sample([f"h{k}" for k in range(40)], 15)) for t in range(200)}
+    rows = [(b, t * 8, "k", r) for b in (1, 2) for t, rs in fp.items() for r in rs if b == 1 or t % 3]
+    frame = spark.createDataFrame(rows, "batch_id bigint, task_id bigint, resource_class string, resource_id string")
+    found = graph.degrees(cut_lineage(graph.shared_rows(frame)), set_rows=300)
+    plan = found._jdf.queryExecution().toString()
+    assert "pow" not in plan.lower()
+    got = {(r.batch_id, r.task_id): r.degree for r in found.collect()}
+    for b in (1, 2):
+        own = {t * 8: rs for t, rs in fp.items() if b == 1 or t % 3}
+        holders = {}
+        for t, rs in own.items():
+            for r in rs:
+                holders.setdefault(r, set()).add(t)
+        want = {t: len(set().union(*[holders[r] for r in rs])) - 1 for t, rs in own.items()}
+        assert {t: d for (k, t), d in got.items() if k == b} == want
+
+
+def test_degrees_over_several_chunks(spark):
+    rows = spark.range(70_000).selectExpr("1L as batch_id", "id as task_id", "'k' as resource_class", "explode(filter(array(concat('h', id % 2), if(id % 3 = 0, 't', null)), x -> x is not null)) as resource_id")
+    found = graph.degrees(cut_lineage(graph.shared_rows(rows)))
+    sizes = {(p, t): 35_000 + (sum(1 for k in range(70_000) if k % 3 == 0 and k % 2 != p) if t else 0) - 1 for p in (0, 1) for t in (0, 1)}
+    got = found.selectExpr("task_id % 2 p", "int(task_id % 3 = 0) t", "degree").groupBy("p", "t").agg(F.min("degree"), F.max("degree"))
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got.collect()} == {k: (v, v) for k, v in sizes.items()}
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_colouring_paths_agree_with_one_by_one_greedy(spark, kind):
     fp = random_footprints(5, 30, kind)

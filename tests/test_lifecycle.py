@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from wavelane.operators import work as running
 from wavelane.operators import admission, lifecycle, progress
 from wavelane.schemas import TASKS
 from wavelane.plans import documents
@@ -134,7 +135,7 @@ def test_failing_task_does_not_stop_the_next(spark):
             raise RuntimeError("boom")
         return {"outcome": "COMPLETED"}
 
-    got = {r.task_id: (r.outcome, r.error_type, r.error_message) for r in lifecycle.apply_by_component(plan, work).collect()}
+    got = {r.task_id: (r.outcome, r.error_type, r.error_message) for r in running.apply_by_component(plan, work).collect()}
     ok = ("COMPLETED", None, None)
     assert got == {"t1": (None, "RuntimeError", "boom"), "t2": ok, "t3": ok}
 
@@ -155,11 +156,78 @@ def test_large_components_run_wave_by_wave(spark, tmp_path):
         whole = all(before.count(str(c)) >= 10 for c in range(row["colour"]))
         return {"outcome": "COMPLETED" if whole else "FAILED", "cursor": str(TaskContext.get().partitionId())}
 
-    got = lifecycle.apply_by_component(plan, work, parallel_tasks=5).collect()
+    got = running.apply_by_component(plan, work, parallel_tasks=5, wide_wave=2).collect()
     big = [r for r in got if r.component == "big"]
     assert len(got) == 31 and {r.outcome for r in big} == {"COMPLETED"} and len({r.cursor for r in big}) > 1
 
 
+RUN = "batch_id bigint, component string, colour int, ordinal bigint, task_id bigint"
+
+
+def test_runs_of_waves(spark):
+    sizes = [1, 2, 9, 8, 1, 3, 4, 2]
+    rows, k = [], 0
+    for colour, n in enumerate(sizes):
+        for _ in range(n):
+            k += 1
+            rows.append((1, "big", colour, k, k))
+    rows += [(1, "small", c, c, 100 + c) for c in range(3)]
+    runs = running.plan_runs(spark.createDataFrame(rows, RUN), parallel_tasks=10, wide_wave=8, run_tasks=4)
+    steps = {(r.component, r.colour): (r.step, r.wide) for r in runs.collect()}
+    # Two narrow waves, two wide ones, and narrow ones again, cut where four tasks have gone before.
+    want = [(0, False), (0, False), (1, True), (2, True), (3, False), (3, False), (4, False), (5, False)]
+    assert [steps["big", c] for c in range(8)] == want
+    assert {steps["small", c] for c in range(3)} == {(0, False)}
+
+
+def test_one_hot_resource_takes_few_jobs(spark, tmp_path):
+    """100 000 tasks that all conflict run one after the other, in order, in ten steps."""
+    plan = spark.range(1, 100_001).selectExpr(
+        "1L as batch_id", "'hot' as component", "cast(id - 1 as int) as colour", "id as ordinal", "id as task_id"
+    )
+    state = {"last": 0}
+
+    def work(row):
+        ok = row["task_id"] == state["last"] + 1 or (row["task_id"] - 1) % 10_000 == 0
+        state["last"] = row["task_id"]
+        return {"outcome": "COMPLETED" if ok else "FAILED"}
+
+    got = running.apply_by_component(plan, work, str(tmp_path / "work"))
+    assert got.groupBy("outcome").count().collect() == [("COMPLETED", 100_000)]
+    assert len(list((tmp_path / "work" / "results").iterdir())) == 10
+
+
+def test_killed_run_goes_on_where_it_stopped(spark, tmp_path):
+    rows = [(1, "big", t, t, t) for t in range(12)] + [(2, "other", t, t, 100 + t) for t in range(3)]
+    plan = spark.createDataFrame(rows, RUN)
+    calls, folder = tmp_path / "calls", str(tmp_path / "work")
+    calls.mkdir()
+
+    def work_until(limit):
+        def work(row):
+            import os
+            import uuid
+
+            if row["task_id"] >= limit and row["batch_id"] == 1:
+                os._exit(1)  # the worker is lost
+            open(f"{calls}/{row['task_id']}-{uuid.uuid4().hex}", "w").close()
+            return {"outcome": "COMPLETED"}
+
+        return work
+
+    options = dict(parallel_tasks=5, wide_wave=100, run_tasks=4)
+    with pytest.raises(Exception):
+        running.apply_by_component(plan, work_until(9), folder, **options)
+    got = running.apply_by_component(plan, work_until(99), folder, **options)
+    assert sorted(r.task_id for r in got.collect()) == sorted(r[4] for r in rows)
+    times = [name.name.split("-")[0] for name in calls.iterdir()]
+    # Two steps of four tasks were done; task 8 was in the one that broke.
+    assert all(times.count(str(t)) == 1 for t in range(8)) and times.count("8") >= 2
+    again = running.apply_by_component(plan, work_until(0), folder, **options)
+    assert again.count() == 15 and len(list(calls.iterdir())) == len(times)
+    assert running.apply_by_component(plan.limit(0), work_until(0)).count() == 0
+
+
 def test_ingest_checks(spark):
     commands = spark.createDataFrame(
         [("1", "project", "7"), ("2", " ", "7"), ("3", "project", None), ("4", "", "")],

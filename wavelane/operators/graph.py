@@ -7,6 +7,9 @@ is never expanded to its k(k-1)/2 pairs for a count, a degree or a component.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +22,11 @@ VERTEX = ["batch_id", "task_id"]
 
 # Buckets up to this size are compared pairwise when neighbours are counted.
 PAIRWISE_BUCKET = 64
-# Tasks in up to this many larger buckets are counted by inclusion and exclusion.
-MAX_SUBSET_BUCKETS = 10
+# Sets of larger buckets that one task takes the unions of, and how many of them at a time.
+SET_ROWS = 200_000
+UNION_ROWS = 1_024
+# Words of 64 bits in a chunk's bitmap.
+CHUNK_WORDS = 32_768 // 64
 # Rows of one bucket tile in the edge listing.
 TILE_ROWS = 4_096
 
@@ -97,85 +103,86 @@ def adjacency(edges: DataFrame) -> DataFrame:
     )
 
 
-def _subsets(names):
-    """Non-empty subsets of an array column, each in the order of the array."""
-    numbers = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(names)) - 1).cast("int"))
-    return F.transform(
-        numbers,
-        lambda mask: F.filter(
-            names,
-            lambda _, i: mask.bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0,
-        ),
-    )
+def _with_numbers(large: DataFrame) -> DataFrame:
+    """Footprint rows with the number of their bucket, ``_id``, and of their task, ``_n``, from 1 in each batch."""
+    buckets = rank_rows(large.select(*BUCKET).distinct(), ["batch_id"], [F.col(c).asc() for c in RESOURCE], "_id")
+    tasks = rank_rows(large.select(*VERTEX).distinct(), ["batch_id"], [F.col("task_id").asc()], "_n")
+    return large.join(buckets.withColumn("_id", F.col("_id").cast("int")), BUCKET).join(tasks, VERTEX)
+
 
+def _union_sizes(large: DataFrame, sets: DataFrame, set_rows: int) -> DataFrame:
+    """(batch_id, _set, _set2, _union): tasks that any bucket of a set holds, for sets of several buckets.
 
-def degrees(
-    shared: DataFrame,
-    pairwise_bucket: int = PAIRWISE_BUCKET,
-    max_subset_buckets: int = MAX_SUBSET_BUCKETS,
-) -> DataFrame:
+    Buckets are bitmaps over chunks of task numbers. A chunk's bitmaps meet the sets, ``set_rows`` of them at a time, in one
+    task, which takes unions of rows of a bit matrix; sets go only to chunks where one of their buckets has members.
+    """
+    chunk = F.expr("bitmap_bucket_number(_n)").alias("_chunk")
+    bitmaps = cut_lineage(
+        large.groupBy("batch_id", "_id", chunk).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_n))").alias("_bits"))
+    )
+    pieces = sets.count() // set_rows + 1
+    placed = sets.select("*", F.explode("_names").alias("_id")).join(bitmaps.drop("_bits"), ["batch_id", "_id"])
+    piece = F.pmod("_set", F.lit(pieces)).cast("int").alias("_piece")
+    asked = placed.select("batch_id", "_chunk", piece, "_set", "_set2", "_names").distinct()
+    every = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_piece")
+    asked = asked.withColumn("_id", F.lit(None).cast("int")).withColumn("_bits", F.lit(None).cast("binary"))
+    rows = asked.unionByName(bitmaps.select("batch_id", "_chunk", "_id", "_bits", every), allowMissingColumns=True)
+
+    def count(group: pa.Table) -> pa.Table:
+        is_set = pc.is_null(group.column("_id"))
+        matrix, wanted = group.filter(pc.invert(is_set)), group.filter(is_set)
+        ids = matrix.column("_id").to_numpy()
+        order = np.argsort(ids)
+        bits = np.frombuffer(b"".join(matrix.column("_bits").to_pylist()), np.uint64).reshape(len(ids), -1)[order]
+        # A row of zeros stands for buckets without members in this chunk.
+        bits = np.vstack([bits, np.zeros((1, CHUNK_WORDS), np.uint64)])
+        names = wanted.column("_names").combine_chunks()
+        size = pc.list_value_length(names).to_numpy()
+        flat, ids = names.flatten().to_numpy(), ids[order]
+        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+        at = np.where(ids[at] == flat, at, len(ids))
+        ends = np.cumsum(size)
+        found = []
+        for a in range(0, len(size), UNION_ROWS):
+            part = slice(a, a + UNION_ROWS)
+            first = ends[a] - size[a]
+            held = bits[at[first : ends[part][-1]]]
+            found.append(np.bitwise_count(np.bitwise_or.reduceat(held, ends[part] - size[part] - first, axis=0)).sum(axis=1))
+        keys = wanted.select(["batch_id", "_set", "_set2"])
+        counts = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
+        return keys.append_column("_union", pa.array(counts))
+
+    kind = sets.schema["batch_id"].dataType.simpleString()
+    counted = rows.groupBy("batch_id", "_chunk", "_piece").applyInArrow(
+        count, f"batch_id {kind}, _set bigint, _set2 int, _union bigint"
+    )
+    return counted.groupBy("batch_id", "_set", "_set2").agg(F.sum("_union").alias("_union"))
+
+
+def degrees(shared: DataFrame, pairwise_bucket: int = PAIRWISE_BUCKET, set_rows: int = SET_ROWS) -> DataFrame:
     """Distinct neighbours of every task that has any, exact and without hot pair lists.
 
-    Small buckets are self-joined, which costs at most ``pairwise_bucket`` rows per footprint
-    row. For the large buckets H(t) of a task the size of their union is the alternating
-    sum, over subsets T of H(t), of the number of tasks touching all of T; those numbers are
-    plain grouped counts. Pairs found both ways are counted once, on the large side. Tasks
-    in very many large buckets are compared directly instead of over all subsets.
+    Small buckets are self-joined, which costs at most ``pairwise_bucket`` rows per footprint row. The large buckets a
+    task is in make a set, and tasks with the same set have as many neighbours through it: the size of the bucket
+    if it is one, the union of their bitmaps if they are several. Pairs found both ways are counted once, on the large side.
     """
     rows = shared.select(*BUCKET, "task_id", "bucket_size")
     large = rows.filter(F.col("bucket_size") > pairwise_bucket)
     small = rows.filter(F.col("bucket_size") <= pairwise_bucket)
     if large.isEmpty():
         return _count_pairs(_pairs(small, small))
-
-    # Buckets get a number each: subsets of small numbers are cheaper to shuffle than names.
-    numbers = rank_rows(
-        large.select(*BUCKET).distinct(), ["batch_id"], [F.col(c).asc() for c in RESOURCE], "_id"
-    )
-    large = cut_lineage(large.join(numbers, BUCKET))
-    per_task = large.groupBy(*VERTEX).agg(F.count(F.lit(1)).alias("_k"))
-    tagged = large.join(per_task, VERTEX).withColumn("_wide", F.col("_k") > max_subset_buckets)
-    narrow = cut_lineage(
-        tagged.filter(~F.col("_wide"))
-        .groupBy(*VERTEX)
-        .agg(F.sort_array(F.collect_list(F.col("_id").cast("int"))).alias("_names"))
-    )
-
-    signatures = narrow.groupBy("batch_id", "_names").agg(F.count(F.lit(1)).alias("_w"))
-    # Read twice, so written once; two hashes of a subset (96 bits) travel in its place.
-    sign = F.when(F.size("_part") % 2 == 1, 1).otherwise(-1)
-    part = ["batch_id", "_part", "_part2"]
-    parts = cut_lineage(
-        signatures.select("batch_id", "_names", "_w", F.explode(_subsets(F.col("_names"))).alias("_part")).select(
-            "batch_id",
-            F.xxhash64("_names").alias("_set"),
-            F.hash("_names").alias("_set2"),
-            "_w",
-            sign.cast("byte").alias("_sign"),
-            F.xxhash64("_part").alias("_part"),
-            F.hash("_part").alias("_part2"),
-        )
-    )
-    holders = parts.groupBy(*part).agg(F.sum("_w").alias("_n"))
-    sums = (
-        parts.join(holders, part)
-        .groupBy("batch_id", "_set", "_set2")
-        .agg((F.sum(F.col("_sign") * F.col("_n")) - 1).alias("_through_large"))
-    )
-    sets = signatures.select(
-        "batch_id", "_names", F.xxhash64("_names").alias("_set"), F.hash("_names").alias("_set2")
-    )
-    unions = sets.join(sums, ["batch_id", "_set", "_set2"]).select("batch_id", "_names", "_through_large")
-    through_large = narrow.join(unions, ["batch_id", "_names"]).select(*VERTEX, "_through_large")
-
-    wide = tagged.filter("_wide").select(*BUCKET, "task_id")
-    other = tagged.select(*BUCKET, "task_id")
-    listed = (
-        _pairs(small, small)
-        .union(_pairs(wide, other))
-        .union(_pairs(other, wide))
-        .distinct()
-    )
+    large = cut_lineage(_with_numbers(large))
+    # Two hashes of a set (96 bits) travel in its place.
+    named = large.groupBy(*VERTEX).agg(
+        F.sort_array(F.collect_list("_id")).alias("_names"), F.min("bucket_size").alias("_one")
+    )
+    narrow = cut_lineage(named.select("*", F.xxhash64("_names").alias("_set"), F.hash("_names").alias("_set2")))
+    several = narrow.filter(F.size("_names") > 1).select("batch_id", "_set", "_set2", "_names")
+    unions = _union_sizes(large, cut_lineage(several.dropDuplicates(["batch_id", "_set", "_set2"])), set_rows)
+    through_large = narrow.join(unions, ["batch_id", "_set", "_set2"], "left").select(
+        *VERTEX, (F.coalesce("_union", "_one") - 1).alias("_through_large")
+    )
+    listed = _pairs(small, small).distinct()
     of_u = narrow.select("batch_id", F.col("task_id").alias("u"), F.col("_names").alias("_nu"))
     of_v = narrow.select("batch_id", F.col("task_id").alias("v"), F.col("_names").alias("_nv"))
     beyond = (

@@ -1,19 +1,15 @@
-"""Task states: selection, transitions, and the result of running a task."""
+"""Task states: selection, transitions, and what the result of a task makes of it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wavelane.functions.ranking import in_order
 from wavelane.functions.scalars import at_least_zero, failure_text, ms_iso_duration
 from wavelane.schemas import ELIGIBLE_STATES, EXPIRABLE_STATES, IN_FLIGHT_STATES, TASK_STATES
-from wavelane.session import cut_lineage, shared_path
 
 DEFAULT_TASK_TIMEOUT_MS = 300_000
 
@@ -184,68 +180,5 @@ def apply_outcomes(
     )
 
 
-OUTCOME_COLUMNS = [
-    ("outcome", T.StringType()),
-    ("cursor", T.StringType()),
-    ("failure_reason", T.StringType()),
-    ("error_type", T.StringType()),
-    ("error_message", T.StringType()),
-]
-
-
-# Tasks from which on a component runs wave by wave over all executors.
-PARALLEL_TASKS = 10_000
-
-
-def apply_by_component(
-    schedule: DataFrame, work: Callable[[dict], dict], parallel_tasks: int = PARALLEL_TASKS
-) -> DataFrame:
-    """Run a user function on every scheduled task, conflicting ones never at the same time.
-
-    A component of up to ``parallel_tasks`` tasks runs in order on one task, many components side by side. A larger one
-    runs wave by wave: the tasks of a wave do not conflict, so they are spread over all partitions, and the next
-    wave starts when their results are written.
-
-    Rows reach ``work`` as dicts; it returns ``outcome`` and optionally ``cursor`` and ``failure_reason``. An
-    exception fails its own task and no other. Rows stream through in Arrow batches.
-    """
-    fields = {f.name: f for f in schedule.schema.fields}
-    keys = ["batch_id", "component", "task_id"]
-    schema = T.StructType(
-        [T.StructField(k, fields[k].dataType) for k in keys]
-        + [T.StructField(n, t) for n, t in OUTCOME_COLUMNS]
-    )
-    names = [n for n, _ in OUTCOME_COLUMNS]
-
-    def run(frames):
-        for frame in frames:
-            done = []
-            for row in frame.drop(columns="_turn", errors="ignore").to_dict("records"):
-                try:
-                    result = work(row)
-                    values = [result.get(n) for n in names]
-                except Exception as error:  # the user's function may raise anything
-                    values = [None, None, None, type(error).__name__, str(error)]
-                done.append([row[k] for k in keys] + values)
-            yield pd.DataFrame(done, columns=keys + names)
-
-    whole = ["batch_id", "component"]
-    sizes = schedule.groupBy(*whole).count()
-    large = sizes.filter(F.col("count") > parallel_tasks).select(*whole)
-    if large.isEmpty():
-        return in_order(schedule, whole, [F.col("ordinal")]).mapInPandas(run, schema)
-    large = cut_lineage(large)
-    small_rows = schedule.join(large, whole, "left_anti")
-    results = in_order(small_rows, whole, [F.col("ordinal")]).mapInPandas(run, schema)
-    spark = schedule.sparkSession
-    rows = cut_lineage(schedule.join(large, whole, "left_semi"))
-    path = shared_path(spark, "waves")
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for wave in range(int(rows.agg(F.max("colour")).first()[0]) + 1):
-        ready = rows.filter(F.col("colour") == wave).repartition(slices, "task_id")
-        ready.mapInPandas(run, schema).write.parquet(f"{path}/wave={wave}")
-    return results.unionByName(spark.read.schema(schema).parquet(f"{path}/wave=*"))
-
-
 def pending_count(total: Column, success: Column, failed: Column) -> Column:
     return at_least_zero(total - success - failed)

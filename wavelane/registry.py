@@ -26,7 +26,7 @@ from wavelane.functions.scalars import (
     uuid_text,
 )
 from wavelane.operators import admission, colouring, components, cost, footprint, graph, lifecycle
-from wavelane.operators import metrics, ordering, progress, sketch
+from wavelane.operators import metrics, ordering, progress, sketch, work
 from wavelane.plans import compile as planning
 from wavelane.plans import documents, history
 from wavelane.schemas import EXPIRABLE_STATES, IN_FLIGHT_STATES, RESOURCES
@@ -668,7 +668,7 @@ def _example_work(task: dict) -> dict:
 
 
 def apply_by_component(i: Inputs) -> DataFrame:
-    return lifecycle.apply_by_component(i.plan.schedule, _example_work).drop("failure_reason")
+    return work.apply_by_component(i.plan.schedule, _example_work).drop("failure_reason")
 
 
 # Streaming.
