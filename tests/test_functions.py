@@ -140,16 +140,36 @@ def test_counters_match_a_loop(spark):
     got = {r.event_id: r.inflight for r in admission.inflight_balance(events, seeds).collect()}
     assert got == want
     assert {r.event_id: r.n_at_event for r in admission.hourly_rate(events).collect()} == rates
-    sliced = admission.hourly_rate_arrival(events, slice_events=20)
+    sliced = admission.hourly_rate_arrival(events)
     assert {r.event_id: r.n for r in sliced.collect()} == rates
 
 
 def test_running_sums_are_exclusive_on_request(spark):
-    df = spark.createDataFrame([("g", i // 3, i, 10 * i) for i in range(9)], "g string, s int, o int, v bigint")
-    out = scans.running_sums(df, ["g"], "s", ["o"], {"t": F.col("v")}, inclusive=False)
+    df = spark.createDataFrame([("g", i, 10 * i) for i in range(9)], "g string, o int, v bigint")
+    out = scans.running_sums(df, ["g"], ["o"], {"t": F.col("v")}, inclusive=False)
     assert [r.t for r in out.orderBy("o").collect()] == [sum(10 * j for j in range(i)) for i in range(9)]
 
 
+def test_scans_split_one_class_in_one_minute(spark):
+    """All rows in one group with one time: slices by order, each on a task of its own."""
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        rows = spark.range(4000).selectExpr("'g' as g", "0L as ts", "id as o", "if(id % 7 < 3, 1L, -1L) as v", "id * 31 % 977 as m")
+        slices = ranking.in_slices(rows, ["g"], ["ts", "o"]).groupBy("_slice").count().collect()
+        assert len(slices) == 4 and max(r["count"] for r in slices) < 2000
+        moves = [(1 if i % 7 < 3 else -1, i * 31 % 977) for i in range(4000)]
+        balance, total, top, want = 2, 0, -1, []
+        for v, m in moves:
+            balance, total, top = max(0, balance + v), total + v, max(top, m)
+            want.append((balance, total, top))
+        found = scans.clamped_balance(rows, ["g"], ["ts", "o"], "v", "b", F.lit(2))
+        found = scans.running_sums(found, ["g"], ["ts", "o"], {"t": F.col("v")})
+        found = scans.running_max(found, ["g"], ["ts", "o"], "m", "x")
+        assert [(r.b, r.t, r.x) for r in found.orderBy("o").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
 def admitted(spark, inflight, rate, limits=(), enabled=True):
     schema = "resource_class string, max_inflight bigint, max_rate_per_hour bigint"
     state = spark.createDataFrame([("p", inflight, rate), ("q", 0, 0)], "resource_class string, inflight bigint, rate bigint")

@@ -24,18 +24,22 @@ def slice_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Rows range-partitioned by (keys, order), with the number of their slice as ``_slice``.
+
+    Materialised, because boundaries come from sampling and every reader has to see the same ones.
+    """
+    by = [*[F.col(k) for k in keys], *[F.col(c) if isinstance(c, str) else c for c in order]]
+    return cut_lineage(df.repartitionByRange(slice_count(df), *by).withColumn("_slice", F.spark_partition_id()))
+
+
 def sliced_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """1-based rank by ``order`` inside ``keys``; no task holds more than one range slice.
 
-    ``order`` must be total. With no keys the rank is global. The slices are materialised
-    once: their boundaries come from sampling, so both passes have to see the same ones.
+    ``order`` must be total. With no keys the rank is global.
     """
     keys = list(keys)
-    placed = cut_lineage(
-        df.repartitionByRange(slice_count(df), *[F.col(k) for k in keys], *order).withColumn(
-            "_slice", F.spark_partition_id()
-        )
-    )
+    placed = in_slices(df, keys, order)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*keys, "_slice")

@@ -22,10 +22,6 @@ def epoch_minute(ts: Column) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(60_000_000)).cast("bigint")
 
 
-def epoch_hour(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
-
-
 def ring_slot(minute: Column, slots: int = 60) -> Column:
     return F.pmod(minute, F.lit(slots))
 

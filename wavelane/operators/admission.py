@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wavelane.functions.joins import lookup_join
-from wavelane.functions.scalars import epoch_hour, epoch_minute
-from wavelane.functions.scans import clamped_balance, running_sums
+from wavelane.functions.scalars import epoch_minute
+from wavelane.functions.scans import clamped_balance, running_max, running_sums
 from wavelane.schemas import IN_FLIGHT_STATES
 from wavelane.session import cut_lineage
 
@@ -49,14 +49,13 @@ def inflight_balance(events: DataFrame, seeds: DataFrame | None = None) -> DataF
         "resource_class",
         "ts",
         F.when(F.col("kind") == "emit", 1).otherwise(-1).cast("bigint").alias("_delta"),
-        epoch_hour(F.col("ts")).alias("_hour"),
     )
     seed = None
     if seeds is not None:
         moves = lookup_join(moves, seeds.select("resource_class", F.col("inflight").alias("_seeded")), "resource_class")
         seed = F.coalesce("_seeded", F.lit(0))
     balanced = clamped_balance(
-        moves, ["resource_class"], "_hour", ["ts", "event_id"], "_delta", "inflight", seed
+        moves, ["resource_class"], ["ts", "event_id"], "_delta", "inflight", seed
     )
     return balanced.select("event_id", "resource_class", "ts", "inflight")
 
@@ -83,26 +82,19 @@ def hourly_rate(events: DataFrame, minutes: int = RATE_MINUTES) -> DataFrame:
         Window.partitionBy("resource_class").orderBy("minute").rangeBetween(-(minutes - 1), 0)
     )
     totals = minute_counts(events).withColumn("n", F.sum("in_minute").over(trailing))
-    arrival = Window.partitionBy("resource_class", "minute").orderBy("ts", "event_id")
-    return (
-        events.withColumn("minute", epoch_minute(F.col("ts")))
-        .withColumn("_nth", F.row_number().over(arrival))
-        .join(totals, ["resource_class", "minute"])
-        .select(
-            "event_id",
-            "resource_class",
-            "minute",
-            "n",
-            (F.col("n") - F.col("in_minute") + F.col("_nth")).alias("n_at_event"),
-        )
+    placed = events.select("event_id", "resource_class", "ts", epoch_minute(F.col("ts")).alias("minute"))
+    counted = running_sums(placed, ["resource_class", "minute"], ["ts", "event_id"], {"_nth": F.lit(1)})
+    return counted.join(totals, ["resource_class", "minute"]).select(
+        "event_id",
+        "resource_class",
+        "minute",
+        "n",
+        (F.col("n") - F.col("in_minute") + F.col("_nth")).alias("n_at_event"),
     )
 
 
 def hourly_rate_arrival(
-    events: DataFrame,
-    minutes: int = RATE_MINUTES,
-    slice_events: int = 100_000,
-    earlier: DataFrame | None = None,
+    events: DataFrame, minutes: int = RATE_MINUTES, earlier: DataFrame | None = None
 ) -> DataFrame:
     """Rate as a ring counter books it: in arrival order, late events count as current.
 
@@ -111,36 +103,14 @@ def hourly_rate_arrival(
     ``earlier(resource_class, booked_minute, booked)`` are bookings made before these events.
     Only emissions are booked.
     """
-    keyed = emissions(events).select(
-        "event_id",
-        "resource_class",
-        epoch_minute(F.col("ts")).alias("minute"),
-        F.floor(F.col("event_id") / slice_events).alias("_slice"),
-    )
-    inside = (
-        Window.partitionBy("resource_class", "_slice")
-        .orderBy("event_id")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    before = (
-        Window.partitionBy("resource_class")
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        keyed.groupBy("resource_class", "_slice")
-        .agg(F.max("minute").alias("_top"))
-        .select("resource_class", "_slice", F.max("_top").over(before).alias("_clock"))
-    )
-    placed = keyed.withColumn("_seen", F.max("minute").over(inside)).join(
-        carried, ["resource_class", "_slice"]
-    )
-    clock = F.greatest("_seen", "_clock")
+    keyed = emissions(events).select("event_id", "resource_class", epoch_minute(F.col("ts")).alias("minute"))
+    placed = running_max(keyed, ["resource_class"], ["event_id"], "minute", "_clock")
+    clock = F.col("_clock")
     if earlier is not None:
         started = earlier.groupBy("resource_class").agg(F.max("booked_minute").alias("_from"))
         placed = lookup_join(placed, started, "resource_class")
-        clock = F.greatest("_seen", "_clock", "_from")
-    booked = placed.select("event_id", "resource_class", "_slice", clock.alias("booked_minute"))
+        clock = F.greatest("_clock", "_from")
+    booked = placed.select("event_id", "resource_class", clock.alias("booked_minute"))
     counts = booked.groupBy("resource_class", "booked_minute").agg(
         F.count(F.lit(1)).alias("_in"), F.lit(0).cast("bigint").alias("_old")
     )
@@ -160,10 +130,8 @@ def hourly_rate_arrival(
         Window.partitionBy("resource_class").orderBy("booked_minute").rangeBetween(-(minutes - 1), 0)
     )
     totals = counts.withColumn("_n", F.sum(F.col("_in") + F.col("_old")).over(trailing))
-    # A backlog of late events all lands in one minute, so the count inside it is sliced too.
-    counted = running_sums(
-        booked, ["resource_class", "booked_minute"], "_slice", ["event_id"], {"_nth": F.lit(1)}
-    )
+    # A backlog of late events all lands in one minute, which is no more than another order for the scan.
+    counted = running_sums(booked, ["resource_class", "booked_minute"], ["event_id"], {"_nth": F.lit(1)})
     return (
         counted.join(totals, ["resource_class", "booked_minute"])
         .select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.joins import lookup_join
-from wavelane.functions.scalars import epoch_hour, integer_mean, ratio
+from wavelane.functions.scalars import integer_mean, ratio
 from wavelane.functions.scans import running_sums
 
 DEFAULT_TASK_MS = 100
@@ -23,11 +23,9 @@ def class_duration_mean(durations: DataFrame) -> DataFrame:
 
 def running_duration_estimate(durations: DataFrame, default_ms: int = DEFAULT_TASK_MS) -> DataFrame:
     """The estimate in force just before each reading: mean of the class's earlier readings."""
-    readings = durations.filter(F.col("elapsed_ms") >= 0).withColumn("_hour", epoch_hour(F.col("ts")))
     scanned = running_sums(
-        readings,
+        durations.filter(F.col("elapsed_ms") >= 0).select("event_id", "resource_class", "ts", "elapsed_ms"),
         ["resource_class"],
-        "_hour",
         ["ts", "event_id"],
         {"_total": F.col("elapsed_ms"), "_n": F.lit(1)},
         inclusive=False,
