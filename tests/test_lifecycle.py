@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelane.operators import work as running
-from wavelane.operators import admission, lifecycle, progress
+from wavelane.operators import admission, footprint, lifecycle, progress
 from wavelane.schemas import TASKS
 from wavelane.plans import documents
-from wavelane.sources import ingest, messages, store
+from wavelane.sources import ingest, messages, store, versions
 
 NOW = datetime(2026, 8, 14, 12, 0, 0)
 SEC = timedelta(seconds=1)
@@ -262,6 +262,73 @@ def test_task_table_keeps_newest_version(spark, tmp_path):
     assert a.resources[0].resource_id == "1" and got["b"].resources == [] and got["n"].version == 0
 
 
+def test_versions_survive_appends_during_compaction(spark, tmp_path, monkeypatch):
+    table = versions.VersionTable(spark, str(tmp_path / "t"), "k", buckets=8)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    schema = "k bigint, version bigint, v string"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    content = lambda keys=None: {r.k: (r.version, r.v) for r in table.read(keys).collect()}
+    table.append(rows(*[(k, 0, "a") for k in range(100)]))
+    table.compact()
+    table.append(rows((1, 1, "b"), (200, 0, "n")))
+    assert content([1, 2, 200]) == {1: (1, "b"), 2: (0, "a"), 200: (0, "n")} and len(content()) == 101
+    # A delta that comes in when the snapshot has already chosen what it takes in.
+    chosen = table.read_parts
+
+    def and_then_append(taken):
+        late = chosen(taken)
+        table.append(rows((1, 2, "c"), (201, 0, "m"), (2, 0, "old")))
+        return late
+
+    monkeypatch.setattr(table, "read_parts", and_then_append)
+    table.compact()
+    monkeypatch.undo()
+    want = {k: (0, "a") for k in range(100)} | {1: (2, "c"), 200: (0, "n"), 201: (0, "m")}
+    got = content()
+    assert got.pop(2)[0] == 0 and got == {k: v for k, v in want.items() if k != 2}
+    assert len(table._parts()[3]) == 3
+    table.vacuum()
+    assert content([1, 200, 201]) == {1: (2, "c"), 200: (0, "n"), 201: (0, "m")}
+    table.compact()
+    table.vacuum()
+    assert {k: v for k, v in content().items() if k != 2} == {k: v for k, v in want.items() if k != 2}
+    plan = table.read([5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # Half a snapshot does not count.
+    table.append(rows((5, 1, "x")))
+    monkeypatch.setattr(table.spark, "createDataFrame", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.compact()
+    monkeypatch.undo()
+    assert content([5]) == {5: (1, "x")}
+
+
+def test_plan_lookups_read_one_day(spark, tmp_path):
+    stored = store.PlanHistory(spark, str(tmp_path / "plans"))
+    day = timedelta(days=1)
+    for k in range(4):
+        plans = [(k, f"p{k}", NOW + k * day, "{}"), (k, f"q{k}", NOW + k * day + SEC, "{}")]
+        stored.append(spark.createDataFrame(plans, "batch_id int, plan_id string, generated_at timestamp, plan string"))
+    ids = lambda found: [r.plan_id for r in found.collect()]
+    assert ids(stored.newest()) == ["q3"] and ids(stored.by_id("p1")) == ["p1"]
+    assert ids(stored.in_force(F.lit(NOW + 2 * day))) == ["p2"] and ids(stored.in_force(F.lit(NOW - day))) == []
+    found = stored.in_force(F.lit(NOW + day))
+    filters = found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "generated_date" in filters and len(found.inputFiles()) <= len(stored.newest().inputFiles())
+
+
+def test_closure_from_requested_tags(spark):
+    deps = [(k, k + 1) for k in range(10_000)] + [(20_000, 20_001), (20_001, 20_002), (20_002, 20_000), (7, None)]
+    table = spark.createDataFrame(deps, "tag_id bigint, depends_on bigint")
+    roots = spark.createDataFrame([(0,), (9_990,), (20_001,), (77_777,)], "tag_id bigint")
+    found = footprint.dependency_closure(table, roots=roots)
+    got = found.groupBy("tag_id").agg(F.count("*").alias("n"), F.count_distinct("depends_on").alias("d")).collect()
+    assert {r.tag_id: (r.n, r.d) for r in got} == {0: (10_000,) * 2, 9_990: (10, 10), 20_001: (3, 3)}
+    small = table.filter("tag_id > 9990")
+    assert footprint.dependency_closure(small).count() == 9 * 10 // 2 + 9
+
+
 def test_group_messages(spark):
     schedule = spark.createDataFrame(
         [(1, "A", 0, p, p, t) for p, t in enumerate("abcde", 1)] + [(1, "A", 1, 1, 6, "f"), (2, "A", 0, 1, 1, "g")],
@@ -281,15 +348,14 @@ def test_group_messages(spark):
     assert [w.colour for w in messages.decode_groups(bare).first().waves] == [0, 1]
 
 
-@pytest.mark.parametrize("name", ["append_plans"])
-def test_plan_history_table(spark, tmp_path, name):
+def test_plan_history_table(spark, tmp_path):
     from wavelane.plans import history
 
     times = [datetime(2026, 1, 1, h) for h in (1, 5, 5, 9)]
     plans = spark.createDataFrame(list(zip("abcd", times)), "plan_id string, generated_at timestamp")
-    path = str(tmp_path / "plans")
-    getattr(store, name)(plans, path)
-    read = store.read_plans(spark, path)
+    stored = store.PlanHistory(spark, str(tmp_path / "plans"))
+    stored.append(plans)
+    read = stored.headers()
     assert history.latest_plan(read).first().plan_id == "d"
     at = lambda ts: [r.plan_id for r in history.plan_for(read, F.lit(ts)).collect()]
     assert at(times[0]) == ["a"] and at(times[1]) == ["c"] and at(datetime(1970, 1, 1)) == []

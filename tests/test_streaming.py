@@ -276,13 +276,24 @@ def test_orphan_completes_exactly_once_after_a_crash(spark, tmp_path):
 
 def test_sliding_rate_closes_windows_behind_the_watermark(spark, tmp_path):
     out, _, ckpt = paths(tmp_path)
-    parts = [events(0, 130)]
+    parts = [events(0, 70), events(70, 60)]
     feed(spark, tmp_path, lambda s: jobs.stream_hourly_rate(s, out, ckpt, ONCE), parts, EVENT)
     rows = jobs.read_epochs(spark, out)
     at = {(r.resource_class, r.window_end): r.n for r in rows.collect()}
     # A minute in three has a completion, which no window counts.
     assert at[("a", BASE + 60 * MINUTE)] == 20 and at[("b", BASE + 100 * MINUTE)] == 20
     assert max(e for _, e in at) <= BASE + 128 * MINUTE
+    # A clock row at the end of a bounded run closes the windows that were still open, each once.
+    frame = spark.createDataFrame(sum(parts, []), EVENT)
+    jobs.closing_clock(frame, F.lit(BASE + 129 * MINUTE)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
+    jobs.stream_hourly_rate(stream, out, ckpt, ONCE).awaitTermination()
+    want = {}
+    for _, c, ts, kind in sum(parts, []):
+        for k in range(1, 61) if kind == "emit" else ():
+            want[c, ts + k * MINUTE] = want.get((c, ts + k * MINUTE), 0) + 1
+    rows = jobs.read_epochs(spark, out).collect()
+    assert {(r.resource_class, r.window_end): r.n for r in rows} == want and len(rows) == len(want)
 
 
 def test_group_messages_arrive(spark, tmp_path):

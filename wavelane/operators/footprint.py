@@ -46,23 +46,29 @@ def skipped_tasks(tasks: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def dependency_closure(
-    deps: DataFrame, child: str = "tag_id", parent: str = "depends_on"
+    deps: DataFrame, child: str = "tag_id", parent: str = "depends_on", roots: DataFrame | None = None
 ) -> DataFrame:
     """Every (child, ancestor) pair of a dependency table, each once; cycles end by themselves.
 
-    Path doubling: pairs known after round k span up to 2^k steps, so the number of rounds
-    is the logarithm of the longest chain.
+    With ``roots`` only the pairs of those children. Steps of length 1, 2, 4 ... are kept for all rows, pairs for the asked ones:
+    a round appends one long step to every pair found so far, so each length of path is made up in one way, and the number
+    of rounds is the logarithm of the longest path.
     """
-    closure = cut_lineage(deps.select(child, parent).filter(F.col(parent).isNotNull()).distinct())
-    known = closure.count()
+    steps = cut_lineage(deps.select(child, parent).filter(F.col(parent).isNotNull()).distinct())
+    found = steps if roots is None else steps.join(roots.select(child).distinct(), child, "left_semi")
+    found = cut_lineage(found)
+    asked = None if roots is None else cut_lineage(roots.select(child).distinct())
+    known = found.count()
     while True:
-        left = closure.select(child, F.col(parent).alias("_via"))
-        right = closure.select(F.col(child).alias("_via"), parent)
-        longer = left.join(right, "_via").select(child, parent)
-        closure = cut_lineage(closure.union(longer).distinct())
-        grown = closure.count()
+        via = F.col(child).alias("_via")
+        doubled = steps.select(child, F.col(parent).alias("_via")).join(steps.select(via, parent), "_via")
+        steps = cut_lineage(doubled.select(child, parent).distinct())
+        own = steps if asked is None else steps.join(asked, child, "left_semi")
+        longer = found.select(child, F.col(parent).alias("_via")).join(steps.select(via, parent), "_via")
+        found = cut_lineage(found.union(own).union(longer.select(child, parent)).distinct())
+        grown = found.count()
         if grown == known:
-            return closure
+            return found
         known = grown
 
 

@@ -520,12 +520,12 @@ def oracle_sql() -> dict[str, str]:
               ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n
             FROM (SELECT event_id, resource_class, max(minute) OVER (PARTITION BY resource_class
                   ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS booked_minute FROM emits)"""),
-        "stream_hourly_rate": _sql(["cev", "emits"], """,
-            clock AS (SELECT date_trunc('minute', max(ts) - INTERVAL '1 minute') AS closed FROM emits)
-            SELECT window_end, resource_class, count(*) AS n FROM (
+        "stream_hourly_rate": _sql(["cev", "emits"], """SELECT window_end, resource_class, count(*) AS n FROM (
               SELECT resource_class, unnest(range(date_trunc('minute', ts) + INTERVAL '1 minute',
                      date_trunc('minute', ts) + INTERVAL '61 minutes', INTERVAL '1 minute')) AS window_end FROM emits)
-            WHERE window_end <= (SELECT closed FROM clock) GROUP BY ALL""").replace("\n,", ",", 1),
+            GROUP BY ALL"""),
+        "identical_replan": _sql(SCHED, """SELECT DISTINCT batch_id, true AS same,
+            batch_id <> (SELECT min(batch_id) FROM sched) AS same_when_moved FROM sched"""),
         "stream_timeouts": _sql(["tasks"], f"""SELECT task_id, state AS from_state, 'TIMEOUT' AS state,
             epoch_ms(timeout_at) AS timeout_ms FROM tasks WHERE state IN {EXPIRABLE}
             AND timeout_at <= (SELECT max(created_at) FROM tasks)"""),

@@ -226,7 +226,7 @@ def unresolved_skipped(i: Inputs) -> DataFrame:
 
 
 def footprint_range_join(i: Inputs) -> DataFrame:
-    closure = footprint.dependency_closure(i.tag_dependencies)
+    closure = footprint.dependency_closure(i.tag_dependencies, roots=i.tag_sets)
     return footprint.range_footprint(i.tasks, i.connections, i.talks, i.tag_sets, closure)
 
 
@@ -413,19 +413,17 @@ def plan_history(i: Inputs) -> DataFrame:
     headers = documents.plan_headers(
         i.plan.metrics().join(times, "batch_id"), F.col("at"), "v4", "FIFO", F.lit(100)
     )
-    path = shared_path(i.spark, "history")
-    store.append_plans(documents.plan_documents(headers, _groups(i, documents.PART_TASKS)), path)
-    stored = store.read_plans(i.spark, path)
-    known = stored.select("batch_id", "plan_id", "generated_at").distinct()
+    stored = store.PlanHistory(i.spark, shared_path(i.spark, "history"))
+    stored.append(documents.plan_documents(headers, _groups(i, documents.PART_TASKS)))
+    named = stored.headers().filter(F.col("batch_id") == 1400).first()
     asked = {
-        "newest": history.latest_plan(known),
-        "by_id": known.join(known.filter(F.col("batch_id") == 1400).select("plan_id"), "plan_id", "left_semi"),
-        "as_of": history.plan_for(known, F.lit(NOW)),
+        "newest": stored.newest(),
+        "by_id": stored.by_id(named.plan_id if named else ""),
+        "as_of": stored.in_force(F.lit(NOW)),
     }
 
-    def answer(question: str, plans: DataFrame) -> DataFrame:
-        pages = stored.join(plans.select("plan_id"), "plan_id", "left_semi").select("plan")
-        rows = documents.flat_waves(documents.read_plan_json(pages))
+    def answer(question: str, pages: DataFrame) -> DataFrame:
+        rows = documents.flat_waves(documents.read_plan_json(pages.select("plan")))
         return rows.withColumn("question", F.lit(question))
 
     return reduce(DataFrame.unionByName, [answer(*entry) for entry in asked.items()])
@@ -617,6 +615,7 @@ def task_store(i: Inputs) -> DataFrame:
     changes = first.filter(F.col("state") == "PENDING").withColumns(
         {"state": F.lit("STARTED"), "created_at": F.lit(NOW), "cursor": F.lit("page:0")}
     )
+    store.task_table(i.spark, path).compact()
     store.append_versions(store.merge_versions(store.read_tasks(i.spark, path), changes), path)
     read = store.read_tasks(i.spark, path)
     pair = canonical_pair(F.col("top_resource_class"), F.col("top_resource_id"))
@@ -671,6 +670,18 @@ def apply_by_component(i: Inputs) -> DataFrame:
     return work.apply_by_component(i.plan.schedule, _example_work).drop("failure_reason")
 
 
+def identical_replan(i: Inputs) -> DataFrame:
+    """Every batch compiled again from rows in another order, and that plan with one task of one batch moved."""
+    limits, mean = i.class_admission, cost.class_duration_mean(i.durations)
+    mixed = i.tasks.repartition(7, F.xxhash64("task_id"))
+    again = planning.compile_plan(mixed, i.resource_rows, CONFIG, limits, mean).schedule
+    first = again.agg(F.min(F.struct("batch_id", "task_id")).alias("f")).select("f.*")
+    moved = again.join(F.broadcast(first.withColumn("_moved", F.lit(1))), ["batch_id", "task_id"], "left")
+    moved = moved.withColumn("pos", F.col("pos") + F.coalesce("_moved", F.lit(0))).select(*again.columns)
+    same = history.same_batches(i.plan.schedule, again)
+    return same.join(history.same_batches(again, moved).withColumnRenamed("same", "same_when_moved"), "batch_id")
+
+
 # Streaming.
 
 ONCE = {"availableNow": True}
@@ -717,8 +728,19 @@ def _event_stream(i: Inputs) -> DataFrame:
 
 
 def stream_hourly_rate(i: Inputs) -> DataFrame:
+    """All events as one file and then, after a restart, the clock that closes the last windows."""
     out = shared_path(i.spark, "rate")
-    _finish(jobs.stream_hourly_rate(_event_stream(i), f"{out}/rows", f"{out}/ckpt", ONCE))
+    events = i.class_events.select("event_id", "resource_class", "ts", "kind")
+    events.write.parquet(f"{out}/events/part=0")
+
+    def run() -> None:
+        stream = i.spark.readStream.schema(events.schema).parquet(f"{out}/events/part=*")
+        _finish(jobs.stream_hourly_rate(stream, f"{out}/rows", f"{out}/ckpt", ONCE))
+
+    run()
+    last = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    jobs.closing_clock(events, F.lit(last)).write.parquet(f"{out}/events/part=1")
+    run()
     rows = jobs.read_epochs(i.spark, f"{out}/rows")
     return rows.select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "resource_class", "n")
 
@@ -841,6 +863,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "group_results": group_results,
     "plan_duration_error": plan_duration_error,
     "apply_by_component": apply_by_component,
+    "identical_replan": identical_replan,
     "stream_plan": stream_plan,
     "stream_progress": stream_progress,
     "stream_task_state": stream_task_state,

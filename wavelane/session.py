@@ -78,3 +78,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whichever store the path names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def folders(spark: SparkSession, path: str, key: str) -> dict[str, str]:
+    """Sub-folders named ``key=value`` of a folder, by value; only names are listed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()] if files.exists(place) else []
+    return {n.split("=", 1)[1]: f"{path}/{n}" for n in names if n.startswith(f"{key}=")}
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

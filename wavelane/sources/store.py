@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelane.functions.scalars import or_empty_json, parse_resources, resources_json, state_name
-from wavelane.operators.lifecycle import latest_by_version
+from wavelane.plans import history
+from wavelane.sources.versions import VersionTable
 
 
 def read_jdbc(spark: SparkSession, table: str, partition_column: str | None = None, **options) -> DataFrame:
@@ -38,9 +39,14 @@ def encode_tasks(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("resources", resources_json(F.col("resources")))
 
 
+def task_table(spark: SparkSession, path: str) -> VersionTable:
+    """The table of task versions under ``path``; compact it now and then."""
+    return VersionTable(spark, path, "task_id")
+
+
 def append_versions(tasks: DataFrame, path: str) -> None:
-    """Write changed tasks as new versions, partitioned by state for the state filters."""
-    encode_tasks(tasks).write.mode("append").partitionBy("state").parquet(path)
+    """Write changed tasks as new versions; nothing is read."""
+    task_table(tasks.sparkSession, path).append(encode_tasks(tasks))
 
 
 def merge_versions(current: DataFrame, changes: DataFrame) -> DataFrame:
@@ -61,21 +67,47 @@ def merge_versions(current: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Current tasks: the newest version of each id."""
-    return decode_tasks(latest_by_version(spark.read.parquet(path)))
+def read_tasks(spark: SparkSession, path: str, task_ids: list | None = None) -> DataFrame:
+    """Current tasks, the newest version of each id; named ones are read from their buckets only."""
+    return decode_tasks(task_table(spark, path).read(task_ids))
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_plans(plans: DataFrame, path: str) -> None:
-    """Add plan rows to the history; each day is a partition, nothing is rewritten."""
-    plans.withColumn("generated_date", F.col("generated_at").cast("date")).write.mode(
-        "append"
-    ).partitionBy("generated_date").parquet(path)
+class PlanHistory:
+    """Plan documents by day, and a header for each plan that says which day it is in.
 
+    Headers are narrow and few. A question is answered from them first, so that documents are read from one day's partition.
+    """
 
-def read_plans(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def append(self, plans: DataFrame) -> None:
+        """Add plan documents; nothing is rewritten. Headers come last: a plan counts once its documents are there."""
+        dated = plans.withColumn("generated_date", F.to_date("generated_at"))
+        dated.write.mode("append").partitionBy("generated_date").parquet(f"{self.path}/documents")
+        columns = [c for c in ("batch_id", "plan_id", "generated_at", "generated_date") if c in dated.columns]
+        dated.select(*columns).distinct().write.mode("append").parquet(f"{self.path}/headers")
+
+    def headers(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/headers")
+
+    def documents(self, headers: DataFrame) -> DataFrame:
+        """Documents of the plans with these headers, of which there may be a handful."""
+        found = headers.select("plan_id", "generated_date").distinct().collect()
+        stored = self.spark.read.parquet(f"{self.path}/documents")
+        days = sorted({r.generated_date for r in found})
+        return stored.filter(F.col("generated_date").isin(days) & F.col("plan_id").isin([r.plan_id for r in found]))
+
+    def newest(self) -> DataFrame:
+        return self.documents(history.latest_plan(self.headers()))
+
+    def by_id(self, plan_id: str) -> DataFrame:
+        return self.documents(self.headers().filter(F.col("plan_id") == plan_id))
+
+    def in_force(self, at: Column) -> DataFrame:
+        """The plan of the newest header at or before an instant; no rows before the first plan."""
+        return self.documents(history.plan_for(self.headers(), at))

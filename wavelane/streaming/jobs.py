@@ -23,6 +23,10 @@ from wavelane.session import cut_lineage
 from wavelane.sources.messages import decode_groups
 
 
+# Kind of the rows that only say how late it is.
+CLOCK = "clock"
+
+
 def file_stream(
     spark: SparkSession, folder: str, glob: str, files_per_batch: int | None = None
 ) -> DataFrame:
@@ -136,20 +140,38 @@ def stream_hourly_rate(
 ) -> StreamingQuery:
     """Emissions per class in every 60-minute window sliding by a minute, in event time.
 
-    Events later than ``lateness`` behind the newest one are left out of closed windows;
-    ``stream_rate_arrival`` is the form that books them as current instead.
+    Two stateful steps: counts per minute, then sums of at most 60 of them; an event meets one group, not sixty. Events
+    later than ``lateness`` behind the newest one are left out of closed windows; ``stream_rate_arrival`` is the form
+    that books them as current instead. A row of kind ``clock`` counts nowhere but moves the time on: at the
+    end of a bounded run one that is an hour and twice the lateness ahead closes all windows (``closing_clock``).
     """
+    marks = events.filter(F.col("kind").isin("emit", CLOCK)).select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        "resource_class",
+        F.when(F.col("kind") == "emit", 1).otherwise(0).cast("bigint").alias("one"),
+    )
+    minutes = marks.withWatermark("ts", lateness).groupBy(F.window("ts", "1 minute"), "resource_class").agg(
+        F.sum("one").alias("in_minute")
+    )
     rate = (
-        admission.emissions(events)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "60 minutes", "1 minute"), "resource_class")
-        .agg(F.count(F.lit(1)).alias("n"))
+        minutes.select(F.window_time("window").alias("minute"), "resource_class", "in_minute")
+        .groupBy(F.window("minute", "60 minutes", "1 minute"), "resource_class")
+        .agg(F.sum("in_minute").alias("n"))
         .select(F.col("window.end").alias("window_end"), "resource_class", "n")
+        .filter(F.col("n") > 0)
     )
     return start(rate, lambda df, e: write_epoch(df, out, e), checkpoint, trigger)
 
 
+def closing_clock(events: DataFrame, last: Column, lateness: str = "1 minute") -> DataFrame:
+    """One row like ``events`` that closes all windows up to the time ``last`` of a bounded run."""
+    ahead = last + F.expr("interval 62 minutes") + F.expr(f"2 * interval {lateness}")
+    given = {"kind": F.lit(CLOCK), "ts": ahead}
+    kinds = events.schema
+    one = events.sparkSession.range(1)
+    return one.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields])
+
+
 def _previous(spark: SparkSession, state: str, epoch: int, schema: str) -> DataFrame:
     """State left by the micro-batch before ``epoch``; empty for the first one."""
     if epoch == 0:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from wavelane.session import cut_lineage
+from wavelane.session import cut_lineage, folders
 from wavelane.streaming.jobs import start, write_epoch
 
 HOUR_MS = 3_600_000
@@ -64,17 +64,10 @@ class Wheel:
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path, schema
 
-    def _hours(self) -> dict[int, str]:
-        """Folders by hour; only names are listed."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = files.listStatus(folder) if files.exists(folder) else []
-        names = [s.getPath().getName() for s in found if s.isDirectory()]
-        return {int(n.split("=")[1]): f"{self.path}/{n}" for n in names if n.startswith("due_hour=")}
-
     def due(self, after_ms: int, until_ms: int, epoch: int) -> DataFrame:
         """Deadlines after ``after_ms`` up to ``until_ms`` that earlier micro-batches noted."""
-        paths = [p for h, p in self._hours().items() if _hour(after_ms) <= h <= _hour(until_ms)]
+        hours = folders(self.spark, self.path, "due_hour")
+        paths = [p for h, p in hours.items() if h.lstrip("-").isdigit() and _hour(after_ms) <= int(h) <= _hour(until_ms)]
         schema = f"{self.schema}, due_hour bigint, epoch bigint"
         if not paths:
             return self.spark.createDataFrame([], schema)
