@@ -13,7 +13,7 @@ from wavelane import oracles, registry  # noqa: E402
 from tools.check_queries import TABLES, rows  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = ["conflict_edges", "supplier_degree", "plan_metrics", "class_admission", "plan_as_of", "apply_outcomes"]
+SAMPLE = ["conflict_edges", "supplier_degree", "plan_metrics", "class_admission", "plan_as_of", "apply_outcomes", "edge_shared_resources"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.helpers import BASE, admission_frame, resource_frame, task_frame
 from wavelane.operators import admission, lifecycle
 from wavelane.plans import compile as planning
+from wavelane.sources import messages
 from wavelane.streaming import jobs, timers
 
 ONCE = {"availableNow": True}
@@ -306,3 +307,18 @@ def test_group_messages_arrive(spark, tmp_path):
     jobs.stream_group_messages(stream, out, ckpt, ONCE).awaitTermination()
     row = jobs.read_epochs(spark, out).first()
     assert row.ordered_tasks == ["a", "b"] and len(row.waves) == 2
+
+
+def test_batches_come_back_from_headers(spark):
+    """What the topic writer puts in the headers, as a topic delivers it; other senders may have none."""
+    sent = spark.createDataFrame([("k1", "v1", 7), ("k2", "v2", None)], "key string, value string, batch_id bigint")
+    delivered = sent.select(
+        F.col("key").cast("binary"), F.col("value").cast("binary"), messages.batch_header(F.col("batch_id")).alias("headers")
+    )
+    other = F.array(F.struct(F.lit("trace").alias("key"), F.lit("x").cast("binary").alias("value")))
+    bare = [F.lit(None).cast(delivered.schema["headers"].dataType), other, F.concat(other, messages.batch_header(F.lit("no"))), F.concat(other, messages.batch_header(F.lit(9)))]
+    for k, headers in enumerate(bare):
+        one = spark.range(1).select(F.lit(f"b{k}").cast("binary").alias("key"), F.lit("v").cast("binary").alias("value"), headers.alias("headers"))
+        delivered = delivered.unionByName(one)
+    got = {r.key: r.batch_id for r in jobs.message_rows(delivered).collect()}
+    assert got == {"k1": 7, "k2": None, "b0": None, "b1": None, "b2": None, "b3": 9}

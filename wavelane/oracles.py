@@ -260,6 +260,18 @@ def oracle_sql() -> dict[str, str]:
             WHERE quality IS NOT NULL""",
         "ingest_rejected": """SELECT doc_id, 'resourceId must not be blank' AS errors FROM documents
             WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)""",
+        "ingest_checks": """SELECT 'command' AS kind, CAST(doc_id AS BIGINT) AS key, array_to_string(list_filter([
+              CASE WHEN doc_id % 17 = 0 OR lang IS NULL OR trim(lang) = '' THEN 'resourceClass must not be blank' END,
+              CASE WHEN source IS NULL OR trim(source) = '' THEN 'resourceId must not be blank' END],
+              lambda x: x IS NOT NULL), '; ') AS errors FROM documents
+            WHERE doc_id % 17 = 0 OR lang IS NULL OR trim(lang) = '' OR source IS NULL OR trim(source) = ''
+            UNION ALL SELECT 'delta', CAST(event_id AS BIGINT), array_to_string(list_filter([
+              CASE WHEN event_id % 7 = 0 THEN 'success_delta must not be negative' END,
+              CASE WHEN event_id % 5 = 0 THEN 'failed_delta must not be negative' END,
+              CASE WHEN event_id % 11 = 0 THEN 'total_delta must not be negative' END], lambda x: x IS NOT NULL), '; ')
+            FROM events WHERE event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 11 = 0
+            UNION ALL SELECT 'dry run', CAST(o_custkey AS BIGINT), 'tasks must not be empty' FROM orders
+            GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'P') = 0""",
         "ingest_counter": _sql(["tasks"], """SELECT top_resource_class AS resource_class, count(*) AS n
             FROM tasks GROUP BY 1"""),
         # footprint and graph

@@ -208,6 +208,34 @@ def ingest_rejected(i: Inputs) -> DataFrame:
     return rejected.select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
+def ingest_checks(i: Inputs) -> DataFrame:
+    """Commands, progress deltas and dry-run lists with what is wrong with each; documents, events and customers give them."""
+    blank = F.when(F.col("doc_id") % 17 == 0, "  ").otherwise(F.col("lang"))
+    commands = tables.table(i.spark, i.folder, "documents").select(
+        F.col("doc_id").alias("key"), blank.alias("resource_class"), F.col("source").alias("resource_id")
+    )
+    at = F.col("event_id")
+    deltas = tables.table(i.spark, i.folder, "events").select(
+        at.alias("key"),
+        (at % 7 - 1).alias("success_delta"),
+        (at % 5 - 1).alias("failed_delta"),
+        (at % 11 - 1).alias("total_delta"),
+    )
+    paused = F.collect_list(F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey"))).alias("tasks")
+    runs = tables.table(i.spark, i.folder, "orders").groupBy(F.col("o_custkey").alias("key")).agg(paused)
+    checked = {
+        "command": ingest.check_commands(commands),
+        "delta": ingest.check_deltas(deltas),
+        "dry run": ingest.check_simulations(runs),
+    }
+
+    def rejected(kind: str, rows: DataFrame) -> DataFrame:
+        _, bad = ingest.split_checked(rows)
+        return bad.select(F.lit(kind).alias("kind"), F.col("key").cast("bigint").alias("key"), F.array_join("errors", "; ").alias("errors"))
+
+    return reduce(DataFrame.unionByName, [rejected(*entry) for entry in checked.items()])
+
+
 def ingest_counter(i: Inputs) -> DataFrame:
     return metrics.ingest_counter(i.tasks)
 
@@ -797,6 +825,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "batch_assign": batch_assign,
     "ingest_tasks": ingest_tasks,
     "ingest_rejected": ingest_rejected,
+    "ingest_checks": ingest_checks,
     "ingest_counter": ingest_counter,
     "footprint": task_footprint,
     "unresolved_skipped": unresolved_skipped,

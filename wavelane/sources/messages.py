@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.schemas import GROUP_MESSAGE
 
+BATCH_HEADER = "batch_id"
+
 
 def encode_groups(groups: DataFrame) -> DataFrame:
     """(key, value, batch_id, part) rows, one per group part.
@@ -42,10 +44,21 @@ def in_key_order(messages: DataFrame) -> DataFrame:
     return messages.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def batch_header(batch_id: Column) -> Column:
+    """Kafka headers that name the batch of a message."""
+    name = F.struct(F.lit(BATCH_HEADER).alias("key"), batch_id.cast("string").cast("binary").alias("value"))
+    return F.array(name)
+
+
+def batch_of(headers: Column) -> Column:
+    """The batch a message's headers name; null for messages without such a header or with one that is no number."""
+    named = F.filter(headers, lambda h: h["key"] == BATCH_HEADER)
+    return F.get(named, 0)["value"].cast("string").try_cast("bigint")
+
+
 def write_topic(messages: DataFrame, servers: str, topic: str) -> None:
     """Send messages to Kafka, the batch as a header; needs Spark's Kafka connector on the class path."""
-    batch = F.struct(F.lit("batch_id").alias("key"), F.col("batch_id").cast("string").cast("binary").alias("value"))
-    rows = in_key_order(messages).select("key", "value", F.array(batch).alias("headers"))
+    rows = in_key_order(messages).select("key", "value", batch_header(F.col("batch_id")).alias("headers"))
     rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("includeHeaders", "true").option(
         "topic", topic
     ).save()

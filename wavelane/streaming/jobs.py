@@ -20,7 +20,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from wavelane.operators import admission
 from wavelane.operators.progress import progress_sums
 from wavelane.session import cut_lineage
-from wavelane.sources.messages import decode_groups
+from wavelane.sources.messages import batch_of, decode_groups
 
 
 # Kind of the rows that only say how late it is.
@@ -39,10 +39,17 @@ def file_stream(
 
 
 def topic_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """(key, value) messages of a Kafka topic; needs Spark's Kafka connector."""
+    """(key, value, batch_id) messages of a Kafka topic; needs Spark's Kafka connector."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-    return reader.option("subscribe", topic).load().selectExpr(
-        "cast(key as string) key", "cast(value as string) value"
+    return message_rows(reader.option("subscribe", topic).option("includeHeaders", "true").load())
+
+
+def message_rows(received: DataFrame) -> DataFrame:
+    """Rows as a topic delivers them (key and value as bytes, headers) with the batch from the headers."""
+    return received.select(
+        F.col("key").cast("string").alias("key"),
+        F.col("value").cast("string").alias("value"),
+        batch_of(F.col("headers")).alias("batch_id"),
     )
 
 
