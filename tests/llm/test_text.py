@@ -166,6 +166,10 @@ def test_licenses(spark):
     assert got[14].labels == "gpl,gpl-3.0" and got[15].labels == "apache" and got[15].score == 0
     assert got[0].labels == "" and got[0].first_word is None
     assert licenses.labelled(empty(spark)).count() == 0
+    # Rows that share an id, null or not, have each their own labels.
+    twins = [(k, t, None, None, 0) for k in (1, None) for t in ("Released under the MIT License", "plain words")]
+    rows = licenses.labelled(spark.createDataFrame(twins, DOCS)).collect()
+    assert sorted((r.id or 0, r.labels, r.score) for r in rows) == [(0, "", 0.0), (0, "mit", 1.0), (1, "", 0.0), (1, "mit", 1.0)]
 
 
 def test_similarity_join_is_exact(spark):

@@ -12,7 +12,7 @@ The template side (its words, ranks and prefixes) is bounded by the templates gi
 and word counts are combined before they move.
 
 Defined results: null or empty texts have no words, no labels and score 0; equal lines match alike, each on its own; a line that meets
-several templates has all their labels; rows that share an id share the labels found under it.
+several templates has all their labels; rows that share an id are told apart and have each their own.
 """
 
 from __future__ import annotations
@@ -76,8 +76,8 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """Two frames: (id, n_words, places) per document, places being (at, label) of the phrases, and
-    (id, block, template, label, containment) per line that meets a template."""
+    """Two frames: (row, id, n_words, places) per document, places being (at, label) of the phrases, and
+    (row, id, block, template, label, containment) per line that meets a template; ``row`` is a number of the call's own."""
     sets = [(k, label, sorted(set(text.split()))) for k, (label, text) in enumerate(templates)]
     alphabet = sorted({w for _, _, words in sets for w in words})
     if sum(len(words) for _, _, words in sets) > MAX_TEMPLATE_WORDS:
@@ -88,6 +88,7 @@ def scan(
     known = F.array(*[F.lit(w) for w in alphabet])
     read = staged(
         lines.select("id", "_lines", F.flatten("_lines").alias("_words")).select(
+            F.monotonically_increasing_id().alias("row"),
             "id",
             F.size("_words").cast("bigint").alias("n_words"),
             _places(phrases).alias("places"),
@@ -95,7 +96,7 @@ def scan(
         ),
         "license-blocks",
     )
-    blocks = read.select("id", F.posexplode("blocks").alias("block", "words")).filter(F.size("words") > 0)
+    blocks = read.select("row", "id", F.posexplode("blocks").alias("block", "words")).filter(F.size("words") > 0)
 
     # Global order over the words of templates: one row per such word.
     counts = blocks.select(F.explode("words").alias("word")).groupBy("word").count()
@@ -113,9 +114,9 @@ def scan(
     )
     ranked = F.create_map(*[F.lit(x) for w, k in rank.items() for x in (w, k)])
     sorted_blocks = blocks.select(
-        "id", "block", F.array_sort(F.transform("words", lambda w: F.element_at(ranked, w))).alias("ranks")
+        "row", "id", "block", F.array_sort(F.transform("words", lambda w: F.element_at(ranked, w))).alias("ranks")
     ).filter(F.size("ranks") >= min(p[4] for p in prefixes) if prefixes else F.lit(False))
-    probes = sorted_blocks.select("id", "block", "ranks", F.posexplode("ranks").alias("b_at", "rank"))
+    probes = sorted_blocks.select("row", "id", "block", "ranks", F.posexplode("ranks").alias("b_at", "rank"))
     left = F.least(F.size("t_ranks") - F.col("t_at"), F.size("ranks") - F.col("b_at"))
     candidates = probes.join(F.broadcast(prefix), "rank").filter(
         (F.size("ranks") >= F.col("needed"))  # length
@@ -124,16 +125,15 @@ def scan(
     overlap = F.size(F.array_intersect("ranks", "t_ranks"))
     first_common = F.array_min(F.array_intersect("ranks", "t_ranks"))
     pairs = candidates.filter((first_common == F.col("rank")) & (overlap >= F.col("needed")))
-    found = pairs.select("id", "block", "template", "label", (overlap / F.size("t_ranks")).alias("containment"))
-    return read.select("id", "n_words", "places"), found
+    found = pairs.select("row", "id", "block", "template", "label", (overlap / F.size("t_ranks")).alias("containment"))
+    return read.select("row", "id", "n_words", "places"), found
 
 
 def labelled(docs: DataFrame, **options) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document."""
     base, found = scan(docs, **options)
-    more = found.groupBy("id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    more = more.withColumnRenamed("id", "_id")
-    joined = base.join(more, F.col("id").eqNullSafe(F.col("_id")), "left")
+    more = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    joined = base.join(more, "row", "left")
     labels = F.transform("places", lambda p: p["label"])
     starts = F.transform("places", lambda p: p["at"])
     listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
