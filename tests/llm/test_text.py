@@ -175,22 +175,59 @@ def test_licenses(spark):
 def test_similarity_join_is_exact(spark):
     rng = random.Random(6)
     words = [f"v{k}" for k in range(12)]
-    templates = [(f"l{k}", " ".join(rng.sample(words, rng.randrange(2, 8)))) for k in range(8)]
+    templates = [rng.sample(words, rng.randrange(2, 8)) for _ in range(8)]
+    templates = [(f"l{k}", " ".join(t[: k % 3]), " ".join(t)) for k, t in enumerate(templates)]
     texts = ["\n".join(" ".join(rng.choices(words + ["z"], k=rng.randrange(12))) for _ in range(6)) for _ in range(40)]
     docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS)
-    for threshold in (0.5, 0.8, 1.0):
-        _, found = licenses.scan(docs, templates, licenses.PHRASES, threshold)
+    for threshold, runs in ((0.5, ((1, 1),)), (0.8, ((1, 1), (3, 2))), (1.0, ((2, 1),))):
+        _, found = licenses.scan(docs, templates, licenses.PHRASES, threshold, runs)
         want = set()
         for d, t in enumerate(texts):
-            for b, line in enumerate(t.split("\n")):
-                for k, (_, template) in enumerate(templates):
+            split = t.split("\n")
+            blocks = [" ".join(split[i : i + n]) for n, step in runs for i in range(0, len(split), step)]
+            for b, block in enumerate(blocks):
+                held = set(ALNUM.findall(low(block)))
+                for k, (_, telling, template) in enumerate(templates):
                     parts = set(template.split())
-                    if len(parts & set(ALNUM.findall(low(line)))) >= math.ceil(threshold * len(parts) - 1e-9):
+                    if len(parts & held) >= math.ceil(threshold * len(parts) - 1e-9) and set(telling.split()) <= held:
                         want.add((d, b, k))
         rows = found.collect()
         assert len(rows) == len(want) and {(r.id, r.block, r.template) for r in rows} == want
 
 
+def test_each_filter_prunes(spark):
+    # Ten words, nine needed: a prefix of two. Ranks stand for words, rarest first.
+    ranks = list(range(0, 20, 2))
+    prefix = spark.createDataFrame(
+        [(r, 0, "l", at, 9, ranks, []) for at, r in enumerate(ranks[:2])],
+        "rank int, template int, label string, t_at int, needed int, t_ranks array<int>, telling array<int>",
+    )
+    blocks = {"late words only": ranks[2:], "short": [0, 2, 4], "second word late": [1, 2, *ranks[3:]], "fits": ranks[1:]}
+    frame = spark.createDataFrame([(n, sorted(r)) for n, r in blocks.items()], "id string, ranks array<int>")
+    met = [(r.id, r.long_enough, r.placed_early) for r in licenses._meetings(frame, prefix).collect()]
+    assert {m[0] for m in met} == {"short", "second word late", "fits"}
+    assert all(not long for n, long, _ in met if n == "short") and ("fits", True, True) in met
+    assert [(long, early) for n, long, early in met if n == "second word late"] == [(True, False)]
+
+
+def test_wrapped_and_changed_notices(spark):
+    grant = next(t for label, _, t in licenses.TEMPLATES if label == "mit" and t.startswith("permission")).split()
+    wrap = lambda words, n: "\n".join(" * " + " ".join(words[k : k + n]) for k in range(0, len(words), n))
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    changed = [w if w != "sell" else "vend" for w in grant]
+    texts = {
+        "bsd": f"int main\n{bsd}\nthe following", "mit": f"x\ny\nz\n{wrap(grant, 7)}\nend", "mit ": wrap(changed, 12),
+        "gpl-3.0": "This work is licensed under the terms of the\nGNU General Public License,\nversion 3", "": wrap(grant[:30], 9),
+        "proprietary": "All rights reserved.", "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");",
+    }
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts.values())], DOCS)
+    got = {r.id: r for r in licenses.labelled(docs).collect()}
+    for k, label in enumerate(texts):
+        own = [x for x in got[k].labels.split(",") if x not in ("gpl", "apache")]
+        assert own == ([label.strip()] if label else []) or own == [""] and not label, (label, got[k])
+    assert 0.9 < got[2].score < 1.0 and got[1].score == 1.0
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return lattice.load(PIECES)
