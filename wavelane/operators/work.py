@@ -85,6 +85,9 @@ def apply_by_component(
     )
     names = [n for n, _ in OUTCOME_COLUMNS]
     columns = schedule.columns
+    if "colour" not in columns:
+        # Without waves tasks go one by one.
+        schedule = schedule.withColumn("colour", F.col("ordinal").cast("int"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
