@@ -10,7 +10,6 @@ from wavelane.functions.joins import lookup_join
 from wavelane.functions.scalars import epoch_minute
 from wavelane.functions.scans import clamped_balance, running_max, running_sums
 from wavelane.schemas import IN_FLIGHT_STATES
-from wavelane.session import cut_lineage
 
 DEFAULT_MAX_INFLIGHT = 1_000_000
 DEFAULT_MAX_RATE = 500_000
