@@ -80,6 +80,25 @@ def test_chat_digests(spark):
     assert chat.digests(chat.render(chat.messages(chat.turn_events(none)))).count() == 0
 
 
+def test_chat_log_decides(spark):
+    """Turns come back from logs with drafts, edits, regenerations and deleted messages; a very long one as well."""
+    rng = random.Random(9)
+    rows = [(k % 40, k, rng.choice(["user", "assistant"]), "".join(rng.choices("abé \n<|", k=rng.randrange(12)))) for k in range(400)]
+    rows.append((40, 0, "assistant", "long é " * 700_000))
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    log = chat.turn_events(clashing(turns))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == set(chat.KINDS) and min(kinds.values()) > 30
+    # Without the fold the texts would be others: most messages hold more in the log than in the end.
+    said = log.groupBy("conv_id", "message").agg(F.sum(F.length("text")).alias("n"))
+    assert said.filter("n > 0").count() > 300
+    final = chat.messages(log)
+    got = sorted((r.conv_id, r.message.turn, r.role, hash(r.text)) for r in final.collect())
+    assert got == sorted((c, t, role, hash(text)) for c, t, role, text in rows)
+    digests = {r.conv_id: r for r in chat.digests(chat.render(final)).collect()}
+    assert digests[40].loss_chars == 7 * 700_000
+
+
 def counts(text):
     words = BLANK.findall(text or "")
     windows = Counter(zip(words, words[1:], words[2:]))

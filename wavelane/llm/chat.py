@@ -19,7 +19,8 @@ conversation whole, so one with very many turns costs no more memory than a shor
 
 Defined results: null text, role or message count as empty or first; null kinds are deltas; a
 message that is deleted, or that only unknown kinds mention, is absent; events with equal sequence numbers fold in the order of
-message, kind, role, text; repeated events are folded as often as they come; a null conversation is one of its own.
+message, kind, role, text; repeated events are folded as often as they come; a null conversation is one of its own;
+texts have no bound but that of a string, and a message is the most that a fold holds.
 """
 
 from __future__ import annotations
@@ -160,18 +161,54 @@ def digests(rendered: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"conv_id {kind}, {DIGEST}")
 
 
+# Deltas that a turn's text is streamed in.
+DELTAS = 4
+
+
 def turn_events(turns: DataFrame) -> DataFrame:
-    """A table with one row per turn as the log of a service that writes each turn at once.
+    """A table with one row per turn as the log of a service that streamed, corrected and redid its turns.
 
-    Rows that repeat a turn are messages of their own, in the order of role and text.
+    The final texts are those of the table. By a hash of the turn, its message is streamed in ``DELTAS`` deltas; or begun
+    with a draft that is regenerated; or begun with a draft that an edit replaces by the first half; or streamed in a wrong
+    order and edited as a whole. Every eighth turn has a second message beside it that is deleted. A sequence number is
+    the pair of turn and step. Rows that repeat a turn are messages of their own, in the order of role and text.
     """
-    role = F.coalesce("role", F.lit(""))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     copy = F.row_number().over(Window.partitionBy("conv_id", "turn", role).orderBy("text"))
-    return turns.select(
+    known = turns.select("conv_id", "turn", "role", text.alias("text"), role.alias("_role"), copy.alias("_copy"))
+    mark = F.xxhash64("conv_id", "turn", "_role", "_copy")
+    part = F.ceil(F.length("text") / DELTAS).cast("int")
+    pieces = [F.col("text").substr(part * k + 1, part) for k in range(DELTAS)]
+    draft = F.reverse(pieces[0])
+
+    def event(step: int, kind: str, said: Column, gone: bool = False) -> Column:
+        return F.struct(
+            F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.alias("said"), F.lit(gone).alias("gone")
+        )
+
+    streamed = [event(8 + k, "delta", piece) for k, piece in enumerate(pieces)]
+    half = F.concat(*pieces[: DELTAS // 2])
+    histories = [
+        F.array(*streamed),
+        F.array(event(0, "delta", draft), event(1, "delta", draft), event(2, "regenerate", F.lit("")), *streamed),
+        F.array(event(0, "delta", draft), event(1, "edit", half), *streamed[DELTAS // 2 :]),
+        F.array(*[event(k, "delta", p) for k, p in enumerate(reversed(pieces))], event(8, "edit", F.col("text"))),
+    ]
+    history = F.when(F.pmod(mark, F.lit(4)) == 0, histories[0])
+    for k, other in enumerate(histories[1:], 1):
+        history = history.when(F.pmod(mark, F.lit(4)) == k, other)
+    beside = F.when(
+        F.pmod(F.shiftright(mark, 8), F.lit(8)) == 0,
+        F.array(event(3, "delta", draft, True), event(4, "delete", F.lit(""), True)),
+    ).otherwise(F.array().cast("array<struct<step: int, kind: string, said: string, gone: boolean>>"))
+    log = known.withColumn("_event", F.explode(F.concat(history, beside)))
+    # The copies of a turn are numbered from 1; the message beside copy k has the number -k.
+    number = F.when(F.col("_event.gone"), -F.col("_copy")).otherwise(F.col("_copy"))
+    return log.select(
         "conv_id",
-        F.col("turn").alias("seq"),
-        F.lit("delta").alias("kind"),
-        F.struct("turn", role.alias("role"), copy.alias("copy")).alias("message"),
+        F.struct("turn", F.col("_event.step").alias("step")).alias("seq"),
+        F.col("_event.kind").alias("kind"),
+        F.struct("turn", F.col("_role").alias("role"), number.alias("copy")).alias("message"),
         "role",
-        "text",
+        F.col("_event.said").alias("text"),
     )
