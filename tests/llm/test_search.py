@@ -55,6 +55,22 @@ def test_decontamination(spark):
     assert all(not r.spans for r in decontaminate.occurrences(docs, bench.limit(0), 4).collect())
 
 
+def test_long_items_are_cut_with_an_overlap(spark, monkeypatch):
+    """Every window of an item of many pieces is found, whichever block and piece it lies in; extra columns do not matter."""
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    rng = random.Random(4)
+    long = prose(rng, 100, 10_000).split()
+    texts = [" ".join(["x", *long[k : k + 4], "y"]) for k in range(97)] + [" ".join(long), " ".join(long[::-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([("a", " ".join(long)), ("b", " ".join(long))], "item_id string, text string")
+    want = hits(texts, [("a", " ".join(long)), ("b", " ".join(long))], 4)
+    for block_words in (1000, 20):
+        found = decontaminate.occurrences(docs, clashing(bench), 4, block_words=block_words).orderBy("id").collect()
+        assert [(r.n_words, sum(e - s for s, e in r.spans), r["items"]) for r in found] == want
+    files = decontaminate._phrase_blocks(bench, "item_id", 4, 20)
+    assert len(files) > 10
+
+
 def test_decontamination_cuts_text():
     text = "Über, one TWO three! four".encode()
     assert decontaminate.without_spans(text, [(1, 3)]).decode() == "Über,  three! four"

@@ -8,30 +8,38 @@ suffix positions sampled every ``SAMPLE`` places. All phrases are searched backw
 by two ranks a word; the suffixes in an interval are walked back to a sampled position, and the
 found spans of a document are merged.
 
-Documents never move: only their counts and spans leave a task. The phrases do, in blocks of about ``BLOCK_WORDS``
-words, so that what a task loads at a time has a bound however large the benchmark is;
-a shard is searched for one block after another.
+Documents never move: only their counts and spans leave a task. The phrases do, in blocks of up to ``BLOCK_WORDS``
+words and one piece of an item. Spark cuts the items into pieces, deals them out and writes the blocks to the shared folder, a
+file each, and hands the files to the executors; neither the driver nor a task holds more than one block, however large the
+benchmark is. A shard is searched for one block after another.
 
 Defined results: null or empty texts have no words and are clean; an item without words has no phrases; items
-with equal texts are all found; documents that share an id are judged each for itself.
+with equal texts are all found; documents that share an id are judged each for itself; a document longer than a shard is
+a shard of its own; an item of more than ``PIECE_WORDS`` words is cut into pieces that overlap by one word less than a phrase has.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.llm.common import ALNUM, as_bytes, map_slices, staged
+from wavelane.session import shared_path
 
 WINDOW = 10
 SAMPLE = 16
 # Words of benchmark items searched in one pass.
 BLOCK_WORDS = 200_000
+# Words of an item, beyond those of an overlap, that stay together.
+PIECE_WORDS = 20_000
 SHARD_BYTES = 4 << 20
 
 
@@ -137,13 +145,13 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct phrases of some items as padded symbol rows, with the items that hold each."""
+    """The distinct phrases of some pieces of items as padded symbol rows, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
+    def __init__(self, pieces: list[tuple[str, bytes]], size: int) -> None:
         self.symbol: dict[bytes, int] = {}
         holders: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            words = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in text.translate(ALNUM).split()]
+        for item, text in pieces:
+            words = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in text.split()]
             for k in range(max(1, len(words) - size + 1)) if words else ():
                 holders.setdefault(tuple(words[k : k + size]), set()).add(item)
         self.items = [sorted(h) for h in holders.values()]
@@ -153,25 +161,22 @@ class Phrases:
             self.rows[k, : len(p)] = p
         self.bits = (len(self.symbol) + 1).bit_length()
 
-    def find(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
-        """(words, merged hit spans in words, items found) of every text."""
+    def find(self, split: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+        """(merged hit spans in words, items found) of every text, given by its words."""
         symbol = self.symbol.get
-        split = [t.translate(ALNUM).split() for t in texts]
-        counts = [len(s) for s in split]
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[str]] = [set() for _ in texts]
+        spans: list[list[tuple[int, int]]] = [[] for _ in split]
+        items: list[set[str]] = [set() for _ in split]
         if not len(self.sizes):
-            return counts, spans, items
+            return spans, items
         # Symbol 1 is any other word and, after every text, none: it keeps runs inside a text.
         text = np.array([symbol(w, 1) for s in split for w in (*s, b"")], np.int64)
-        del split
-        begins = np.cumsum([0, *(c + 1 for c in counts)])
+        begins = np.cumsum([0, *(len(s) + 1 for s in split)])
         ends = np.flatnonzero(text == 1)
         starts = np.append(0, ends[:-1] + 1)
         long = ends - starts >= self.sizes.min()
         starts, ends = starts[long], ends[long]
         if not len(starts):
-            return counts, spans, items
+            return spans, items
         size = ends - starts + 1  # with the blank that ends the run
         offset = np.cumsum(size) - size
         place = np.repeat(starts - offset, size) + np.arange(size.sum())
@@ -179,7 +184,7 @@ class Phrases:
         low, high = index.search(self.rows, self.sizes)
         hit = np.repeat(np.arange(len(low)), high - low)
         if not len(hit):
-            return counts, spans, items
+            return spans, items
         shift = np.cumsum(high - low) - (high - low)
         at = place[index.locate(low[hit] + np.arange(len(hit)) - shift[hit])]
         doc = np.searchsorted(begins, at, side="right") - 1
@@ -192,27 +197,57 @@ class Phrases:
                 spans[d][-1] = (spans[d][-1][0], max(end, spans[d][-1][1]))
             else:
                 spans[d].append((a, end))
-        return counts, spans, items
+        return spans, items
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _phrase_blocks(items: DataFrame, item_col: str, size: int, words: int) -> list:
-    """Broadcasts of the phrases of all items, each of about ``words`` words."""
+def _phrase_blocks(items: DataFrame, item_col: str, size: int, block_words: int) -> list[str]:
+    """Names of the files that hold the phrases of all items, a block each, handed to every executor."""
     spark = items.sparkSession
-    named = items.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    total = named.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    count = -(-total // words) or 1
-    kept = staged(named.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count))), "benchmark")
-    blocks = []
-    for block in range(count):
-        rows = kept.filter(F.col("block") == block).toLocalIterator()
-        phrases = Phrases([(r["item"], r["text"].encode()) for r in rows], size)
-        blocks.append(spark.sparkContext.broadcast(vars(phrases).copy()))
-    return blocks
+    piece_words = min(PIECE_WORDS, block_words)
+
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, counts, texts = [], [], []
+        for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            words = text.translate(ALNUM).split()
+            # A piece has the phrases that start in its first ``piece_words`` words.
+            for k in range(0, max(1, len(words) - size + 1) if words else 0, piece_words):
+                own = words[k : k + piece_words + size - 1]
+                names.append(item)
+                counts.append(len(own))
+                texts.append(b" ".join(own))
+        columns = [pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(texts, pa.binary())]
+        return pa.record_batch(columns, ["item", "n_words", "words"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([pickle.dumps(vars(Phrases(held, size)))], pa.binary())], ["phrases"])
+
+        held: list[tuple[str, bytes]] = []
+        total = 0
+        for batch in batches:
+            for item, count, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and total + count > block_words:
+                    yield block(held)
+                    held, total = [], 0
+                held.append((item, words))
+                total += count
+        if held:
+            yield block(held)
+
+    named = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), "text")
+    cut = staged(map_slices(named, pieces, "item string, n_words bigint, words binary"), "benchmark-pieces")
+    total = cut.agg(F.sum("n_words")).first()[0] or 0
+    # Dealt in turn, not by key: pieces are of bounded size, and a block is closed when it is full.
+    dealt = cut.repartition(-(-total // block_words) or 1)
+    path = shared_path(spark, "benchmark-blocks")
+    dealt.mapInArrow(blocks, "phrases binary").write.option("maxRecordsPerFile", 1).parquet(path)
+    files = spark.read.schema("phrases binary").parquet(path).inputFiles() if total else []
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return sorted(file.rsplit("/", 1)[1] for file in files)
 
 
 def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -226,20 +261,35 @@ def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(blocks: list, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+class _Blocks:
+    """The phrase blocks as a task sees them: read from the executor's copy one at a time, the last one kept."""
+
+    def __init__(self, files: list[str]) -> None:
+        self.files, self.name, self.phrases = files, "", Phrases([], 1)
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for name in self.files:
+            if name != self.name:
+                self.phrases = Phrases([], 1)
+                rows = pq.ParquetFile(SparkFiles.get(name)).read().column("phrases").to_pylist()
+                self.name = name
+                for row in rows:
+                    self.phrases.__dict__.update(pickle.loads(row))
+            yield self.phrases
+
+
+def _search(blocks: Iterable[Phrases], texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
     """Of every text the words, merged spans and sorted items, over all blocks of phrases."""
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
-    counts: list[int] = []
-    for block in blocks:
-        own = Phrases([], 1)
-        own.__dict__.update(block.value)
-        counts, hits, found = own.find(texts)
+    split = [t.translate(ALNUM).split() for t in texts]
+    for phrases in blocks:
+        hits, found = phrases.find(split)
         for k, hit in enumerate(hits):
             if hit:
                 spans[k] = merge_spans(spans[k] + hit)
                 items[k] |= found[k]
-    return counts, spans, [sorted(i) for i in items]
+    return [len(s) for s in split], spans, [sorted(i) for i in items]
 
 
 def occurrences(
@@ -252,7 +302,7 @@ def occurrences(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """(id, n_words, spans, items) of every document: merged spans of hit words, and the items found."""
-    blocks = _phrase_blocks(items, item_col, size, block_words)
+    blocks = _Blocks(_phrase_blocks(items, item_col, size, block_words))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -285,7 +335,7 @@ def cleaned(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` with every occurrence cut out of the texts; all rows and columns stay."""
-    blocks = _phrase_blocks(items, item_col, size, block_words)
+    blocks = _Blocks(_phrase_blocks(items, item_col, size, block_words))
     at = docs.columns.index(text_col)
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
