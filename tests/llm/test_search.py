@@ -1,6 +1,7 @@
 """Decontamination, substring removal, SimHash and line dedup against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -121,6 +122,34 @@ def test_runs_that_differ_in_high_hash_bits_only():
     assert [s[3].tolist() for s in spans] == [[3, 3]]
 
 
+def test_one_anchor_under_many_runs():
+    """20 000 texts share the edge of a passage: sorted in passes the result is the same, in far less memory."""
+    rng = random.Random(8)
+    edge = bytes(rng.choices(b"abcdefgh", k=60))
+    bodies = [edge + bytes(rng.choices(b"abcdefgh", k=20)) for _ in range(20_000)]
+    bodies[7] = bodies[3]
+    head = np.array([[k, 0, 80] for k in range(len(bodies))], np.int64).T
+    blob = np.int64(len(bodies)).tobytes() + np.ascontiguousarray(head).tobytes() + b"".join(bodies)
+
+    def spans(most):
+        tracemalloc.start()
+        blobs = [b for _, b in substrings._different_runs([blob], 50, 1, most)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        columns = substrings._unpack(blobs, substrings._SPAN_TYPES)
+        return sorted(zip(*(c.tolist() for c in columns))), peak
+
+    (whole, much), (dealt, little) = spans(1 << 30), spans(1 << 15)
+    assert whole == dealt and {d for d, *_ in whole} == set(range(1, len(bodies)))
+    assert little < much / 2 and little < 2_500 * len(bodies), (little, much)
+
+
+def test_copies_in_a_slice_send_one_run():
+    anchor, whole = np.array([1, 1, 1, 2], np.uint64), np.array([5, 5, 6, 5], np.uint64)
+    assert substrings._later_in_slice(anchor, whole, np.array([9, 4, 8, 9])).tolist() == [True, False, False, False]
+    assert substrings._later_in_slice(anchor[:0], whole[:0], np.zeros(0, np.int64)).tolist() == []
+
+
 def test_substrings(spark):
     rng = random.Random(3)
     pool = [bytes(rng.choices(b"abc \x00", k=rng.randint(5, 60))).decode() for _ in range(6)]

@@ -5,14 +5,17 @@ A byte goes if a string of ``size`` bytes that covers it also starts in a docume
 equal anchors wherever they stand, so windows that share an anchor meet in one bucket and no match crosses
 buckets. Neighbouring windows with one anchor form a run, the unit that is moved.
 
-1. Every document gives its runs: anchor, hash of the run's bytes, place, number of windows. In a bucket equal
-   runs are one repeat group; the least id keeps it, the other documents lose it whole.
+1. Every document gives its runs: anchor, hash of the run's bytes, place, number of windows. Equal runs are one repeat
+   group; the least id keeps it, the other documents lose it whole. Within a slice of texts that is settled before
+   anything moves, so of a passage that very many documents share a slice sends one document's run.
 2. Where an anchor has runs of different bytes, one document for each of them is asked for the bytes.
 3. Over these a task builds a suffix array with common-prefix lengths and scans it with a stack: an interval of
    suffixes with at least ``size`` common bytes whose left neighbours differ is a maximal repeat, with all its places.
-   In every document but the least of the group its bytes go.
+   In every document but the least of the group its bytes go. Suffixes that start with different ``size`` bytes have no
+   such repeat in common, so a large bucket is sorted in passes of about ``PASS`` suffixes, dealt by those bytes.
 4. The spans of a document are merged and cut out of its text.
 
+The number of buckets follows the bytes of the texts, so a bucket's share does not grow with the corpus.
 Runs and spans move as packed arrays, a row per slice of text and bucket. Steps are written to the shared folder, and
 shuffle files behind a written step are given back.
 
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,11 @@ RUN = 64
 # Larger slices than elsewhere: each one writes its own rows for every bucket.
 SLICE_BYTES = 8 << 20
 
+# Text per bucket, where shuffle partitions are too few for less.
+BUCKET_BYTES = 16 << 20
+# Suffixes sorted at a time.
+PASS = 1 << 20
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -147,6 +156,17 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 _KEYED = ["key", "data"], [pa.int32(), pa.binary()]
 
 
+def _later_in_slice(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which runs equal one of a document with a smaller id among these."""
+    order = np.lexsort((doc, whole, anchor))
+    a, w, d = anchor[order], whole[order], doc[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]))[: len(d)]
+    least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(d) else d
+    later = np.empty(len(d), bool)
+    later[order] = d > least
+    return later
+
+
 def _equal_runs(blobs: list[bytes], bucket: int, parts: int) -> Iterator[tuple[int, bytes]]:
     """Spans of runs that a smaller document has too, and requests for the bytes of the others."""
     anchor, whole, doc, start, windows = _unpack(blobs, _RUN_TYPES)
@@ -166,18 +186,22 @@ def _equal_runs(blobs: list[bytes], bucket: int, parts: int) -> Iterator[tuple[i
     yield from _dealt(doc % parts, (doc, start, windows, where), _SPAN_TYPES)
 
 
+def _seven(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Seven symbols from each place on as one number; nothing counts behind a zero."""
+    word, live = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    for k in range(7):
+        symbol = text[at + k].astype(np.int64)
+        live &= symbol > 0
+        word = word << 9 | symbol * live
+    return word
+
+
 def enhanced_suffix_array(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the suffixes, length of the prefix each one shares with the one before).
 
     ``text`` has bytes plus 1 and ends in zeros; suffix k is text[starts[k]:ends[k]], and ends stand before a zero.
     Sorted by seven symbols at a time, of which later ones only matter where the earlier ones are tied.
     """
-    word = np.zeros(len(text) - 6, np.int64)
-    live = np.ones(len(word), bool)
-    for k in range(7):
-        symbol = text[k : len(word) + k]
-        live &= symbol > 0
-        word = word << 9 | symbol * live
     n = len(starts)
     order, common = np.arange(n), np.zeros(n, np.int64)
     first = np.zeros(n, bool)
@@ -186,7 +210,7 @@ def enhanced_suffix_array(text: np.ndarray, starts: np.ndarray, ends: np.ndarray
     tied = np.arange(n)
     while len(tied) > 1:
         at = np.minimum(starts[order[tied]] + depth, ends[order[tied]])
-        key = word[at]
+        key = _seven(text, at)
         group = np.cumsum(first[tied])
         inner = np.lexsort((key, group))
         order[tied] = order[tied[inner]]
@@ -246,52 +270,70 @@ def maximal_repeats(common: np.ndarray, left: np.ndarray, size: int) -> list[tup
     return out
 
 
-def _different_runs(rows: pa.Table, size: int, parts: int) -> Iterator[tuple[int, bytes]]:
+def _different_runs(blobs: list[bytes], size: int, parts: int, most: int = PASS) -> Iterator[tuple[int, bytes]]:
     """Spans that the runs of one bucket share with runs of smaller documents."""
-    runs = [bytes_ for blob in rows.column("data").to_pylist() for bytes_ in _contexts(blob)]
-    docs = np.array([r[0] for r in runs], np.int64)
-    offsets = np.array([r[1] for r in runs], np.int64)
-    lengths = np.array([len(r[2]) for r in runs], np.int64)
+    heads, bodies = zip(*(_contexts(blob) for blob in blobs))
+    docs, offsets, lengths = np.concatenate(heads, axis=1)
     begins = np.cumsum(lengths + 1) - lengths - 1
-    text = np.zeros(int((lengths + 1).sum()) + 7, np.int64)
-    raw = np.frombuffer(b"".join(r[2] for r in runs), np.uint8)
-    run_of_byte = np.repeat(np.arange(len(runs)), lengths)
-    text[np.arange(len(raw)) + run_of_byte] = raw.astype(np.int64) + 1
+    text = np.zeros(int((lengths + 1).sum()) + 7, np.int16)
+    filled = np.ones(len(text) - 7, bool)
+    filled[begins + lengths] = False
+    text[:-7][filled] = np.frombuffer(b"".join(bodies), np.uint8)
+    text[:-7][filled] += 1
+    del filled, bodies
     windows = lengths - size + 1
-    run = np.repeat(np.arange(len(runs)), windows)
-    inner = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-    starts = begins[run] + inner
-    order, common = enhanced_suffix_array(text, starts, (begins + lengths)[run])
-    # What stands before a run belongs to another bucket: its first suffix differs from all others there.
-    left = np.where(inner > 0, text[np.maximum(starts - 1, 0)], -1 - run)[order]
-    found = maximal_repeats(common, left, size)
-    if not found:
-        return
-    lows, highs, length = (np.array(c, np.int64) for c in zip(*found))
-    count = highs - lows + 1
-    group = np.repeat(np.arange(len(found)), count)
-    row = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count) + lows[group]
-    suffix = order[row]
-    doc = docs[run[suffix]]
-    least = np.minimum.reduceat(doc, np.cumsum(count) - count)
-    later = doc > least[group]
-    suffix, reach = suffix[later], length[group[later]]
-    # Of one place only the longest repeat counts.
-    longest = np.zeros(len(run), np.int64)
-    np.maximum.at(longest, suffix, reach)
-    hit = np.flatnonzero(longest)
-    spans = docs[run[hit]], offsets[run[hit]] + inner[hit], longest[hit] - size + 1, np.full(len(hit), -1)
-    yield from _dealt(spans[0] % parts, spans, _SPAN_TYPES)
-
-
-def _contexts(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(id, offset, bytes) of the runs in a blob."""
+    upto = np.cumsum(windows)
+    total = int(upto[-1])
+
+    def placed(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        run = np.searchsorted(upto, suffixes, side="right")
+        return run, suffixes - upto[run] + windows[run]
+
+    passes = -(-total // most)
+    share = np.zeros(total, np.uint16)
+    for low in range(0, total if passes > 1 else 0, most):
+        run, inner = placed(np.arange(low, min(low + most, total)))
+        share[low : low + most] = _start_hash(text, begins[run] + inner, size) % np.uint64(passes)
+    for turn in range(passes):
+        run, inner = placed(np.flatnonzero(share == turn))
+        starts = begins[run] + inner
+        order, common = enhanced_suffix_array(text, starts, (begins + lengths)[run])
+        # What stands before a run belongs to another bucket: its first suffix differs from all others there.
+        left = np.where(inner > 0, text[np.maximum(starts - 1, 0)].astype(np.int64), -1 - run)[order]
+        found = maximal_repeats(common, left, size)
+        if not found:
+            continue
+        lows, highs, length = (np.array(c, np.int64) for c in zip(*found))
+        count = highs - lows + 1
+        group = np.repeat(np.arange(len(found)), count)
+        row = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count) + lows[group]
+        suffix = order[row]
+        doc = docs[run[suffix]]
+        least = np.minimum.reduceat(doc, np.cumsum(count) - count)
+        later = doc > least[group]
+        suffix, reach = suffix[later], length[group[later]]
+        # Of one place only the longest repeat counts.
+        longest = np.zeros(len(run), np.int64)
+        np.maximum.at(longest, suffix, reach)
+        hit = np.flatnonzero(longest)
+        spans = docs[run[hit]], offsets[run[hit]] + inner[hit], longest[hit] - size + 1, np.full(len(hit), -1)
+        yield from _dealt(spans[0] % parts, spans, _SPAN_TYPES)
+
+
+def _start_hash(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` symbols from each place on."""
+    if size < 7:
+        return _mix((_seven(text, at) >> 9 * (7 - size)).astype(np.uint64))
+    h = np.zeros(len(at), np.uint64)
+    for k in (*range(0, size - 7, 7), size - 7):
+        h = _mix((h ^ _seven(text, at + k).astype(np.uint64)) * np.uint64(_BASE))
+    return h
+
+
+def _contexts(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """(ids, offsets and lengths of the runs in a blob, their bytes one after another)."""
     n = int(np.frombuffer(blob, np.int64, 1)[0])
-    head = np.frombuffer(blob, np.int64, 3 * n, 8).reshape(3, n).tolist()
-    at = 8 + 24 * n
-    for doc, offset, length in zip(*head):
-        yield doc, offset, blob[at : at + length]
-        at += length
+    return np.frombuffer(blob, np.int64, 3 * n, 8).reshape(3, n), blob[8 + 24 * n :]
 
 
 def _by_key(df: DataFrame, key: str, function, schema: str) -> DataFrame:
@@ -311,19 +353,29 @@ def removed_spans(
     texts = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")
     )
-    parts = partitions(spark, 2)
+    size_of = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark, 2), -(-size_of // BUCKET_BYTES))
 
     def runs(piece: pa.RecordBatch) -> pa.RecordBatch:
         ids = piece.column(0).to_numpy(zero_copy_only=False)
         anchor, whole, text, start, windows = text_runs(as_bytes(piece.column(1)), size, gram)
+        doc = ids[text]
+        later = _later_in_slice(anchor, whole, doc)
+        spans = doc[later], start[later], windows[later], np.full(int(later.sum()), -1)
+        done = [(key, data, True) for key, data in _dealt(spans[0] % parts, spans, _SPAN_TYPES)]
+        anchor, rest = anchor[~later], (c[~later] for c in (whole, doc, start, windows))
         bucket = (anchor % np.uint64(parts)).astype(np.int64)
-        columns = (anchor >> np.uint64(24), whole, ids[text], start, windows)
-        return _batch(list(_dealt(bucket, columns, _RUN_TYPES)), *_KEYED)
+        dealt = _dealt(bucket, (anchor >> np.uint64(24), *rest), _RUN_TYPES)
+        names, types = _KEYED
+        return _batch([*done, *((key, data, False) for key, data in dealt)], [*names, "done"], [*types, pa.bool_()])
 
     def equal(bucket: int, table: pa.Table) -> pa.RecordBatch:
-        return _batch(list(_equal_runs(table.column("data").to_pylist(), bucket, parts)), *_KEYED)
+        done = table.column("done")
+        open_ = table.filter(pc.invert(done)).column("data").to_pylist()
+        spans = [(bucket, data) for data in table.filter(done).column("data").to_pylist()]
+        return _batch([*spans, *(_equal_runs(open_, bucket, parts) if open_ else ())], *_KEYED)
 
-    packed = map_slices(texts, runs, "key int, data binary", most=SLICE_BYTES)
+    packed = map_slices(texts, runs, "key int, data binary, done boolean", most=SLICE_BYTES)
     first = staged(_by_key(packed, "key", equal, "key int, data binary"), "substring-runs")
     give_back(spark)
 
@@ -356,7 +408,7 @@ def removed_spans(
         return _batch(rows, *_KEYED)
 
     def different(bucket: int, table: pa.Table) -> pa.RecordBatch:
-        return _batch(list(_different_runs(table, size, parts)), *_KEYED)
+        return _batch(list(_different_runs(table.column("data").to_pylist(), size, parts)), *_KEYED)
 
     asked = texts.join(wanted, "id").select("id", "text", "starts", "windows", "buckets")
     bytes_of = map_slices(asked, contexts, "key int, data binary", most=SLICE_BYTES)
