@@ -158,12 +158,15 @@ _KEYED = ["key", "data"], [pa.int32(), pa.binary()]
 
 def _later_in_slice(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which runs equal one of a document with a smaller id among these."""
-    order = np.lexsort((doc, whole, anchor))
-    a, w, d = anchor[order], whole[order], doc[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]))[: len(d)]
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(d) else d
-    later = np.empty(len(d), bool)
-    later[order] = d > least
+    if not len(doc):
+        return np.zeros(0, bool)
+    # Equal runs have equal hashes and lie together; runs apart that share a hash only make more groups of less rows.
+    order = np.argsort(whole)
+    anchor, whole, doc = anchor[order], whole[order], doc[order]
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))
+    least = np.minimum.reduceat(doc, np.flatnonzero(new))
+    later = np.empty(len(doc), bool)
+    later[order] = doc > least[np.cumsum(new) - 1]
     return later
 
 
